@@ -139,3 +139,12 @@ BLEND_RECENT_STEPS = (0, 8)
 HISTOGRAM_BINS = 50
 TOP_DISPUTED = 10
 REFIT_MIN_ITERATIONS = 300
+
+# --- fixed values: boosted-tree presets (iterations, step, depth, wait, positive weight) --
+BOOSTING_PRESETS = {
+    "main": {"iterations": 2000, "step": 0.08, "depth": 6, "wait": 100, "pos_weight": 10.0},
+    "ensemble": {"iterations": 5000, "step": 0.05, "depth": 6, "wait": 200, "pos_weight": None},
+    "full": {"iterations": 5000, "step": 0.05, "depth": 8, "wait": 300, "pos_weight": None},
+    "single": {"iterations": 3000, "step": 0.05, "depth": 6, "wait": 100, "pos_weight": 1.0},
+    "stacked": {"iterations": 1500, "step": 0.08, "depth": 6, "wait": 50, "pos_weight": 5.0},
+}

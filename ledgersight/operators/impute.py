@@ -34,7 +34,7 @@ def _fill(df, values):
         if v is not None})
 
 
-def exact_medians(df: DataFrame, columns, exact_rows: int = 1_000_000,
+def exact_medians(df: DataFrame, columns, exact_rows: int = 100_000,
                   accuracy: int = 10_000) -> dict:
     """Column -> exact median of its non-null values (None for an empty column).
 
