@@ -34,9 +34,14 @@ class Encoder:
         self.categorical, self.numeric = list(categorical), list(numeric)
         self.max_categories, self.policy = max_categories, policy
 
-    def fit(self, train: DataFrame, label: str = "label") -> "Encoder":
+    def fit(self, train: DataFrame, label: str = "label",
+            fewest_rows: int | None = None) -> "Encoder":
+        """``fewest_rows``: size of the smallest table a model will be fitted on; trees
+        cannot take a category with more values than rows."""
         train = self._text(train)
-        self.low, high = by_cardinality(train, self.categorical, self.max_categories)
+        rows = train.count() if fewest_rows is None else fewest_rows
+        limit = min(self.max_categories, rows // 2)
+        self.low, high = by_cardinality(train, self.categorical, limit)
         self.rates = priors.fit(train.withColumn("target", F.col(label)), None, high) if high else {}
         self.rate_columns = [f"prior_{k}_red_rate_all" for k in high]
         train = self._with_rates(train)

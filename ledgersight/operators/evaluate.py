@@ -93,8 +93,11 @@ def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, **columns) -> Data
 
 
 def best_blend(searched: DataFrame) -> DataFrame:
-    """The best triple; on equal precision the first in grid order."""
-    return searched.orderBy(F.desc("ap"), "w_main", "w_recent").limit(1)
+    """The best triple; on equal precision the first in grid order.
+
+    Precisions are compared to 12 digits: the order of summation moves the last ones.
+    """
+    return searched.orderBy(F.desc(F.round("ap", 12)), "w_main", "w_recent").limit(1)
 
 
 def fixed_blend(main: str = "main", recent: str = "recent"):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.calendar import seconds_between
+from ..functions.casts import amount_units, units_to_amount
 from .lineage import materialise
 from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot
 from .timeline import cell_of, slice_width
@@ -71,7 +72,7 @@ def _with_openings(df, columns):
     for group, extra in columns.groups().items():
         keys = [CUSTOMER] + ([extra] if extra else [])
         per_cell = df.groupBy(*keys, "_cell").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(columns.amt).alias("s"),
+            F.count(F.lit(1)).alias("n"), F.sum(amount_units(columns.amt)).alias("s"),
             F.sum(F.col(columns.amt) * F.col(columns.amt)).alias("q"), last.alias("last"))
         earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
         opening = per_cell.select(
@@ -116,7 +117,9 @@ def _windows(df, columns, cell):
         w = before(extra)
         features[f"_before_{group}"] = F.coalesce(total(F.lit(1), f"_n_{group}", w), F.lit(0))
     w = before(None)
-    features["_before_sum"] = F.coalesce(total(amt, "_sum", w), F.lit(0.0))
+    # whole units make the sum exact, so it does not depend on how rows were grouped
+    features["_before_sum"] = units_to_amount(
+        F.coalesce(total(amount_units(columns.amt), "_sum", w), F.lit(0)))
     features["_before_sq"] = F.coalesce(total(amt * amt, "_sq", w), F.lit(0.0))
     features["_last_customer"] = previous("customer", w)
     features["_last_type"] = previous("type", before(columns.type))

@@ -28,7 +28,7 @@ class FullConfig:
     refit: bool = True
     refit_least: int = fv.REFIT_MIN_ITERATIONS
     hasher: object = bucket
-    boosting: boosting.Boosting = boosting.Boosting()
+    learner: boosting.Boosting = boosting.Boosting()
     policy: SkewPolicy = DEFAULT_POLICY
 
 
@@ -68,7 +68,9 @@ def model_frames(table: DataFrame, config: FullConfig = FullConfig()):
     _, categorical, numeric = normalise.feature_columns(table.columns)
     train = table.where("is_train_sample").withColumn(
         "is_val", splits.fixed_holdout(config.holdout_start)).withColumn("label", F.col("target_bin"))
-    encoder = Encoder(categorical, numeric, policy=config.policy).fit(train.where(~F.col("is_val")))
+    fit_rows = train.where(~F.col("is_val"))
+    encoder = Encoder(categorical, numeric, policy=config.policy).fit(
+        fit_rows, fewest_rows=fit_rows.where(F.col("train_target_raw") != -1).count())
     meta = ["event_id", "event_ts", "train_target_raw", "target_bin", "is_val"]
     train = materialise(encoder.transform(train).select(*meta, "features"))
     test = encoder.transform(table.where("is_test")).select("event_id", "features")
@@ -93,14 +95,14 @@ def run(table: DataFrame, config: FullConfig = FullConfig()):
     precision is best, refitted on all rows, and blended with the same weights.
     """
     frames, test = model_frames(table, config)
-    fitted = {name: boosting.fit_holdout(rows, config.boosting) for name, rows in frames.items()}
+    fitted = {name: boosting.fit_holdout(rows, config.learner) for name, rows in frames.items()}
     held = frames["main"].where("is_val").select("event_id", "label", "features")
     searched = materialise(evaluate.blend_search(
         materialise(_heads(held, {n: m for n, (m, _) in fitted.items()}))))
     best = evaluate.best_blend(searched).first()
     models = {n: m for n, (m, _) in fitted.items()}
     if config.refit:
-        models = {n: boosting.refit(frames[n], config.boosting, best_iterations, config.refit_least)
+        models = {n: boosting.refit(frames[n], config.learner, best_iterations, config.refit_least)
                   for n, (_, best_iterations) in fitted.items()}
     weights = {"main": best["w_main"], "recent": best["w_recent"], "product": best["w_product"]}
     scores = _heads(test, models).select("event_id", weighted_sum(weights).alias("predict"))
