@@ -43,7 +43,9 @@ class Encoder:
         limit = min(self.max_categories, rows // 2)
         self.low, high = by_cardinality(train, self.categorical, limit)
         self.rates = priors.fit(train.withColumn("target", F.col(label)), None, high) if high else {}
-        self.rate_columns = [f"prior_{k}_red_rate_all" for k in high]
+        self.rates = {k: table.select(k, F.col(f"prior_{k}_red_rate_all").alias(f"rate_{k}"))
+                      for k, table in self.rates.items()}
+        self.rate_columns = [f"rate_{k}" for k in high]
         train = self._with_rates(train)
         inputs = self.numeric + self.rate_columns
         self.medians = impute.exact_medians(train, inputs) if inputs else {}
@@ -67,10 +69,7 @@ class Encoder:
         return df.withColumns({c: category(c) for c in self.categorical})
 
     def _with_rates(self, df):
-        df = df.drop(*self.rate_columns)
-        for key, table in self.rates.items():
-            df = priors.apply(df, {key: table.select(key, f"prior_{key}_red_rate_all")}, self.policy)
-        return df
+        return priors.apply(df, self.rates, self.policy)
 
     def _filled(self, df):
         # a column without any value in training is constant
