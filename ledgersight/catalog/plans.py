@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from ..functions.calendar import DAY_US, HOUR_US
 from ..functions.hashing import portable_bucket
 from ..models import boosting
-from ..operators import compare
 from ..plans import full, reports
 from ..plans.velocity import VelocityConfig, scored_rows, tagged_features, training_rows, velocity
 from ..operators.lineage import materialise
+from ..operators.periods import hot_customers
 from .inputs import prediction_files
 from .registry import (HOLDOUT_START, LAB, PER, PRETEST_FROM, RECENT_BORDER, SAMPLE_BORDER, SCO, TEST_FROM,
                        TRAIN_FROM, md5_number, query, with_ev)
@@ -141,6 +141,13 @@ CONFIG = full.FullConfig(
     sample_border=SAMPLE_BORDER, recent_border=RECENT_BORDER, holdout_start=HOLDOUT_START, refit_least=6,
     hasher=portable_bucket, learner=boosting.Boosting(iterations=5, step=0.3, depth=3))
 
+def feature_table(t):
+    """(feature table, labelled log) over the four periods."""
+    frames = full_periods(t)
+    log = full.labelled_log(frames, t.labels())
+    return full.feature_table(log, CONFIG, hot=hot_customers(frames.values())), log
+
+
 FULL = f"""red AS (
   SELECT *, ascii(event_type)::BIGINT AS etype, ascii(event_type)::BIGINT % 7 AS mcc,
          CASE WHEN k % 6 > 0 THEN k % 6 ELSE -1 END AS tz FROM sec
@@ -185,7 +192,7 @@ def rounded(df):
     f"SELECT {FULL_COLUMNS} FROM his WHERE is_train_sample OR period = 'test'", LAB, PER, SECONDS, FULL))
 def _(t):
     """7 meta columns and 43 features of sampled training rows and test rows."""
-    return rounded(full.feature_table(full.labelled_log(full_periods(t), t.labels()), CONFIG))
+    return rounded(feature_table(t)[0])
 
 
 @query("job_full_with_priors", with_ev(f"""
@@ -200,8 +207,7 @@ FROM his JOIN pri USING (etype) JOIN tzp USING (tz) WHERE is_train_sample OR per
 def _(t):
     """The feature table with 7 x 4 leak-free priors: 71 features."""
     from ..operators.normalise import feature_columns
-    log = full.labelled_log(full_periods(t), t.labels())
-    table = full.with_priors(full.feature_table(log, CONFIG), log, CONFIG)
+    table = full.with_priors(*feature_table(t), CONFIG)
     return table.select(
         "event_id", F.lit(len(feature_columns(table.columns)[0])).alias("features"), "prior_event_type_nm_cnt",
         "prior_event_type_nm_red_rate_all", "prior_timezone_labeled_rate_all")
@@ -210,8 +216,7 @@ def _(t):
 @query("job_full_blended_scores")
 def _(t):
     """Four models, searched blend, refit, and a score for every test event."""
-    log = full.labelled_log(full_periods(t), t.labels())
-    table = materialise(full.with_priors(full.feature_table(log, CONFIG), log, CONFIG))
+    table = materialise(full.with_priors(*feature_table(t), CONFIG))
     scores, _ = full.run(table, CONFIG)
     template = table.where("is_test").select("event_id")
     return full.submit(scores, template)

@@ -27,23 +27,25 @@ def most_disputed(table: DataFrame, n: int = fv.TOP_DISPUTED) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns) -> DataFrame:
     """Pearson correlation of every pair, as rows (col_a, col_b, corr).
 
-    Each pair uses the rows where both values are present. One pass over the data
-    computes all pairs; the matrix is symmetric, so each pair is computed once.
+    Each pair uses the rows where both values are present. Every row contributes one
+    (pair, x, y) entry per pair of columns, combined before the shuffle, so the width of
+    the table bounds neither generated code nor the number of passes.
     """
     columns = list(columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def both(a, b):
-        return F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-
-    wide = df.agg(*[F.corr(both(a, b), both(b, a)).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
-                                  F.col(f"c{i}").alias("corr")))
-    return wide.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
+                 F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
+    per_pair = (df.select(F.explode(entries).alias("e"))
+                .groupBy("e.pair").agg(F.corr("e.x", "e.y").alias("corr")))
+    first = F.array(*[F.lit(a) for a, _ in pairs])[F.col("pair")]
+    second = F.array(*[F.lit(b) for _, b in pairs])[F.col("pair")]
+    named = per_pair.select(first.alias("a"), second.alias("b"), "corr")
+    return named.select(
+        F.explode(F.array_distinct(F.array(
+            F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b")),
+            F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"))))).alias("cell"),
+        "corr").select("cell.*", "corr")
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

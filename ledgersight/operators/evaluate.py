@@ -13,48 +13,63 @@ RANGE_ROWS = 1_000_000
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", by=(),
+                      rows_per_group: int | None = None,
                       range_rows: int = RANGE_ROWS) -> DataFrame:
     """Step-wise area under the precision-recall curve, tied scores as one threshold.
 
     One row per ``by`` group with columns ap, n_pos, n_rows; ap is null without positives.
-    Rows are first combined per score. The running counts over descending scores are
-    taken inside score ranges of about ``range_rows`` distinct scores, plus the totals of
-    all higher ranges, so the curve is never walked in one task.
+    Groups of at most ``range_rows`` rows are walked with one window each. Larger ones are
+    combined per score and cut into score ranges (see ``_by_ranges``), so no curve is
+    walked in one task. ``rows_per_group`` is a bound on the group size, counted if absent.
     """
     by = list(by)
-    steps = materialise(df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.col(label).cast("bigint")).alias("tp"), F.count(F.lit(1)).alias("n")))
-    steps = _score_ranges(steps, range_rows)
+    rows = df.select(*by, F.col(score).cast("double").alias("score"),
+                     F.col(label).cast("bigint").alias("tp"))
+    if rows_per_group is None:
+        rows_per_group = df.count()
+    if rows_per_group <= range_rows:
+        # peers of a range frame are the tied scores
+        above = W.partitionBy(*by).orderBy(F.desc("score")).rangeBetween(
+            W.unboundedPreceding, W.currentRow)
+        curve = rows.select(*by, "tp", F.lit(1).alias("n"), F.sum("tp").over(above).alias("ctp"),
+                            F.count(F.lit(1)).over(above).alias("cn"))
+    else:
+        curve = _by_ranges(rows, by, rows_per_group // range_rows + 1)
+    term = F.col("tp") * F.col("ctp").cast("double") / F.col("cn")
+    return (
+        curve.groupBy(*by)
+        .agg(F.sum(term).alias("area"), F.sum("tp").alias("n_pos"), F.sum("n").alias("n_rows"))
+        .select(*by, F.try_divide(F.col("area"), F.col("n_pos").cast("double")).alias("ap"),
+                "n_pos", "n_rows")
+    )
 
+
+def _by_ranges(rows: DataFrame, by, ranges: int) -> DataFrame:
+    """Per distinct score: tp, n and the counts ctp, cn at or above the score.
+
+    Counts are taken inside a score range and added to the totals of all higher ranges.
+    """
+    steps = materialise(rows.groupBy(*by, "score").agg(
+        F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n")))
+    steps = _score_ranges(steps, ranges)
     totals = steps.groupBy(*by, "_range").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    group = W.partitionBy(*by)
-    higher = group.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    higher = (W.partitionBy(*by).orderBy(F.desc("_range"))
+              .rowsBetween(W.unboundedPreceding, -1))
     carried = totals.select(
-        *by, "_range",
-        F.coalesce(F.sum("tp").over(higher), F.lit(0)).alias("tp_above"),
-        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"),
-        F.sum("tp").over(group).alias("n_pos"), F.sum("n").over(group).alias("n_rows"))
+        *by, "_range", F.coalesce(F.sum("tp").over(higher), F.lit(0)).alias("tp_above"),
+        F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"))
     inside = (W.partitionBy(*by, "_range").orderBy(F.desc("score"))
               .rowsBetween(W.unboundedPreceding, 0))
     curve = steps.select(
-        *by, "_range", "tp",
+        *by, "_range", "tp", "n",
         F.sum("tp").over(inside).alias("ctp"), F.sum("n").over(inside).alias("cn"))
-    keys = by + ["_range"]
-    term = (F.col("tp") * (F.col("ctp") + F.col("tp_above")).cast("double")
-            / (F.col("cn") + F.col("n_above")))
-    return (
-        curve.join(carried, keys)
-        .groupBy(*by, "n_pos", "n_rows").agg(F.sum(term).alias("area"))
-        .select(*by, F.try_divide(F.col("area"), F.col("n_pos").cast("double")).alias("ap"),
-                "n_pos", "n_rows")
-    )
+    return curve.join(carried, [*by, "_range"]).select(
+        *by, "tp", "n", (F.col("ctp") + F.col("tp_above")).alias("ctp"),
+        (F.col("cn") + F.col("n_above")).alias("cn"))
 
 
-def _score_ranges(steps: DataFrame, range_rows: int) -> DataFrame:
+def _score_ranges(steps: DataFrame, ranges: int) -> DataFrame:
     """Add _range, an increasing number of the score range a score falls in."""
-    ranges = steps.count() // range_rows + 1
-    if ranges == 1:
-        return steps.withColumn("_range", F.lit(0.0))
     shares = [i / ranges for i in range(1, ranges)]
     borders = sorted(set(steps.approxQuantile("score", shares, 0.1 / ranges)))
     splits = [-float("inf"), *borders, float("inf")]
@@ -62,34 +77,40 @@ def _score_ranges(steps: DataFrame, range_rows: int) -> DataFrame:
                       handleInvalid="keep").transform(steps)
 
 
-def blend_grid(main=fv.BLEND_MAIN_STEPS, recent=fv.BLEND_RECENT_STEPS, steps=fv.BLEND_STEPS):
-    """Weight triples (main, recent, product) summing to one, product not negative."""
-    return [(m / steps, r / steps, (steps - m - r) / steps)
-            for m in range(main[0], main[1] + 1)
-            for r in range(recent[0], recent[1] + 1) if steps - m - r >= 0]
+def blend_scores(df: DataFrame, main: str = "main", recent: str = "recent",
+                 product: str = "product", label: str = "label", main_steps=fv.BLEND_MAIN_STEPS,
+                 recent_steps=fv.BLEND_RECENT_STEPS, steps: int = fv.BLEND_STEPS) -> DataFrame:
+    """A blended score per row and weight triple, weights counted in 1/steps.
 
+    The three weights add up to one and none is negative. The grid has a fixed size, so
+    the rows grow by a constant factor.
+    """
+    m, r = F.col("main_step"), F.col("recent_step")
+    wide = (
+        df.select(F.col(main).alias("a"), F.col(recent).alias("b"), F.col(product).alias("c"),
+                  F.col(label).alias("label"))
+        .withColumn("main_step", F.explode(F.sequence(F.lit(main_steps[0]), F.lit(main_steps[1]))))
+        .withColumn("recent_step", F.explode(F.sequence(F.lit(recent_steps[0]), F.lit(recent_steps[1]))))
+        .where(m + r <= steps)
+    )
+    w = _weights(steps)
+    blended = w["w_main"] * F.col("a") + w["w_recent"] * F.col("b") + w["w_product"] * F.col("c")
+    return wide.select(m, r, blended.alias("score"), "label")
 
-def blend_scores(df: DataFrame, grid=None, main: str = "main", recent: str = "recent",
-                 product: str = "product", label: str = "label") -> DataFrame:
-    """A blended score per row and weight triple.
 
-    The grid has a fixed length, so the rows grow by a constant factor.
-    """
-    grid = grid or blend_grid()
-    triples = F.array(*[
-        F.struct(F.lit(m).alias("w_main"), F.lit(r).alias("w_recent"), F.lit(p).alias("w_product"))
-        for m, r, p in grid])
-    wide = df.select(main, recent, product, label, F.explode(triples).alias("w"))
-    blended = (F.col("w.w_main") * F.col(main) + F.col("w.w_recent") * F.col(recent)
-               + F.col("w.w_product") * F.col(product))
-    return wide.select("w.*", blended.alias("score"), F.col(label).alias("label"))
+def _weights(steps):
+    m, r = F.col("main_step"), F.col("recent_step")
+    return {"w_main": m / float(steps), "w_recent": r / float(steps),
+            "w_product": (steps - m - r) / float(steps)}
 
 
-def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, **columns) -> DataFrame:
+def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, steps: int = fv.BLEND_STEPS,
+                 **columns) -> DataFrame:
     """Average precision of every weight triple: w_main, w_recent, w_product, ap."""
-    weights = ["w_main", "w_recent", "w_product"]
-    scored = blend_scores(df, **columns)
-    return average_precision(scored, by=weights, range_rows=range_rows).select(*weights, "ap")
+    found = average_precision(blend_scores(df, steps=steps, **columns),
+                              by=["main_step", "recent_step"], rows_per_group=df.count(),
+                              range_rows=range_rows)
+    return found.select(*[c.alias(n) for n, c in _weights(steps).items()], "ap")
 
 
 def best_blend(searched: DataFrame) -> DataFrame:

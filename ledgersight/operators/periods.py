@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.casts import column
-from .skew import DEFAULT_POLICY, SkewPolicy, lookup_join
+from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join
 
 
 def tag(df: DataFrame, **literals) -> DataFrame:
@@ -55,15 +55,23 @@ def tagged_union(frames: dict, reduce_to_history: bool = True,
     Scored periods keep only customers that have pre-train history when
     ``reduce_to_history`` is set.
     """
-    parts = []
-    for period in fv.PERIODS:
-        if period not in frames:
-            continue
-        df = frames[period]
-        if reduce_to_history and period in ("pretest", "test") and "pretrain" in frames:
-            df = keep_customers(df, customers_of(frames["pretrain"]), policy)
-        parts.append(tag(df, period=period))
-    return union_diagonal(*parts)
+    tagged = {p: tag(frames[p], period=p) for p in fv.PERIODS if p in frames}
+    history = [df for p, df in tagged.items() if p in ("pretrain", "train")]
+    scored = [df for p, df in tagged.items() if p in ("pretest", "test")]
+    if scored and reduce_to_history and "pretrain" in frames:
+        customers = customers_of(frames["pretrain"])
+        scored = [keep_customers(union_diagonal(*scored), customers, policy)]
+    return union_diagonal(*history, *scored)
+
+
+def hot_customers(frames, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame | None:
+    """Customers too large for one task over all frames, from their raw id column alone.
+
+    Joins and filters that follow only remove rows, so the list stays a safe choice.
+    """
+    ids = [df.select(F.col("customer_id").cast("bigint").alias("customer_id"))
+           for df in frames if df is not None]
+    return hot_keys(reduce(lambda a, b: a.union(b), ids), "customer_id", policy)
 
 
 def since(df: DataFrame, start, time="event_ts", days_before: int = 0) -> DataFrame:

@@ -43,11 +43,14 @@ def labelled_log(frames: dict[str, DataFrame], labels: DataFrame,
 
 
 def feature_table(log: DataFrame, config: FullConfig = FullConfig(),
-                  columns: HistoryColumns = HistoryColumns()) -> DataFrame:
-    """Meta columns, event features and history of sampled training and test rows."""
+                  columns: HistoryColumns = HistoryColumns(), hot="find") -> DataFrame:
+    """Meta columns, event features and history of sampled training and test rows.
+
+    ``hot`` is the result of ``periods.hot_customers`` over the raw frames, if at hand.
+    """
     log = sampling.mark_samples(normalise.add_event_features(log), config.sample_border,
                                 hasher=config.hasher)
-    rows = history_features(log, columns, policy=config.policy)
+    rows = history_features(log, columns, policy=config.policy, hot=hot)
     rows = rows.where(F.col("is_train_sample") | F.col("is_test"))
     rows = rows.withColumn("target_bin", label_rules.red_vs_rest())
     wanted = fv.META_COLUMNS + fv.CATEGORICAL_FEATURES + fv.EVENT_FEATURES + fv.HISTORY_FEATURES

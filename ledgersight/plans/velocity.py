@@ -80,7 +80,8 @@ def training_rows(history: DataFrame | None, train: DataFrame, labels: DataFrame
     events = _customers(events, config)
     if config.sample_stage == "before":
         events = _sampled(events, config)
-    rows = velocity(events, policy=config.policy)
+    hot = periods.hot_customers([history, train], config.policy)
+    rows = velocity(events, policy=config.policy, hot=hot)
     rows = periods.labelled(periods.since(rows, config.start))
     if config.sample_stage == "after":
         rows = _sampled(rows, config)
@@ -99,7 +100,8 @@ def scored_rows(history: DataFrame | None, scored: DataFrame,
         past = periods.keep_customers(past, periods.customers_of(target), config.policy)
         parts.append(periods.tag(past, target=(None, "bigint"), is_submit=0))
     events = _customers(periods.union_diagonal(*parts), config)
-    rows = velocity(events, policy=config.policy).where(F.col("is_submit") == 1)
+    hot = periods.hot_customers([history, scored], config.policy)
+    rows = velocity(events, policy=config.policy, hot=hot).where(F.col("is_submit") == 1)
     return normalise.normalise_categories(rows)
 
 
@@ -112,7 +114,9 @@ def tagged_features(frames: dict[str, DataFrame], labels: DataFrame,
         df = periods.tag(normalise.normalise_strict(df), split_group=names[period])
         parts.append(periods.attach_by_event(df, labels) if period == "train"
                      else periods.tag(df, target=(None, "bigint")))
-    return normalise.normalise_categories(velocity(periods.union_diagonal(*parts), policy=policy))
+    hot = periods.hot_customers(frames.values(), policy)
+    return normalise.normalise_categories(
+        velocity(periods.union_diagonal(*parts), policy=policy, hot=hot))
 
 
 def _customers(df, config):
