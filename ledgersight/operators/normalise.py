@@ -36,15 +36,18 @@ def normalise_strict(df: DataFrame) -> DataFrame:
 
 
 def normalise_lenient(df: DataFrame) -> DataFrame:
-    """Integer feature space; malformed values become -1 and bad timestamps null."""
+    """Integer feature space; malformed or absent values become -1, bad timestamps null."""
     typed = {
         "event_ts": casts.lenient_timestamp("event_dttm"),
         "amt": F.col("operaton_amt").cast("double"),
     }
-    typed.update({name: casts.lenient_int(source, spark_type)
-                  for name, (source, spark_type) in fv.LENIENT_INTEGERS.items()})
-    typed.update({name: casts.digits(source, pattern)
-                  for name, (source, pattern) in fv.DIGIT_PATTERNS.items()})
+    absent = F.lit(fv.NULL_INTEGER)
+    for name, (source, spark_type) in fv.LENIENT_INTEGERS.items():
+        typed[name] = (casts.lenient_int(source, spark_type) if source in df.columns
+                       else absent.cast(spark_type))
+    for name, (source, pattern) in fv.DIGIT_PATTERNS.items():
+        typed[name] = (casts.digits(source, pattern) if source in df.columns
+                       else absent.cast("smallint"))
     raw = {"event_dttm", "operaton_amt", "mcc_code", "battery", "device_system_version",
            "screen_size", "developer_tools", "compromised"}
     return (df.withColumns(typed).drop(*raw)

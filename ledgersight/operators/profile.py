@@ -1,6 +1,7 @@
 """Distributions as tables: histograms and class-conditional densities."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -9,16 +10,20 @@ from .. import fixed_values as fv
 def histogram(df: DataFrame, columns, bins: int = fv.HISTOGRAM_BINS) -> DataFrame:
     """Equal-width counts: column, bin, low, high, n. The last bin includes the maximum.
 
-    Empty bins are present with n = 0. Only the range of each column reaches the driver.
+    Empty bins are present with n = 0. Two passes: the range of each column (all that
+    reaches the driver), then the counts, combined before the shuffle.
     """
     columns = list(columns)
-    ranges = _ranges(df, columns)
-    long = _unpivot(df, columns)
-    binned = long.where(F.col("value").isNotNull()).join(
-        F.broadcast(ranges), "column").select(
-        "column", _bin("value", "lo", "hi", bins).alias("bin"))
-    counts = binned.groupBy("column", "bin").count()
-    return _all_bins(ranges, bins).join(counts, ["column", "bin"], "left").select(
+    found = df.agg(*[x for c in columns for x in _extremes(c, F.col(c))]).first()
+    ranges = {c: (found[f"lo_{c}"], found[f"hi_{c}"]) for c in columns
+              if found[f"lo_{c}"] is not None}
+    counts = _binned(df, {c: F.col(c) for c in ranges}, ranges, bins).groupBy("column", "bin").count()
+    edges = [(c, b, lo + b * ((hi - lo) / bins), lo + (b + 1) * ((hi - lo) / bins))
+             for c, (lo, hi) in ranges.items() for b in range(bins)]
+    all_bins = df.sparkSession.createDataFrame(
+        edges, "column string, bin int, low double, high double")
+    # one row per column and bin on either side
+    return all_bins.join(counts, ["column", "bin"], "left").select(
         "column", "bin", "low", "high", F.coalesce("count", F.lit(0)).alias("n"))
 
 
@@ -31,30 +36,31 @@ def class_density(df: DataFrame, features, target: str = "target",
     feature with an empty class is left out. Columns: feature, log_axis, target, bin,
     n, density (share of the class per unit of the axis).
     """
-    names = list(features)
-    logged = df.agg(*[F.max(F.col(c).cast("double") > 0).alias(c) for c in names]).first()
-    axes = {c: bool(features[c] and logged[c]) for c in names}
-    scaled = df.select(F.col(target), *[
-        (F.when(F.col(c) > 0, F.log10(F.col(c).cast("double"))) if axes[c]
-         else F.col(c).cast("double")).alias(c) for c in names])
-    present = df.groupBy(target).agg(*[F.count(c).alias(c) for c in names]).collect()
-    classes = {r[target]: r for r in present if r[target] is not None}
-    kept = [c for c in names
-            if all(v in classes and classes[v][c] > 0 for v in (0, 1))]
-    scaled = scaled.where(F.col(target).isin(0, 1))
-    ranges = _ranges(scaled, kept)
-    long = _unpivot(scaled, kept, target).where(F.col("value").isNotNull())
-    binned = long.join(F.broadcast(ranges), "column").select(
-        "column", target, _bin("value", "lo", "hi", bins).alias("bin"),
-        ((F.col("hi") - F.col("lo")) / bins).alias("width"))
-    counts = binned.groupBy("column", target, "bin", "width").count()
-    totals = counts.groupBy("column", target).agg(F.sum("count").alias("total"))
-    share = F.col("count") / F.col("total")
-    return counts.join(F.broadcast(totals), ["column", target]).select(
-        F.col("column").alias("feature"),
-        F.col("column").isin([c for c in kept if axes[c]]).alias("log_axis"),
+    df = df.where(F.col(target).isin(0, 1))
+
+    def logged(c):
+        return F.when(F.col(c) > 0, F.log10(F.col(c).cast("double")))
+
+    per_class = df.groupBy(target).agg(*[x for c in features for x in (
+        F.count(c).alias(f"n_{c}"), F.count(logged(c)).alias(f"pos_{c}"),
+        *_extremes(c, F.col(c)), *_extremes(f"log_{c}", logged(c)))]).collect()
+    axes, kept, ranges = {}, {}, {}
+    for c, wants_log in features.items():
+        if len(per_class) < 2 or not all(r[f"n_{c}"] for r in per_class):
+            continue
+        axes[c] = bool(wants_log and any(r[f"pos_{c}"] for r in per_class))
+        kept[c] = logged(c) if axes[c] else F.col(c)
+        name = f"log_{c}" if axes[c] else c
+        ranges[c] = (min(r[f"lo_{name}"] for r in per_class if r[f"lo_{name}"] is not None),
+                     max(r[f"hi_{name}"] for r in per_class if r[f"hi_{name}"] is not None))
+    counts = _binned(df, kept, ranges, bins, target).groupBy("column", target, "bin").count()
+    total = F.sum("count").over(W.partitionBy("column", target))  # over bins, not rows
+    width = F.coalesce(*[F.when(F.col("column") == c, F.lit((hi - lo) / bins))
+                         for c, (lo, hi) in ranges.items()], F.lit(0.0))
+    return counts.select(
+        F.col("column").alias("feature"), F.col("column").isin([c for c in axes if axes[c]]).alias("log_axis"),
         F.col(target).alias("target"), "bin", F.col("count").alias("n"),
-        F.when(F.col("width") > 0, share / F.col("width")).otherwise(share).alias("density"))
+        (F.col("count") / total / F.when(width > 0, width).otherwise(F.lit(1.0))).alias("density"))
 
 
 def log_axis_by_name(columns) -> dict:
@@ -62,35 +68,20 @@ def log_axis_by_name(columns) -> dict:
     return {c: "amt" in c.lower() or "amount" in c.lower() for c in columns}
 
 
-def _unpivot(df, columns, *keep):
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-        for c in columns])
-    return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.*")
+def _extremes(name, value):
+    value = value.cast("double")
+    return F.min(value).alias(f"lo_{name}"), F.max(value).alias(f"hi_{name}")
 
 
-def _ranges(df, columns):
-    """One row (column, lo, hi) per column with values; a handful of rows."""
-    wide = df.agg(*[x for c in columns for x in (
-        F.min(F.col(c).cast("double")).alias(f"lo_{c}"),
-        F.max(F.col(c).cast("double")).alias(f"hi_{c}"))])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi"))
-        for c in columns])
-    return wide.select(F.explode(cells).alias("r")).select("r.*").where(F.col("lo").isNotNull())
-
-
-def _bin(value, low, high, bins):
-    """0-based equal-width bin; the maximum falls in the last one."""
-    value, low, high = F.col(value), F.col(low), F.col(high)
-    width = (high - low) / bins
-    inside = F.floor((value - low) / width).cast("int")
-    return F.when(high > low, F.least(inside, F.lit(bins - 1))).otherwise(F.lit(0))
-
-
-def _all_bins(ranges, bins):
-    width = (F.col("hi") - F.col("lo")) / bins
-    return ranges.select(
-        "column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    ).select("column", "bin", (F.col("lo") + F.col("bin") * width).alias("low"),
-             (F.col("lo") + (F.col("bin") + 1) * width).alias("high"))
+def _binned(df, values, ranges, bins, *keep):
+    """A row (column, bin) per non-null value; 0-based bins, the maximum in the last one."""
+    cells = []
+    for c, value in values.items():
+        lo, hi = ranges[c]
+        value = value.cast("double")
+        number = F.floor((value - lo) / ((hi - lo) / bins)).cast("int") if hi > lo else F.lit(0)
+        cells.append(F.struct(F.lit(c).alias("column"), F.when(
+            value.isNotNull(), F.least(number, F.lit(bins - 1))).alias("bin")))
+    empty = F.array().cast("array<struct<column:string,bin:int>>")
+    return df.select(*keep, F.explode(F.array(*cells) if cells else empty).alias("c")).select(
+        *keep, "c.*").where(F.col("bin").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.casts import column
-from ..functions.hashing import bucket
+from ..functions.hashing import bucket, portable_hash
 
 
 def keep_positives(df: DataFrame, keep: int, modulus: int = 100, target: str = "target",
@@ -50,15 +50,29 @@ def mark_samples(df: DataFrame, border=fv.SAMPLE_BORDER, seed: int = fv.SEED,
     })
 
 
-def exact_sample(df: DataFrame, n: int = fv.PLOT_SAMPLE_ROWS, order: Column | None = None,
+def exact_sample(df: DataFrame, n: int = fv.PLOT_SAMPLE_ROWS, key="event_id",
                  seed: int = fv.SEED) -> DataFrame:
-    """Exactly min(n, rows) random rows; ``order`` fixes which."""
-    order = F.rand(seed) if order is None else order
-    return df.orderBy(order).limit(n)
+    """Exactly min(n, rows) rows: those with the smallest hash of ``key``.
+
+    Rows whose hash is far above the n-th smallest are dropped where they are read, so
+    the final ordering handles little more than n rows; the margin grows until it holds n.
+    """
+    rows = df.count()
+    if rows <= n:
+        return df
+    hashed = df.withColumn("_hash", portable_hash(key, seed))
+    margin = 6 * n**0.5 + 100
+    while True:
+        share = min(1.0, (n + margin) / rows)
+        near = hashed.where(F.col("_hash") <= int(share * 2**32))
+        if share == 1.0 or near.limit(n).count() == n:
+            keys = [key] if isinstance(key, str) else list(key)
+            return near.orderBy("_hash", *keys).limit(n).drop("_hash")
+        margin *= 4
 
 
 def contrast_sample(df: DataFrame, n: int = fv.PLOT_SAMPLE_ROWS, target: str = "target",
-                    order: Column | None = None) -> DataFrame:
+                    key="event_id") -> DataFrame:
     """All positives and at most ``n`` negatives, for class comparisons."""
     positives = df.where(F.col(target) == 1)
-    return positives.unionByName(exact_sample(df.where(F.col(target) == 0), n, order))
+    return positives.unionByName(exact_sample(df.where(F.col(target) == 0), n, key))

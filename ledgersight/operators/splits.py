@@ -22,20 +22,17 @@ def relative_holdout_start(df: DataFrame, days: int = fv.HOLDOUT_DAYS,
     return latest - days * DAY_US
 
 
-def position_threshold(df: DataFrame, share: float = fv.FALLBACK_TRAIN_SHARE,
-                       time: str = "event_us", tie: str = "event_id", slots: int = 4096,
-                       exact_rows: int = 100_000):
-    """(time, tie) of the last row inside the first ``share`` of rows in time order.
+def row_at(df: DataFrame, position: int, columns, slots: int = 4096, exact_rows: int = 100_000,
+           rows: int | None = None):
+    """Values of the whole-number ``columns`` in the row at ``position`` (from 1) of their order.
 
-    The row is located by repeatedly counting rows in equal time slots and narrowing to
-    the slot that holds the wanted position, so no task ever sorts the whole table.
-    At least one row is inside. Returns None for an empty table.
+    The row is located by repeatedly counting rows in equal slots of a column's range and
+    narrowing to the slot that holds the position, so no task ever sorts the whole table.
+    Only slot counts reach the driver. A position past the end gives the last row.
     """
-    rows = df.count()
-    if rows == 0:
-        return None
-    wanted = max(1, int(rows * share))
-    for name in (time, tie):
+    rows = df.count() if rows is None else rows
+    position = min(position, rows)
+    for name in columns:
         if rows <= exact_rows:
             break
         low, high = df.agg(F.min(name), F.max(name)).first()
@@ -43,15 +40,35 @@ def position_threshold(df: DataFrame, share: float = fv.FALLBACK_TRAIN_SHARE,
             step = (high - low) // slots + 1
             slot = F.expr(f"({name} - ({low})) div {step}").alias("slot")
             for number, rows in sorted(df.groupBy(slot).count().collect()):
-                if wanted <= rows:
+                if position <= rows:
                     break
-                wanted -= rows
+                position -= rows
             low, high = low + number * step, min(high, low + (number + 1) * step - 1)
             df = df.where(F.col(name).between(low, high))
-    if rows > exact_rows:  # copies of one event
-        return tuple(df.select(time, tie).first())
-    inside = df.select(time, tie).orderBy(time, tie).limit(wanted)
-    return tuple(inside.orderBy(F.desc(time), F.desc(tie)).first())
+    if rows > exact_rows:  # copies of one row
+        return tuple(df.select(*columns).first())
+    inside = df.select(*columns).orderBy(*columns).limit(position)
+    return tuple(inside.orderBy(*[F.desc(c) for c in columns]).first())
+
+
+def up_to(columns, values) -> Column:
+    """Rows at or before ``values`` in the order of ``columns``."""
+    inside = F.lit(True)
+    for name, value in reversed(list(zip(columns, values))):
+        inside = (F.col(name) < value) | ((F.col(name) == value) & inside)
+    return inside
+
+
+def position_threshold(df: DataFrame, share: float = fv.FALLBACK_TRAIN_SHARE,
+                       time: str = "event_us", tie: str = "event_id", **limits):
+    """(time, tie) of the last row inside the first ``share`` of rows in time order.
+
+    At least one row is inside. Returns None for an empty table.
+    """
+    rows = df.count()
+    if rows == 0:
+        return None
+    return row_at(df, max(1, int(rows * share)), (time, tie), rows=rows, **limits)
 
 
 def mark_holdout(df: DataFrame, days: int = fv.HOLDOUT_DAYS,
@@ -60,8 +77,8 @@ def mark_holdout(df: DataFrame, days: int = fv.HOLDOUT_DAYS,
     start = relative_holdout_start(df, days)
     is_val = F.col("event_us") >= start
     if df.where(~is_val).isEmpty():
-        at, tie = position_threshold(df, share)
-        is_val = (F.col("event_us") > at) | ((F.col("event_us") == at) & (F.col("event_id") > tie))
+        order = ("event_us", "event_id")
+        is_val = ~up_to(order, position_threshold(df, share, *order))
     return df.withColumn("is_val", is_val)
 
 

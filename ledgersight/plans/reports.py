@@ -41,12 +41,12 @@ def labelled_features(events: DataFrame, labels: DataFrame, amount: str = "opera
                              "day_of_week": F.weekday("event_ts") + 1})
 
 
-def class_report(events: DataFrame, labels: DataFrame, features=None, order=None,
+def class_report(events: DataFrame, labels: DataFrame, features=None,
                  policy: SkewPolicy = DEFAULT_POLICY) -> dict:
     """Class-conditional densities and the correlation matrix of a contrast sample."""
     features = features or fv.PLOTTED_FEATURES
     rows = materialise(labelled_features(events, labels, policy=policy))
-    sample = materialise(sampling.contrast_sample(rows, order=order))
+    sample = materialise(sampling.contrast_sample(rows))
     numeric = normalise.numeric_columns(sample.drop("event_us"))
     return {
         "class_density": profile.class_density(sample, features),

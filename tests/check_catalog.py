@@ -1,4 +1,4 @@
-"""Run every catalog query against its SQL: python tests/check_catalog.py [sf] [name part]."""
+"""Run catalog queries against their SQL: python tests/check_catalog.py [sf] [name parts]."""
 
 import sys
 import time
@@ -11,13 +11,13 @@ from tests.oracle import connect, difference  # noqa: E402
 
 if __name__ == "__main__":
     base = "/root/testdata/sf" + (sys.argv[1] if len(sys.argv) > 1 else "0.01")
-    part = sys.argv[2] if len(sys.argv) > 2 else ""
+    parts = sys.argv[2:] or [""]
     spark = build_session(master="local[8]", shuffle_partitions=8,
                           **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(base), 0
     for name, run in QUERIES.items():
-        if part not in name:
+        if not any(p in name for p in parts):
             continue
         start = time.time()
         try:
