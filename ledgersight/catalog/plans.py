@@ -144,8 +144,9 @@ CONFIG = full.FullConfig(
 def feature_table(t):
     """(feature table, labelled log) over the four periods."""
     frames = full_periods(t)
-    log = full.labelled_log(frames, t.labels())
-    return full.feature_table(log, CONFIG, hot=hot_customers(frames.values())), log
+    hot = hot_customers(frames.values())
+    log = full.labelled_log(frames, t.labels(), hot=hot)
+    return full.feature_table(log, CONFIG, hot=hot), log
 
 
 FULL = f"""red AS (

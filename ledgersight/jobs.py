@@ -123,8 +123,8 @@ def full_run(spark: SparkSession, data: str, out: str, config: full.FullConfig |
     """
     config = config or full.FullConfig(learner=boosting.preset("full"))
     frames, labels = _inputs(spark, data)
-    log = full.labelled_log(frames, labels, config.policy)
     hot = periods.hot_customers(frames.values(), config.policy)
+    log = full.labelled_log(frames, labels, config.policy, hot)
     table = sinks.reuse_or_write(
         spark, f"{out}/features",
         lambda: full.with_priors(full.feature_table(log, config, hot=hot), log, config), force)

@@ -10,6 +10,7 @@ from ..functions.probability import weighted_sum
 from .lineage import materialise
 
 RANGE_ROWS = 1_000_000
+MAX_RANGES = 4096  # borders pass the driver
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", by=(),
@@ -34,7 +35,7 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
         curve = rows.select(*by, "tp", F.lit(1).alias("n"), F.sum("tp").over(above).alias("ctp"),
                             F.count(F.lit(1)).over(above).alias("cn"))
     else:
-        curve = _by_ranges(rows, by, rows_per_group // range_rows + 1)
+        curve = _by_ranges(rows, by, min(MAX_RANGES, rows_per_group // range_rows + 1))
     term = F.col("tp") * F.col("ctp").cast("double") / F.col("cn")
     return (
         curve.groupBy(*by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.casts import column
+from .lineage import materialise
 from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join
 
 
@@ -32,9 +33,9 @@ def customers_of(df: DataFrame) -> DataFrame:
 
 
 def keep_customers(df: DataFrame, customers: DataFrame,
-                   policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+                   policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """Rows whose customer is listed; the list never passes the driver."""
-    return lookup_join(df, customers, "customer_id", "left_semi", policy)
+    return lookup_join(df, materialise(customers), "customer_id", "left_semi", policy, hot)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def attach_by_event(df: DataFrame, other: DataFrame, how: str = "left") -> DataF
 
 
 def tagged_union(frames: dict, reduce_to_history: bool = True,
-                 policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+                 policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """One log over all periods with a ``period`` column.
 
     Scored periods keep only customers that have pre-train history when
@@ -60,7 +61,7 @@ def tagged_union(frames: dict, reduce_to_history: bool = True,
     scored = [df for p, df in tagged.items() if p in ("pretest", "test")]
     if scored and reduce_to_history and "pretrain" in frames:
         customers = customers_of(frames["pretrain"])
-        scored = [keep_customers(union_diagonal(*scored), customers, policy)]
+        scored = [keep_customers(union_diagonal(*scored), customers, policy, hot)]
     return union_diagonal(*history, *scored)
 
 

@@ -56,23 +56,24 @@ def split_hot(df: DataFrame, hot: DataFrame, keys):
 
 def is_small(df: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> bool:
     """Whether ``df`` has few enough rows to broadcast."""
-    return df.limit(policy.broadcast_rows + 1).count() <= policy.broadcast_rows
+    return df.count() <= policy.broadcast_rows
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
-                policy: SkewPolicy = DEFAULT_POLICY, hot: DataFrame | None = None,
-                check_hot: bool = True) -> DataFrame:
+                policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """Join ``left`` with a table holding one row per key, whatever the key's skew.
 
     A small table is broadcast after its row count is checked. A larger one is
     shuffled; keys that are hot on the left are salted there and repeated per salt
     on the right, so no task receives a whole hot key. Null keys match null keys.
-    ``how`` is inner, left, left_semi or left_anti.
+    ``how`` is inner, left, left_semi or left_anti. ``hot`` is the table of keys that are
+    hot on the left when already known, None for "no hot keys". ``right`` is counted and
+    then joined, so it should be a stored table.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if is_small(right, policy):
         return _equi(left, F.broadcast(right), keys, how)
-    if hot is None and check_hot:
+    if isinstance(hot, str):
         hot = hot_keys(left, keys, policy)
     if hot is None:
         return _equi(left, right, keys, how)

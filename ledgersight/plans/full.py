@@ -33,11 +33,11 @@ class FullConfig:
 
 
 def labelled_log(frames: dict[str, DataFrame], labels: DataFrame,
-                 policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+                 policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """Normalised log over all periods with labels and the three-way raw target."""
     parts = {p: normalise.normalise_lenient(normalise.keep_existing(df, fv.EVENT_COLUMNS))
              for p, df in frames.items()}
-    log = periods.tagged_union(parts, policy=policy)
+    log = periods.tagged_union(parts, policy=policy, hot=hot)
     return periods.attach_by_event(log, labels).withColumn(
         "train_target_raw", label_rules.three_way())
 

@@ -91,16 +91,16 @@ def training_rows(history: DataFrame | None, train: DataFrame, labels: DataFrame
 def scored_rows(history: DataFrame | None, scored: DataFrame,
                 config: VelocityConfig = VelocityConfig()) -> DataFrame:
     """Feature rows of the events to score; history serves only their customers."""
+    hot = periods.hot_customers([history, scored], config.policy)
     target = periods.tag(normalise.normalise_strict(scored), target=(None, "bigint"), is_submit=1)
     parts = [target]
     if history is not None:
         past = normalise.normalise_strict(history)
         if config.history_days is not None:
             past = periods.since(past, config.scored_start, days_before=config.history_days)
-        past = periods.keep_customers(past, periods.customers_of(target), config.policy)
+        past = periods.keep_customers(past, periods.customers_of(target), config.policy, hot)
         parts.append(periods.tag(past, target=(None, "bigint"), is_submit=0))
     events = _customers(periods.union_diagonal(*parts), config)
-    hot = periods.hot_customers([history, scored], config.policy)
     rows = velocity(events, policy=config.policy, hot=hot).where(F.col("is_submit") == 1)
     return normalise.normalise_categories(rows)
 
