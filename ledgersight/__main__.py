@@ -3,6 +3,7 @@
 import argparse
 
 from . import jobs
+from .operators.lineage import discard_stored
 from .plans import reports
 from .session import build_session
 
@@ -35,6 +36,7 @@ def main(argv=None):
     else:
         first, second = list(files.values())[:2]
         jobs.compare_run(spark, args.data, args.out, first, second).show()
+    discard_stored(spark)
 
 
 if __name__ == "__main__":

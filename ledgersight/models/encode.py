@@ -42,9 +42,10 @@ class Encoder:
         rows = train.count() if fewest_rows is None else fewest_rows
         limit = min(self.max_categories, rows // 2)
         self.low, high = by_cardinality(train, self.categorical, limit)
-        self.rates = priors.fit(train.withColumn("target", F.col(label)), None, high) if high else {}
-        self.rates = {k: table.select(k, F.col(f"prior_{k}_red_rate_all").alias(f"rate_{k}"))
-                      for k, table in self.rates.items()}
+        self.rates = {}
+        if high:
+            fitted = priors.fit(train.withColumn("target", F.col(label)), None, high)
+            self.rates = fitted.keep(lambda k: {f"prior_{k}_red_rate_all": f"rate_{k}"})
         self.rate_columns = [f"rate_{k}" for k in high]
         train = self._with_rates(train)
         inputs = self.numeric + self.rate_columns

@@ -31,3 +31,13 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Delete the tables ``materialise`` stored for this application."""
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{current}/stored-*")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(path) or []:
+            fs.delete(status.getPath(), True)

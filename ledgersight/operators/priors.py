@@ -15,6 +15,22 @@ from .skew import DEFAULT_POLICY, SkewPolicy, lookup_join
 STATISTICS = ("cnt", "red_rate_all", "labeled_rate_all", "red_share_labeled")
 
 
+class PriorTables(dict):
+    """Key -> prior table, with the number of rows of each."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.rows = {}
+
+    def keep(self, columns) -> "PriorTables":
+        """The same tables with only some of their columns: key -> {column: new name}."""
+        kept = PriorTables({
+            key: table.select(key, *[F.col(c).alias(n) for c, n in columns(key).items()])
+            for key, table in self.items()})
+        kept.rows = dict(self.rows)
+        return kept
+
+
 def prior_columns(key: str) -> list[str]:
     return [f"prior_{key}_{s}" for s in STATISTICS]
 
@@ -29,8 +45,11 @@ def fit_rows(df: DataFrame, holdout_start=None, time: str = "event_ts") -> DataF
 
 def fit(events: DataFrame, labels: DataFrame | None, keys=fv.PRIOR_KEYS,
         cnt_smooth: float = fv.PRIOR_COUNT_SMOOTHING,
-        lbl_smooth: float = fv.PRIOR_LABELLED_SMOOTHING) -> dict[str, DataFrame]:
-    """Key -> prior table. ``events`` already carries ``target`` when ``labels`` is None."""
+        lbl_smooth: float = fv.PRIOR_LABELLED_SMOOTHING) -> "PriorTables":
+    """Key -> prior table. ``events`` already carries ``target`` when ``labels`` is None.
+
+    The tables are stored; ``PriorTables.rows`` holds their sizes.
+    """
     keys = list(keys)
     if labels is not None:
         events = events.select("event_id", *keys).join(labels, "event_id", "left")
@@ -41,10 +60,12 @@ def fit(events: DataFrame, labels: DataFrame | None, keys=fv.PRIOR_KEYS,
              F.coalesce(F.sum("target"), F.lit(0)).cast("double").alias("red"))
     )
     counted = materialise(counted)
-    tables = {}
+    sizes = {r["_set"]: r["count"] for r in counted.groupBy("_set").count().collect()}
+    tables = PriorTables()
     for i, key in enumerate(keys):
         # grouping_id has a bit per key, set when the key is not part of the group
         this_set = (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - i))
+        tables.rows[key] = sizes.get(this_set, 0)
         red, lbl, cnt = F.col("red"), F.col("lbl"), F.col("cnt")
         tables[key] = counted.where(F.col("_set") == this_set).select(
             F.col(key),
@@ -59,6 +80,7 @@ def fit(events: DataFrame, labels: DataFrame | None, keys=fv.PRIOR_KEYS,
 def apply(df: DataFrame, tables: dict[str, DataFrame],
           policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Attach every prior table; an unseen category leaves its columns null."""
+    rows = getattr(tables, "rows", {})
     for key, table in tables.items():
-        df = lookup_join(df, table, key, "left", policy)
+        df = lookup_join(df, table, key, "left", policy, right_rows=rows.get(key))
     return df

@@ -13,6 +13,7 @@ return the same values.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,7 +23,8 @@ from .. import fixed_values as fv
 from ..functions.casts import amount_units, units_to_amount
 from ..functions.calendar import DAY_US, HOUR_US, seconds_between
 from .lineage import materialise
-from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join, split_hot
+from .skew import (DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join, null_safe_join,
+                   split_hot)
 from .timeline import neighbour_time, slice_width, sums_before
 
 CUSTOMER = "customer_id"
@@ -200,55 +202,59 @@ def _distinct_by_customer(df, spec):
 
     A row stands for its value from its own time until the value shows up again or
     the row leaves the frame. Counting rows whose stand began before t and not ended
-    gives the distinct count as a running sum.
+    gives the distinct count as a running sum. Only the row that begins a stand carries
+    the other columns.
     """
     same_value = W.partitionBy(*spec.keys, spec.value).orderBy(TIME, "event_id")
     until = F.least(F.col(TIME) + spec.period_us, F.lead(TIME).over(same_value))
+    others = [c for c in df.columns if c not in spec.keys]
     marks = F.array(
-        F.struct(F.col(TIME).alias("at"), F.lit(1).alias("step")),
-        F.struct(F.col("_until").alias("at"), F.lit(-1).alias("step")),
+        F.struct(F.col(TIME).alias("_at"), F.lit(1).alias("_step"), F.struct(*others).alias("_row")),
+        F.struct(F.col("_until").alias("_at"), F.lit(-1).alias("_step"), F.lit(None).alias("_row")),
     )
-    earlier = (W.partitionBy(*spec.keys).orderBy("_mark.at")
+    earlier = (W.partitionBy(*spec.keys).orderBy("_at")
                .rangeBetween(W.unboundedPreceding, -1))
     return (
         df.withColumn("_until", until)
-        .withColumn("_mark", F.explode(marks)).drop("_until")
-        .withColumn(spec.name, F.coalesce(F.sum("_mark.step").over(earlier), F.lit(0)))
-        .where(F.col("_mark.step") == 1).drop("_mark")
+        .select(*spec.keys, F.inline(marks))
+        .withColumn(spec.name, F.coalesce(F.sum("_step").over(earlier), F.lit(0)))
+        .where(F.col("_step") == 1).select(*spec.keys, "_row.*", spec.name)
     )
 
 
 # --- hot customers: per-timestamp sums over time slices -------------------------------
 
 def _by_slice(df, rolling, gaps, totals, scale, policy):
+    wanted = df.columns + [r.name for r in rolling] + [g.name for g in gaps]
+    wanted += [n for t in totals for n in (t.sum_name, t.count_name)]
     width = slice_width(df, CUSTOMER, TIME, policy)
-    plain = [r for r in rolling if r.what != "distinct"]
-    for keys in sorted({r.keys for r in plain}):
-        specs = [r for r in plain if r.keys == keys]
-        df = _join_ticks(df, _rolling_ticks(df, keys, specs, scale, width), keys, policy)
-    for spec in rolling:
-        if spec.what == "distinct":
-            df = _join_ticks(df, _distinct_ticks(df, spec, width), spec.keys, policy)
-    for gap in gaps:
-        df = _join_ticks(df, _gap_ticks(df, gap, width), gap.keys, policy)
-        df = df.withColumn(gap.name, F.when(
-            F.col("event_id") == F.col("_first_id"),
-            F.coalesce(seconds_between(TIME, "_previous"), F.lit(gap.first))
-        ).otherwise(F.lit(0))).drop("_first_id", "_previous")
+    running = [t for t in totals if t.causal]
+    source = df
+    for keys in sorted({s.keys for s in (*rolling, *gaps, *running)}):
+        # one table per key set, so the events are joined once per key set
+        plain = [r for r in rolling if r.keys == keys and r.what != "distinct"]
+        parts = [_rolling_ticks(source, keys, plain, scale, width)] if plain else []
+        parts += [_distinct_ticks(source, r, width) for r in rolling
+                  if r.keys == keys and r.what == "distinct"]
+        parts += [_total_ticks(source, t, scale, width) for t in running if t.keys == keys]
+        mine = [g for g in gaps if g.keys == keys]
+        parts += [_gap_ticks(source, keys, width)] if mine else []
+        ticks = reduce(lambda a, b: null_safe_join(a, b, [*keys, TIME], "inner"), parts)
+        df = lookup_join(df, materialise(ticks), [*keys, TIME], policy=policy)
+        for gap in mine:
+            df = df.withColumn(gap.name, F.when(
+                F.col("event_id") == F.col("_first_id"),
+                F.coalesce(seconds_between(TIME, "_previous"), F.lit(gap.first))
+            ).otherwise(F.lit(0)))
+        df = df.drop("_first_id", "_previous")
     for t in totals:
-        if t.causal:
-            df = _join_ticks(df, _total_ticks(df, t, scale, width), t.keys, policy)
-        else:
-            per_session = df.groupBy(*t.keys).agg(
+        if not t.causal:
+            per_session = source.groupBy(*t.keys).agg(
                 units_to_amount(F.coalesce(F.sum(amount_units(t.value, scale)), F.lit(0)),
                                 scale).alias(t.sum_name),
                 F.count(F.lit(1)).alias(t.count_name))
             df = lookup_join(df, materialise(per_session), t.keys, policy=policy)
-    return df
-
-
-def _join_ticks(df, ticks, keys, policy):
-    return lookup_join(df, materialise(ticks), [*keys, TIME], policy=policy)
+    return df.select(*wanted)
 
 
 def _rolling_ticks(df, keys, specs, scale, width):
@@ -312,9 +318,9 @@ def _distinct_ticks(df, spec, width):
             .where("_event").drop("_event"))
 
 
-def _gap_ticks(df, gap, width):
-    ticks = df.groupBy(*gap.keys, TIME).agg(F.min("event_id").alias("_first_id"))
-    return neighbour_time(ticks, gap.keys, TIME, width, "_previous", following=False)
+def _gap_ticks(df, keys, width):
+    ticks = df.groupBy(*keys, TIME).agg(F.min("event_id").alias("_first_id"))
+    return neighbour_time(ticks, keys, TIME, width, "_previous", following=False)
 
 
 def _total_ticks(df, t, scale, width):

@@ -60,38 +60,40 @@ def is_small(df: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> bool:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
-                policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
+                policy: SkewPolicy = DEFAULT_POLICY, hot="find",
+                right_rows: int | None = None) -> DataFrame:
     """Join ``left`` with a table holding one row per key, whatever the key's skew.
 
     A small table is broadcast after its row count is checked. A larger one is
     shuffled; keys that are hot on the left are salted there and repeated per salt
     on the right, so no task receives a whole hot key. Null keys match null keys.
     ``how`` is inner, left, left_semi or left_anti. ``hot`` is the table of keys that are
-    hot on the left when already known, None for "no hot keys". ``right`` is counted and
-    then joined, so it should be a stored table.
+    hot on the left when already known, None for "no hot keys". ``right`` is counted
+    (unless ``right_rows`` is given) and then joined, so it should be a stored table.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if is_small(right, policy):
-        return _equi(left, F.broadcast(right), keys, how)
+    small = is_small(right, policy) if right_rows is None else right_rows <= policy.broadcast_rows
+    if small:
+        return null_safe_join(left, F.broadcast(right), keys, how)
     if isinstance(hot, str):
         hot = hot_keys(left, keys, policy)
     if hot is None:
-        return _equi(left, right, keys, how)
+        return null_safe_join(left, right, keys, how)
     marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     # the task number spreads full copies of one row; it is the same when a task is retried
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns]),
                     F.lit(policy.salts)).cast("int")
-    salted_left = _equi(left, marked, keys, "left").withColumn(
+    salted_left = null_safe_join(left, marked, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    salted_right = _equi(right, marked, keys, "left").withColumn(
+    salted_right = null_safe_join(right, marked, keys, "left").withColumn(
         "_salt",
         F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(policy.salts - 1)))
                   .otherwise(F.array(F.lit(0)))),
     ).drop("_hot")
-    return _equi(salted_left, salted_right, keys + ["_salt"], how).drop("_salt")
+    return null_safe_join(salted_left, salted_right, keys + ["_salt"], how).drop("_salt")
 
 
-def _equi(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
     """Null-safe equi-join that keeps one copy of the key columns."""
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],

@@ -48,11 +48,12 @@ def feature_table(log: DataFrame, config: FullConfig = FullConfig(),
 
     ``hot`` is the result of ``periods.hot_customers`` over the raw frames, if at hand.
     """
-    log = sampling.mark_samples(normalise.add_event_features(log), config.sample_border,
-                                hasher=config.hasher)
+    log = sampling.mark_samples(log, config.sample_border, hasher=config.hasher)
+    log = log.withColumn("event_date", F.to_date("event_ts"))
     rows = history_features(log, columns, policy=config.policy, hot=hot)
     rows = rows.where(F.col("is_train_sample") | F.col("is_test"))
-    rows = rows.withColumn("target_bin", label_rules.red_vs_rest())
+    # features of the single event are computed last, for the rows that are kept
+    rows = normalise.add_event_features(rows).withColumn("target_bin", label_rules.red_vs_rest())
     wanted = fv.META_COLUMNS + fv.CATEGORICAL_FEATURES + fv.EVENT_FEATURES + fv.HISTORY_FEATURES
     return normalise.keep_existing(rows, dict.fromkeys(wanted))
 
