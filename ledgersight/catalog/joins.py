@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import periods, predictions, priors
 from ..operators.lineage import materialise
+from ..operators.skew import DEFAULT_POLICY, SkewPolicy
 from .inputs import REDUCED, prediction_files
 from .registry import LAB, PER, SCO, query, with_ev
 
@@ -77,19 +78,32 @@ PRIOR_CTE = """pri_{c} AS (
   FROM lg WHERE period = 'train' GROUP BY {c})"""
 
 
-@query("jn_8_apply_priors", with_ev("""
+PRIORS_SQL = with_ev("""
 SELECT event_id, a.cnt AS prior_mcc_code_cnt, a.red_rate AS prior_mcc_code_red_rate_all,
        b.lbl_rate AS prior_event_desc_labeled_rate_all, b.red_share AS prior_event_desc_red_share_labeled
 FROM lg LEFT JOIN pri_event_type a USING (event_type) LEFT JOIN pri_k b USING (k)""",
-                                    LAB, PER, PRIOR_CTE.format(c="event_type"), PRIOR_CTE.format(c="k")))
-def _(t):
+                     LAB, PER, PRIOR_CTE.format(c="event_type"), PRIOR_CTE.format(c="k"))
+
+
+def prior_features(t, policy):
     df = t.period_log()
     tables = priors.fit(priors.fit_rows(df), None, ["mcc_code", "event_desc"])
-    return priors.apply(df, tables).select(
+    return priors.apply(df, tables, policy).select(
         "event_id", "prior_mcc_code_cnt", "prior_mcc_code_red_rate_all",
         "prior_event_desc_labeled_rate_all", "prior_event_desc_red_share_labeled")
 
 
+@query("jn_8_apply_priors", PRIORS_SQL)
+def _(t):
+    return prior_features(t, DEFAULT_POLICY)
+
+
+@query("jn_8_apply_priors_salted", PRIORS_SQL)
+def _(t):
+    """Limits so low that the tables are shuffled and every merchant code is salted."""
+    return prior_features(t, SkewPolicy(hot_rows=100, broadcast_rows=2, salts=8))
+
+
 @query("jn_9_merge_predictions", with_ev("SELECT event_id, p1 AS pred_a, p2 AS pred_b, p3 AS pred_c FROM sco", LAB, SCO))
 def _(t):
     return predictions.merge_predictions(prediction_files(t))

@@ -8,11 +8,13 @@ from ..models import boosting
 from ..plans import full, reports
 from ..plans.velocity import VelocityConfig, scored_rows, tagged_features, training_rows, velocity
 from ..operators.lineage import materialise
+from ..operators.history import history_features
 from ..operators.periods import hot_customers
+from ..operators.skew import SkewPolicy
 from .inputs import prediction_files
 from .registry import (HOLDOUT_START, LAB, PER, PRETEST_FROM, RECENT_BORDER, SAMPLE_BORDER, SCO, TEST_FROM,
                        TRAIN_FROM, md5_number, query, with_ev)
-from .windows import MCC, PRIOR, PRIOR_MEAN, amount, frame, over, rows
+from .windows import COLUMNS, MCC, PRIOR, PRIOR_MEAN, amount, frame, over, rows
 
 VELOCITY = f"""vel AS (
   SELECT *, hour(ts) AS hour, isodow(ts) AS day_of_week, CAST(hour(ts) < 6 AS BIGINT) AS is_night,
@@ -43,6 +45,34 @@ def velocity_features(t):
     return velocity(t.log(), amount="amt").select("event_id", *FEATURES)
 
 
+SPLIT = SkewPolicy(hot_rows=60, broadcast_rows=100, salts=4)
+
+
+@query("job_velocity_features_split", with_ev(
+    f"SELECT event_id, {VELOCITY_COLUMNS} FROM vel", "src AS (SELECT * FROM ev)", VELOCITY))
+def _(t):
+    """The same table with the limits set so low that most customers take the split route."""
+    return velocity(t.log(), amount="amt", policy=SPLIT).select("event_id", *FEATURES)
+
+
+@query("job_history_features_split", with_ev(f"""
+SELECT event_id, ROW_NUMBER() {over()} - 1 AS cust_prev_events, {PRIOR_MEAN} AS cust_prev_amt_mean,
+  COALESCE((us - LAG(us) {over()}) // 1000000, -1) AS sec_since_prev_event,
+  amt - COALESCE(LAG(amt) {over()}, 0) AS amt_delta_prev,
+  ROW_NUMBER() {over('event_type')} - 1 AS cnt_prev_same_type, ROW_NUMBER() {over('k')} - 1 AS cnt_prev_same_desc,
+  ROW_NUMBER() {over('sub')} - 1 AS cnt_prev_same_subtype, ROW_NUMBER() {over('session_id')} - 1 AS cnt_prev_same_session,
+  COALESCE((us - LAG(us) {over('event_type')}) // 1000000, -1) AS sec_since_prev_same_type,
+  COALESCE((us - LAG(us) {over('k')}) // 1000000, -1) AS sec_since_prev_same_desc,
+  ROW_NUMBER() {over('CAST(ts AS DATE)')} - 1 AS events_before_today FROM ev"""))
+def _(t):
+    """The history block with most customers spread over time slices."""
+    out = history_features(t.log(), COLUMNS, policy=SPLIT)
+    return out.select(
+        "event_id", "cust_prev_events", "cust_prev_amt_mean", "sec_since_prev_event", "amt_delta_prev",
+        "cnt_prev_same_type", "cnt_prev_same_desc", "cnt_prev_same_subtype", "cnt_prev_same_session",
+        "sec_since_prev_same_type", "sec_since_prev_same_desc", "events_before_today")
+
+
 # raw events: text timestamps hold whole seconds
 SECONDS = """sec AS (
   SELECT * REPLACE (date_trunc('second', ts) AS ts, epoch_us(date_trunc('second', ts)) AS us) FROM lg)"""

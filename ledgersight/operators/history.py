@@ -17,7 +17,7 @@ from ..functions.calendar import seconds_between
 from ..functions.casts import amount_units, units_to_amount
 from .lineage import materialise
 from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot
-from .timeline import cell_of, slice_width
+from .timeline import slice_rows
 
 CUSTOMER = "customer_id"
 TIME = "event_us"
@@ -52,8 +52,7 @@ def history_features(df: DataFrame, columns: HistoryColumns = HistoryColumns(),
         out = _windows(df.repartition(CUSTOMER), columns, [])
     else:
         ordinary, heavy = split_hot(df, hot, CUSTOMER)
-        width = slice_width(heavy, CUSTOMER, TIME, policy)
-        heavy = materialise(heavy.withColumn("_cell", cell_of(TIME, width)))
+        heavy = materialise(slice_rows(heavy, CUSTOMER, TIME, "event_id", policy))
         sliced = _windows(_with_openings(heavy, columns), columns, ["_cell"])
         out = _windows(ordinary.repartition(CUSTOMER), columns, []).unionByName(
             sliced.where(F.col("_opens").isNull()).drop("_opens", "_cell",

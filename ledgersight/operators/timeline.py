@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAY_US, SECOND_US
-from .skew import DEFAULT_POLICY, SkewPolicy
+from .lineage import materialise
+from .skew import DEFAULT_POLICY, SkewPolicy, null_safe_join
 
 MAX_CELL_US = 30 * DAY_US
 
@@ -36,6 +37,52 @@ def slice_width(df: DataFrame, key: str, time: str,
     return width
 
 
+def slice_rows(df: DataFrame, key: str, time: str, tie: str,
+               policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+    """Add _cell, a slice of the (time, tie) order of each key that fits one task.
+
+    Slices are time cells. Where even the narrowest cell is overfull, rows are cut by
+    their exact time and then by ranges of the unique whole number ``tie``. The list of
+    overfull cells has at most rows / hot_rows entries.
+    """
+    width = slice_width(df, key, time, policy)
+    at = cell_of(time, width)
+    whole = F.lit(0).cast("bigint")
+    overfull = (df.groupBy(key, at.alias("_at")).count()
+                .where(F.col("count") > policy.hot_rows).select(key, "_at"))
+    if overfull.isEmpty():
+        return df.withColumn("_cell", F.struct(at.alias("at"), whole.alias("exact"), whole.alias("part")))
+    overfull = materialise(overfull)
+    marked = null_safe_join(df.withColumn("_at", at),
+                            F.broadcast(overfull.withColumn("_full", F.lit(True))),
+                            [key, "_at"], "left")
+    step = _tie_step(marked.where("_full"), key, time, tie, policy)
+    exact = F.when(F.col("_full"), F.col(time)).otherwise(whole)
+    part = F.when(F.col("_full"), F.expr(f"{tie} div {step}")).otherwise(whole)
+    return marked.withColumn(
+        "_cell", F.struct(F.col("_at").alias("at"), exact.alias("exact"), part.alias("part"))
+    ).drop("_at", "_full")
+
+
+def _tie_step(df, key, time, tie, policy) -> int:
+    """Width of tie ranges such that no (key, time, range) exceeds the row limit.
+
+    Ties are unique, so a range of ``hot_rows`` numbers always fits.
+    """
+    ticks = df.groupBy(key, time).agg(
+        F.count(F.lit(1)).alias("n"), F.min(tie).alias("lo"), F.max(tie).alias("hi"))
+    gap = ticks.where(F.col("n") > policy.hot_rows).agg(
+        F.min((F.col("hi") - F.col("lo") + 1) / F.col("n"))).first()[0]
+    step = max(policy.hot_rows, int((gap or 1) * policy.hot_rows / 2))
+    while step > policy.hot_rows:
+        fullest = (df.groupBy(key, time, F.expr(f"{tie} div {step}")).count()
+                   .agg(F.max("count")).first()[0])
+        if fullest <= policy.hot_rows:
+            break
+        step = max(policy.hot_rows, step // 8)
+    return step
+
+
 def cell_of(time, width: int) -> Column:
     time = F.col(time) if isinstance(time, str) else time
     return F.floor(time / F.lit(width)).cast("bigint")

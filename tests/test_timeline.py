@@ -155,3 +155,19 @@ def test_result_does_not_depend_on_partitioning(spark):
     one = timeline_features(frame(spark, rows).coalesce(1), SPECS).collect()
     many = timeline_features(frame(spark, rows).repartition(7), SPECS).collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_ties_are_cut_by_id_ranges(spark):
+    """All events of a customer at one instant, ids far apart: no slice is overfull."""
+    from ledgersight.operators.timeline import slice_rows
+    r = random.Random(7)
+    rows = [row(r.randrange(10**12), 1, 0, amt=float(i), kind=r.choice("tu")) for i in range(40)]
+    rows += [row(5 + i, 1, HOUR_US * i) for i in range(3)] + [row(99, 2, 0)]
+    sliced = slice_rows(frame(spark, rows), "customer_id", "event_us", "event_id", SPLIT)
+    fullest = sliced.groupBy("customer_id", "_cell").count().agg({"count": "max"}).first()[0]
+    assert fullest <= SPLIT.hot_rows
+    want = brute.history(rows, COLUMNS)
+    out = history_features(frame(spark, rows), COLUMNS, policy=SPLIT).persist()
+    for name in ("cust_prev_events", "cust_prev_amt_mean", "amt_delta_prev", "cnt_prev_same_type"):
+        assert collected(out, name) == pytest.approx({k: v[name] for k, v in want.items()}), name
+    out.unpersist()
