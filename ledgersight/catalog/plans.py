@@ -132,6 +132,20 @@ def _(t):
     return scored_rows(history, cut["test"]).select("event_id", "mcc_code", *FEATURES)
 
 
+@query("job_scored_rows_bounded", with_ev(f"""
+SELECT event_id, {VELOCITY_COLUMNS} FROM vel WHERE period = 'test'""",
+                                          LAB, PER, SECONDS, f"""src AS (
+  SELECT * FROM sec WHERE period = 'test' OR (period IN ('train', 'pretest')
+    AND ts >= TIMESTAMP '{TEST_FROM}' - INTERVAL 5 DAYS
+    AND customer_id IN (SELECT customer_id FROM lg WHERE period = 'test')))""", VELOCITY))
+def _(t):
+    """History of scored customers bounded to five days before the scored period."""
+    cut = raw_periods(t)
+    config = VelocityConfig(scored_start=TEST_FROM, scored_history_days=5)
+    history = cut["train"].unionByName(cut["pretest"])
+    return scored_rows(history, cut["test"], config).select("event_id", *FEATURES)
+
+
 @query("job_tagged_features", with_ev(f"""
 SELECT event_id, CASE period WHEN 'pretrain' THEN 'pre_train' WHEN 'pretest' THEN 'pre_test' ELSE period END AS split_group,
        CASE WHEN period = 'train' THEN target END AS target, {VELOCITY_COLUMNS} FROM vel""",

@@ -32,7 +32,8 @@ VELOCITY_RUNS = {
         "fallback": 10.0, "history": ("pretrain", "train", "pretest")},
     "bounded": {
         "features": VelocityConfig(label_rule="labelled", sample_keep=1, sample_modulus=50,
-                                   history_days=fv.HISTORY_DAYS),
+                                   history_days=fv.HISTORY_DAYS,
+                                   scored_history_days=fv.HISTORY_DAYS),
         "preset": "ensemble", "seeds": fv.SEEDS_TEN, "holdout_start": None, "pos_weight": None,
         "history": ("train", "pretest")},
 }

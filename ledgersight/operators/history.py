@@ -93,37 +93,43 @@ def _windows(df, columns, cell):
     sliced = bool(cell)
     amt = F.col(columns.amt)
 
-    def before(extra):
+    def ordered(extra):
         keys = [CUSTOMER, *cell] + ([extra] if extra else [])
         order = [F.col("_opens").asc_nulls_last()] if sliced else []
-        return (W.partitionBy(*keys).orderBy(*order, F.col(TIME), F.col("event_id"))
-                .rowsBetween(W.unboundedPreceding, -1))
+        return W.partitionBy(*keys).orderBy(*order, F.col(TIME), F.col("event_id"))
+
+    def before(extra):
+        return ordered(extra).rowsBetween(W.unboundedPreceding, -1)
 
     def total(plain: Column, carried: str, w) -> Column:
         value = F.when(F.col("_opens").isNull(), plain).otherwise(F.col(carried)) if sliced else plain
         return F.sum(value).over(w)
 
-    def previous(group, w) -> Column:
-        row = F.struct(F.col(TIME).alias("at"), amt.alias("amt"))
+    def count(group, extra) -> Column:
         if not sliced:
-            return F.last(row).over(w)
+            return F.row_number().over(ordered(extra)).cast("bigint") - 1
+        return F.coalesce(total(F.lit(1), f"_n_{group}", before(extra)), F.lit(0))
+
+    def previous(group, extra) -> Column:
+        if not sliced:
+            w = ordered(extra)
+            return F.struct(F.lag(TIME).over(w).alias("at"), F.lag(amt).over(w).alias("amt"))
+        row = F.struct(F.col(TIME).alias("at"), amt.alias("amt"))
         seen = (F.when(F.col("_opens").isNull(), row)
                 .when(F.col("_opens") == group, F.col("_prev")))
-        return F.last(seen, ignorenulls=True).over(w)
+        return F.last(seen, ignorenulls=True).over(before(extra))
 
-    features = {}
-    for group, extra in columns.groups().items():
-        w = before(extra)
-        features[f"_before_{group}"] = F.coalesce(total(F.lit(1), f"_n_{group}", w), F.lit(0))
     w = before(None)
-    # whole units make the sum exact, so it does not depend on how rows were grouped
-    features["_before_sum"] = units_to_amount(
-        F.coalesce(total(amount_units(columns.amt), "_sum", w), F.lit(0)))
-    features["_before_sq"] = F.coalesce(total(amt * amt, "_sq", w), F.lit(0.0))
-    features["_last_customer"] = previous("customer", w)
-    features["_last_type"] = previous("type", before(columns.type))
-    features["_last_desc"] = previous("desc", before(columns.desc))
-    return df.withColumns(features)
+    return df.withColumns({
+        **{f"_before_{g}": count(g, extra) for g, extra in columns.groups().items()},
+        # whole units make the sum exact, so it does not depend on how rows were grouped
+        "_before_sum": units_to_amount(
+            F.coalesce(total(amount_units(columns.amt), "_sum", w), F.lit(0))),
+        "_before_sq": F.coalesce(total(amt * amt, "_sq", w), F.lit(0.0)),
+        "_last_customer": previous("customer", None),
+        "_last_type": previous("type", columns.type),
+        "_last_desc": previous("desc", columns.desc),
+    })
 
 
 def _derive(df, columns, first_gap, base, keep_running):

@@ -21,12 +21,14 @@ class VelocityConfig:
     label_rule: "negative" counts unlabelled rows as 0, "labelled" drops them.
     sample_stage: "after" samples finished feature rows; "before" samples raw events, which
     makes the windows of training rows sparser than those of scored rows.
-    history_days: None keeps all history; otherwise this much before the start date.
+    history_days: None keeps all history of training rows; otherwise this much before the
+    start date. scored_history_days: the same for scored rows and their start date.
     """
 
     start: str = fv.TRAIN_START
     scored_start: str = fv.TEST_START
     history_days: int | None = None
+    scored_history_days: int | None = None
     label_rule: str = "negative"
     sample_keep: int | None = 10
     sample_modulus: int = 100
@@ -96,8 +98,8 @@ def scored_rows(history: DataFrame | None, scored: DataFrame,
     parts = [target]
     if history is not None:
         past = normalise.normalise_strict(history)
-        if config.history_days is not None:
-            past = periods.since(past, config.scored_start, days_before=config.history_days)
+        if config.scored_history_days is not None:
+            past = periods.since(past, config.scored_start, days_before=config.scored_history_days)
         past = periods.keep_customers(past, periods.customers_of(target), config.policy, hot)
         parts.append(periods.tag(past, target=(None, "bigint"), is_submit=0))
     events = _customers(periods.union_diagonal(*parts), config)

@@ -83,7 +83,8 @@ def scored_ids(spark, data):
     return {r[0] for r in spark.read.parquet(f"{data}/test.parquet").select("event_id").collect()}
 
 
-FEATURES = VelocityConfig(start=TRAIN_FROM, scored_start="2024-01-24", history_days=10, sample_keep=60)
+FEATURES = VelocityConfig(start=TRAIN_FROM, scored_start="2024-01-24", history_days=10,
+                          scored_history_days=10, sample_keep=60)
 
 
 def check(out, ids):
