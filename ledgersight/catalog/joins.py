@@ -11,7 +11,7 @@ from .registry import LAB, PER, SCO, query, with_ev
 
 @query("jn_1_labels", with_ev("SELECT event_id, target FROM ev LEFT JOIN lab USING (event_id)", LAB))
 def _(t):
-    return periods.attach_by_event(t.log(), t.labels()).select("event_id", "target")
+    return periods.attach_labels(t.log(), t.labels()).select("event_id", "target")
 
 
 @query("jn_1_sparse_quality_labels", """
@@ -101,7 +101,7 @@ def _(t):
 @query("jn_8_apply_priors_salted", PRIORS_SQL)
 def _(t):
     """Limits so low that the tables are shuffled and every merchant code is salted."""
-    return prior_features(t, SkewPolicy(hot_rows=100, broadcast_rows=2, salts=8))
+    return prior_features(t, SkewPolicy(hot_rows=100, broadcast_rows=2))
 
 
 @query("jn_9_merge_predictions", with_ev("SELECT event_id, p1 AS pred_a, p2 AS pred_b, p3 AS pred_c FROM sco", LAB, SCO))

@@ -45,7 +45,7 @@ def velocity_features(t):
     return velocity(t.log(), amount="amt").select("event_id", *FEATURES)
 
 
-SPLIT = SkewPolicy(hot_rows=60, broadcast_rows=100, salts=4)
+SPLIT = SkewPolicy(hot_rows=60, broadcast_rows=100)
 
 
 @query("job_velocity_features_split", with_ev(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.casts import column
 from .lineage import materialise
-from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join
+from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, is_small, lookup_join
 
 
 def tag(df: DataFrame, **literals) -> DataFrame:
@@ -49,6 +49,16 @@ def attach_by_event(df: DataFrame, other: DataFrame, how: str = "left") -> DataF
     return df.join(other.select(*extra), "event_id", how)
 
 
+def attach_labels(df: DataFrame, labels: DataFrame,
+                  policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
+    """Left join of the sparse label table; it is broadcast when its row count allows.
+
+    That saves shuffling the wide log by event before it is shuffled by customer.
+    """
+    small = is_small(labels, policy)
+    return attach_by_event(df, F.broadcast(labels) if small else labels)
+
+
 def tagged_union(frames: dict, reduce_to_history: bool = True,
                  policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """One log over all periods with a ``period`` column.

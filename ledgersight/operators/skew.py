@@ -21,7 +21,6 @@ class SkewPolicy:
     hot_rows: int = 1_000_000          # a key above this is split
     min_cell_us: int = 1_000_000       # narrowest time slice of a split customer
     broadcast_rows: int = 1_000_000    # a lookup table above this is shuffled instead
-    salts: int = 64                    # ways a hot join key is spread
 
 
 DEFAULT_POLICY = SkewPolicy()
@@ -37,10 +36,12 @@ def same(left: DataFrame, right: DataFrame, names) -> Column:
 def hot_keys(df: DataFrame, keys, policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame | None:
     """Keys owning more than ``policy.hot_rows`` rows, or None when there are none.
 
-    The counts are combined before the shuffle, so the check itself is not skewed.
+    Column _parts is the number of tasks the key's rows should be spread over. The counts
+    are combined before the shuffle, so the check itself is not skewed.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    found = df.groupBy(*keys).count().where(F.col("count") > policy.hot_rows).select(*keys)
+    parts = F.ceil(F.col("count") / policy.hot_rows).cast("int").alias("_parts")
+    found = df.groupBy(*keys).count().where(F.col("count") > policy.hot_rows).select(*keys, parts)
     if found.isEmpty():
         return None
     return materialise(found)
@@ -79,17 +80,14 @@ def lookup_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
         hot = hot_keys(left, keys, policy)
     if hot is None:
         return null_safe_join(left, right, keys, how)
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot)
     # the task number spreads full copies of one row; it is the same when a task is retried
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns]),
-                    F.lit(policy.salts)).cast("int")
-    salted_left = null_safe_join(left, marked, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    salted_right = null_safe_join(right, marked, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(policy.salts - 1)))
-                  .otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
+    spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns])
+    salted_left = null_safe_join(left, hot, keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(spread, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    salted_right = null_safe_join(right, hot, keys, "left").withColumn(
+        "_salt", F.explode(copies)).drop("_parts")
     return null_safe_join(salted_left, salted_right, keys + ["_salt"], how).drop("_salt")
 
 

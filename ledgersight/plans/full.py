@@ -38,7 +38,7 @@ def labelled_log(frames: dict[str, DataFrame], labels: DataFrame,
     parts = {p: normalise.normalise_lenient(normalise.keep_existing(df, fv.EVENT_COLUMNS))
              for p, df in frames.items()}
     log = periods.tagged_union(parts, policy=policy, hot=hot)
-    return periods.attach_by_event(log, labels).withColumn(
+    return periods.attach_labels(log, labels, policy).withColumn(
         "train_target_raw", label_rules.three_way())
 
 

@@ -34,7 +34,7 @@ def write_prediction_report(spark: SparkSession, files: dict[str, str], out: str
 def labelled_features(events: DataFrame, labels: DataFrame, amount: str = "operaton_amt",
                       policy: SkewPolicy = DEFAULT_POLICY) -> DataFrame:
     """Labelled events with the features that are compared between classes."""
-    rows = periods.labelled(periods.attach_by_event(events, labels))
+    rows = periods.labelled(periods.attach_labels(events, labels, policy))
     wanted = [s for s in velocity_specs(amount) if s.name in ("amt_1h", "amt_24h", "cnt_24h")]
     rows = timeline_features(rows, wanted, [Gap("seconds_since_prev")], policy=policy)
     return rows.withColumns({"hour": F.hour("event_ts"),

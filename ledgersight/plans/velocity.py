@@ -74,7 +74,7 @@ def training_rows(history: DataFrame | None, train: DataFrame, labels: DataFrame
                   config: VelocityConfig = VelocityConfig()) -> DataFrame:
     """Feature rows with target, from raw history and training events."""
     parts = [normalise.normalise_strict(df) for df in (history, train) if df is not None]
-    events = periods.attach_by_event(periods.union_diagonal(*parts), labels)
+    events = periods.attach_labels(periods.union_diagonal(*parts), labels, config.policy)
     if config.label_rule == "negative":
         events = events.withColumn("target", unlabelled_as_negative())
     if config.history_days is not None:
@@ -114,7 +114,7 @@ def tagged_features(frames: dict[str, DataFrame], labels: DataFrame,
     parts = []
     for period, df in frames.items():
         df = periods.tag(normalise.normalise_strict(df), split_group=names[period])
-        parts.append(periods.attach_by_event(df, labels) if period == "train"
+        parts.append(periods.attach_labels(df, labels, policy) if period == "train"
                      else periods.tag(df, target=(None, "bigint")))
     hot = periods.hot_customers(frames.values(), policy)
     return normalise.normalise_categories(

@@ -57,8 +57,12 @@ def read_events(spark: SparkSession, paths, first_files: int | None = None,
     return reader.parquet(*paths[:first_files])
 
 
-def read_period_files(spark: SparkSession, base: str, first_files: int | None = None) -> dict:
-    """Period name -> raw event log, for the standard file layout under ``base``."""
+def read_period_files(spark: SparkSession, base: str, first_files: int | None = None,
+                      tolerant: bool = False) -> dict:
+    """Period name -> raw event log, for the standard file layout under ``base``.
+
+    ``tolerant`` is for files whose columns differ within a period; it opens every footer.
+    """
     layout = {
         "pretrain": (f"{base}/*pre*train*.parquet", None),
         "train": (f"{base}/train_part_*.parquet", None),
@@ -67,7 +71,7 @@ def read_period_files(spark: SparkSession, base: str, first_files: int | None =
     }
     frames = {}
     for period, (pattern, exclude) in layout.items():
-        events = read_events(spark, find_paths(spark, pattern, exclude), first_files, tolerant=True)
+        events = read_events(spark, find_paths(spark, pattern, exclude), first_files, tolerant)
         if events is not None:
             frames[period] = canonical_names(events)
     return frames

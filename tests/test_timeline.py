@@ -17,7 +17,7 @@ SCHEMA = ("event_id bigint, customer_id bigint, event_us bigint, amt double, mcc
           "event_type_nm string, event_desc int, channel_indicator_sub_type int, session_id bigint, "
           "event_date date")
 START = 1_704_067_200 * SECOND_US
-SPLIT = SkewPolicy(hot_rows=6, broadcast_rows=4, salts=3)
+SPLIT = SkewPolicy(hot_rows=6, broadcast_rows=4)
 COLUMNS = HistoryColumns(mcc="mcc")
 
 
@@ -74,10 +74,10 @@ def test_rolling_matches_definition(spark, seed, policy):
 def test_rolling_with_many_ties(spark, events):
     rows = [row(i, c, t * 12 * HOUR_US, mcc=m) for i, (c, t, m) in enumerate(events)]
     check_rolling(spark, rows, SkewPolicy())
-    check_rolling(spark, rows, SkewPolicy(hot_rows=2, broadcast_rows=1, salts=2))
+    check_rolling(spark, rows, SkewPolicy(hot_rows=2, broadcast_rows=1))
 
 
-@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(hot_rows=1, broadcast_rows=1, salts=2)],
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(hot_rows=1, broadcast_rows=1)],
                          ids=["plain", "split"])
 def test_frame_borders(spark, policy):
     """[t - period, t): the lower border is inside, t itself and its ties are outside."""
