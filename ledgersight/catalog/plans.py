@@ -11,7 +11,7 @@ from ..operators.lineage import materialise
 from ..operators.history import history_features
 from ..operators.periods import hot_customers
 from ..operators.skew import SkewPolicy
-from .inputs import prediction_files
+from .inputs import DISAGREEMENT, prediction_files
 from .registry import (HOLDOUT_START, LAB, PER, PRETEST_FROM, RECENT_BORDER, SAMPLE_BORDER, SCO, TEST_FROM,
                        TRAIN_FROM, md5_number, query, with_ev)
 from .windows import COLUMNS, MCC, PRIOR, PRIOR_MEAN, amount, frame, over, rows
@@ -269,7 +269,7 @@ def _(t):
 
 # --- reports ---------------------------------------------------------------------------
 
-@query("job_disagreement_report")
+@query("job_disagreement_report", with_ev(DISAGREEMENT, LAB, SCO))
 def _(t):
     report = reports.prediction_report(prediction_files(t))
     return report["disagreement"]
