@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
 
-from . import bpe, line_dedup  # noqa: F401
+from . import bpe, line_dedup, packing, vector_dedup, vector_search  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
