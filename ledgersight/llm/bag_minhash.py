@@ -223,12 +223,12 @@ def family_links(families: DataFrame, features: DataFrame, least: float, share:
 
 
 def near_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id) of every row.
+    """doc_id, h (hash of the text), class_id (smallest doc_id of its class), kept of every row.
 
     Documents are linked at a weighted Jaccard similarity of ``least`` or more of their five-word shingles,
-    and classes are what links connect. Equal multisets are copies; texts without words (null, empty, blank) link
-    with nothing. Repeated rows are copies; a doc_id that occurs with several texts is one document of all
-    their classes' smallest. A null doc_id is compared like others; its class_id is null if all of the class are null.
+    and classes are what links connect; the row of the smallest doc_id, then h, is kept. Equal multisets are copies; texts
+    without words (null, empty, blank) link with nothing and are kept. Repeated rows get equal results. A null doc_id is below
+    all others, so it is the class_id where its class has one.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     signed = materialise(signatures(rows))
@@ -244,16 +244,27 @@ def near_documents(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     features = materialise(multisets(
         rows.join(asked, rows["id"].eqNullSafe(asked["id"]) & (rows["h"] == asked["h"])).select("rep", "text").dropDuplicates(["rep"])))
     links = family_links(families, features, least)
-    classes = reps.select("f1", "f2", "rep", F.col("one.id").alias("first"))
+    classes = reps.select("f1", "f2", "rep", F.col("one").alias("first"))
     classes = classes.join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
     classes = materialise(classes.withColumn("component", F.coalesce("component", "rep")))
-    lowest = materialise(classes.groupBy("component").agg(F.min("first").alias("class_id")))
-    classes = materialise(classes.join(lowest, "component").select("f1", "f2", "class_id"))
-    class_id = F.coalesce("class_id", "id")
-    return signed.select("id", "f1", "f2").join(classes, ["f1", "f2"], "left").select(
-        F.col("id").alias("doc_id"), class_id.alias("class_id"), F.coalesce(F.col("id") == class_id, F.lit(False)).alias("kept"))
+    lowest = materialise(classes.groupBy("component").agg(F.min("first").alias("lowest")))
+    classes = materialise(classes.join(lowest, "component").select("f1", "f2", "lowest"))
+    own = F.struct("id", "h")
+    return signed.select("id", "h", "f1", "f2").join(classes, ["f1", "f2"], "left").select(
+        F.col("id").alias("doc_id"), "h", F.coalesce("lowest", own)["id"].alias("class_id"),
+        F.coalesce(F.col("lowest").eqNullSafe(own), F.lit(True)).alias("kept_row"), F.col("lowest").isNull().alias("alone")).select(
+        "doc_id", "h", "class_id", (F.col("kept_row") | F.col("alone")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Rows of ``docs`` (any columns), one of each class; repeated rows count as copies even without words."""
+    found = near_documents(docs, least).where("kept").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")).alias("__d"), F.col("h").alias("__h")).distinct()
+    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")),
+                              "__h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(found, ["__d", "__h"]).dropDuplicates(["__d", "__h"]).drop("__d", "__h")
 
 
 @query("op10_bag_minhash")
 def op10(spark, base):
-    return near_documents(table(spark, base, "documents"))
+    return near_documents(table(spark, base, "documents")).select("doc_id", "class_id", "kept")

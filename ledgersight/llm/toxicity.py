@@ -207,6 +207,18 @@ def score(docs: DataFrame, fitted) -> DataFrame:
     return features(rows, model, "doc_id bigint").select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
 
 
+def drop_toxic(docs: DataFrame, fitted, threshold: float = 0.7) -> DataFrame:
+    """Rows of ``docs`` (any columns) whose text scores below the threshold, unchanged."""
+    model, curve = fitted
+    if model is None:
+        return docs if curve[0] < threshold else docs.limit(0)
+    names = docs.columns
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("text"))
+    found = features(hidden, model, *[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)])
+    z = F.lit(float(curve[0])) + sum(F.col(f"f{i}") * float(curve[i + 1]) for i in range(3))
+    return found.where(1 / (1 + F.exp(-z)) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
     """doc_id, text, toxic of the rows a model may learn from: crc32(doc_id) mod 3 is not 1, the label 0 or 1."""
     own = labels.where(F.col(column).isin(0, 1) & (remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
