@@ -20,7 +20,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7, as they are."""
-    fitted = toxicity.fit(toxicity.labelled_texts(docs, table(spark, sf_dir, "labels")))
+    fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), fitted)
 
 

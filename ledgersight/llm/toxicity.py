@@ -157,24 +157,26 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([beta[:1], beta[1:] / scale])
 
 
-def fit(labelled: DataFrame, max_per_class: int = MAX_PER_CLASS):
-    """(model, curve) from labelled texts (doc_id, text, toxic).
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, column: str = "toxic"):
+    """(model, curve) from documents and a table of labels.
 
-    Of each class the ``max_per_class`` texts of the lowest hash are used, or as many as the smaller class has, so that
-    both models back off alike; a quarter of them fits the curve, with the classes weighted as in all labelled rows. With one class only, or none, the score is that class's share throughout.
+    Learned from are rows whose crc32(doc_id as text) mod 3 is not 1 and whose label is 0 or 1 (1, where a doc_id has both).
+    Of each class the ``max_per_class`` doc_ids of the lowest hash are used, or as many as the smaller class has, so that
+    both models back off alike; their texts, a bounded number of ids, are picked out of the documents. A quarter of them fits
+    the curve, with the classes weighted as in all labelled rows. With one class only, or none, the score is that class's share throughout.
     """
-    h = F.xxhash64(F.lit("sample"), "doc_id", "text")
-    ids = labelled.select("doc_id", "toxic", h.alias("h"))
+    own = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 3) != 1)).groupBy(
+        F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(column).cast("int").alias("toxic"))
+    ids = materialise(own.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_semi"))
     sizes = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        share = 1.0 if 1 in sizes else 0.0
-        return None, np.array([share])
-    most, limit = min(max_per_class, *sizes.values()), {}
-    for c in (0, 1):        # the hash below which the class has about that many; equal hashes are copies
-        rows = ids.where(F.col("toxic") == c).select("h").orderBy("h").limit(most)
-        limit[c] = rows.agg(F.max("h")).first()[0]
-    chosen = materialise(labelled.where((F.col("toxic") == 0) & (h <= limit[0]) | (F.col("toxic") == 1) & (h <= limit[1]))
-                         .select("text", "toxic", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id", "text"), F.lit(CALIBRATION)) == 0).alias("curve")))
+        return None, np.array([1.0 if 1 in sizes else 0.0])
+    most, h = min(max_per_class, *sizes.values()), F.xxhash64(F.lit("sample"), "doc_id")
+    few = [ids.where(F.col("toxic") == c).orderBy(h, "doc_id").limit(most) for c in (0, 1)]
+    few = F.broadcast(materialise(few[0].unionByName(few[1])))      # 2 * max_per_class rows at most
+    curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(CALIBRATION)) == 0
+    chosen = materialise(documents(docs).join(few, "doc_id").select("text", "toxic", curve.alias("curve")).repartition(
+        max(2, most // 500), F.xxhash64("text")))
     model = fit_counts(chosen.where("not curve"))
     seen = features(chosen.where("curve").select("text", "toxic"), model, "toxic int").toPandas()
     y, x = seen["toxic"].to_numpy(dtype=float), seen[["f0", "f1", "f2"]].to_numpy(dtype=float)
@@ -219,16 +221,9 @@ def drop_toxic(docs: DataFrame, fitted, threshold: float = 0.7) -> DataFrame:
     return found.where(1 / (1 + F.exp(-z)) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
-    """doc_id, text, toxic of the rows a model may learn from: crc32(doc_id) mod 3 is not 1, the label 0 or 1."""
-    own = labels.where(F.col(column).isin(0, 1) & (remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.max(column).cast("int").alias("toxic"))
-    return documents(docs).where(remainder("doc_id", 3) != 1).join(own, "doc_id")
-
-
 @query("op2_kneser_ney_toxicity")
 def op2(spark, base):
     docs = table(spark, base, "documents")
-    found = score(docs, fit(labelled_texts(docs, table(spark, base, "labels"))))
+    found = score(docs, fit(docs, table(spark, base, "labels")))
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
