@@ -19,9 +19,11 @@ from pyspark.sql.window import Window
 from .common import query, table
 from .vector_dedup import _matrix, usable
 
-EPSILON = 3.5           # standard deviations of the estimate's error that the bound covers
+EPSILON = 2.0           # standard deviations of the estimate's error that the bound covers
 QUERY_BITS = 8
-SHARD = 8_192           # vectors a task holds while queries pass
+SHARD = 32_768          # vectors a task holds while queries pass
+PART = 1_024            # queries that pass one copy of a shard
+AT_ONCE = 32            # queries estimated together
 
 
 @lru_cache(maxsize=8)
@@ -55,11 +57,12 @@ class Codes:
         low = turned.min(1, keepdims=True)
         step = np.maximum((turned.max(1, keepdims=True) - low) / top, 1e-300)
         level = np.rint((turned - low) / step).astype(np.int64)
-        total = np.zeros((len(queries), len(self.words)))
+        total = np.zeros((len(queries), len(self.words)), dtype=np.uint32)
         for bit in range(QUERY_BITS):
             plane = _pack(level >> bit & 1)
             for word in range(plane.shape[1]):
-                total += np.bitwise_count(plane[:, word, None] & self.words[None, :, word]) * float(1 << bit)
+                ones = np.bitwise_count(plane[:, word, None] & self.words[None, :, word])
+                total += np.left_shift(ones, bit, dtype=np.uint32)
         picked = low * self.ones[None, :] + step * total       # sum of the query where the code is 1
         signed = (2 * picked - (low * d + step * level.sum(1, keepdims=True))) / np.sqrt(d)
         scale = self.length / self.match
@@ -79,11 +82,9 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nd
     exact[np.take_along_axis(own, tried, 1)] = -np.inf
     last = np.sort(exact, axis=1)[:, -min(k, first)]
     # -inf: fewer than k candidates were tried, so all are taken
-    q, v = np.nonzero((guess + bound >= last[:, None]) & ~own)
-    extra = np.zeros_like(own)
-    extra[q, v] = True
-    np.put_along_axis(extra, tried, True, 1)
-    q, v = np.nonzero(extra & ~own)
+    chosen = guess + bound >= last[:, None]
+    np.put_along_axis(chosen, tried, True, 1)
+    q, v = np.nonzero(chosen & ~own)
     score = np.empty(len(q))
     for start in range(0, len(q), 65_536):
         part = slice(start, start + 65_536)
@@ -100,8 +101,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard:
 
     Both have vec_id and embedding. A row of the query's own vec_id is no candidate. Null or zero
     vectors, those with null or non-finite components and those of another dimension than the query take no
-    part; null vec_ids neither. Equal scores go to the smaller vec_id. Vectors are dealt to shards of bounded size
-    and every shard sees every query; each gives its k best.
+    part; null vec_ids neither. Equal scores go to the smaller vec_id. Vectors are dealt to shards and queries to parts, both of
+    bounded size; every shard meets every part and gives each query's k best.
     """
     def clean(df, role):
         ok = usable(df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")).where("vec_id is not null")
@@ -109,10 +110,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard:
 
     candidates, asked = clean(vectors, 0), clean(queries, 1)
     shards = max(1, -(-candidates.count() // rows_per_shard))
-    both = candidates.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int")).unionByName(
-        asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    parts = max(1, -(-asked.count() // PART))
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = candidates.withColumn("shard", spread(shards)).withColumn("part", every(parts)).unionByName(
+        asked.withColumn("part", spread(parts)).withColumn("shard", every(shards)))
+    both = both.withColumn("shard", F.col("shard") * parts + F.col("part")).drop("part")
     key = ["shard", "dim"]
-    dealt = both.repartition(shards, "shard").sortWithinPartitions(*key, "role", "vec_id")
+    dealt = both.repartitionByRange(shards * parts, "shard").sortWithinPartitions(*key, "role", "vec_id")
 
     def run(batches):
         current, held, codes, ids, base = None, [], None, None, None
@@ -133,8 +138,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard:
                         ids = np.concatenate([p["vec_id"].to_numpy() for p in held])
                         base = np.concatenate([_matrix(p["embedding"]) for p in held])
                         codes = Codes(base)
-                    for a in range(0, part.num_rows, 256):
-                        some = part.slice(a, 256)
+                    for a in range(0, part.num_rows, AT_ONCE):
+                        some = part.slice(a, AT_ONCE)
                         q_ids, q = some["vec_id"].to_numpy(), _matrix(some["embedding"])
                         i, j, score = best(q, q_ids, base, ids, codes, k)
                         yield pa.record_batch({"query_id": pa.array(q_ids[i]), "vec_id": pa.array(ids[j]), "score": pa.array(score)})
