@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
 
-from . import bag_minhash, bpe, line_dedup, packing, pii, recurrent_lm, toxicity, vector_dedup, vector_search  # noqa: F401
+from . import bag_minhash, bpe, line_dedup, packing, pii, recurrent_lm, suffix_dedup, toxicity, vector_dedup, vector_search  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
