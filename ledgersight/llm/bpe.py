@@ -10,6 +10,7 @@ in a table of bounded size that is emptied when full, which changes speed and ne
 """
 
 import base64
+import struct
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, query, table
 
-MAX_STATES = 100_000    # states kept at once by one worker
+MAX_STATES = 120_000    # states kept at once by one worker
 MAX_WORDS = 300_000     # encoded words kept at once by one worker
 KEPT_WORD = 64          # longer words are encoded again each time
 PRUNED = 3              # places in the trie with fewer tokens below are tested for a fitting one
@@ -183,7 +184,8 @@ class Words(dict):
         self.transducer = transducer
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.transducer.encode(word.encode()))
+        found = self.transducer.encode(word.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= KEPT_WORD:
             if len(self) >= MAX_WORDS:
                 self.clear()
@@ -211,6 +213,12 @@ class Utf8Machine:
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of, self.known = bytes_of, {}
+        # text of the tokens that are whole characters, None for others
+        self.whole = [None] * (max(bytes_of, default=-1) + 1)
+        for i, b in bytes_of.items():
+            text, rest = self.step(b"", b)
+            if not rest and "\ufffd" not in text:
+                self.whole[i] = text
 
     @staticmethod
     def step(state: bytes, more: bytes) -> tuple[str, bytes]:
@@ -249,10 +257,23 @@ class Utf8Machine:
             yield "�"
 
 
+    def text(self, ids) -> str:
+        """All of ``stream``; where every token is whole characters, the state never leaves the start."""
+        try:
+            parts = [self.whole[i] for i in ids]
+        except IndexError:
+            parts = [None]
+        return "".join(self.stream(ids)) if None in parts else "".join(parts)
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(Transducer(read_ranks(path)))
+
+
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[Transducer, Words, Utf8Machine]:
-    transducer = Transducer(read_ranks(path))
-    return transducer, Words(transducer), Utf8Machine(transducer.bytes_of)
+def _machine(path: str) -> Utf8Machine:
+    return Utf8Machine({i: b for b, i in read_ranks(path).items()})
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -265,7 +286,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        words, pieces = _worker(path)[1], regex.compile(public_tokenizers.PATTERN).findall
+        words, pieces = _words(path), regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
             ids = [b"".join(map(words.__getitem__, pieces(t.as_py()))) for t in batch["text"]]
             yield pa.record_batch({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
@@ -279,9 +300,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        machine = _worker(path)[2]
+        machine = _machine(path)
         for batch in batches:
-            texts = ["".join(machine.stream(memoryview(i.as_py() or b"").cast("I"))) for i in batch["ids"]]
+            texts = [machine.text(memoryview(i.as_py() or b"").cast("I")) for i in batch["ids"]]
             yield pa.record_batch({"doc_id": batch["doc_id"], "text": pa.array(texts, pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
@@ -292,9 +313,9 @@ def digest(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
-        machine = _worker(path)[2]
+        machine = _machine(path)
         for batch in batches:
-            texts = ["".join(machine.stream(memoryview(i.as_py()).cast("I"))) for i in batch["ids"]]
+            texts = [machine.text(memoryview(i.as_py()).cast("I")) for i in batch["ids"]]
             yield pa.record_batch({"doc_id": batch["doc_id"], "ids": batch["ids"], "text": pa.array(texts, pa.string())})
 
     both = encode(docs).mapInArrow(run, "doc_id bigint, ids binary, text string")
