@@ -1,5 +1,6 @@
 """Two learners per fold, and a logistic model over their holdout scores."""
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -31,14 +32,14 @@ def fit_stack(fold_rows, settings: Boosting, seeds, trees: int = 50):
     """Fit all folds and the meta-learner.
 
     ``fold_rows(i)`` returns the training rows of fold i (features, label, weight,
-    is_val); folds differ in the negatives they keep. Returns (models per learner,
+    is_val); folds differ in the negatives they keep and in the seed of both learners. Returns (models per learner,
     meta-model, stacked holdout scores).
     """
     models = {name: [] for name in LEARNERS}
     holdouts = []
     for i, seed in enumerate(seeds):
         rows = fold_rows(i)
-        boosted, _ = fit_holdout(rows, settings)
+        boosted, _ = fit_holdout(rows, replace(settings, seed=seed))
         forest = fit_forest(rows, seed, trees)
         models["boosted"].append(boosted)
         models["forest"].append(forest)

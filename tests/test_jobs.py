@@ -62,6 +62,7 @@ def test_stack_uses_all_folds(learnable):
     models, meta, stacked = stacking.fit_stack(lambda i: learnable, SMALL, (1, 2), trees=3)
     held = learnable.where("is_val").count()
     assert stacked.count() == 2 * held and len(models["forest"]) == 2
+    assert models["boosted"][0].getSeed() == 1 and models["boosted"][1].getSeed() == 2
     out = stacking.score_stack(models, meta, learnable.where("NOT is_val").select("event_id", "features"))
     assert out.where("predict BETWEEN 0 AND 1").count() == 600 - held
 
