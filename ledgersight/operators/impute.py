@@ -55,8 +55,10 @@ def exact_medians(df: DataFrame, columns, exact_rows: int = 100_000,
                         "lo": first[f"lo_{c}"], "hi": first[f"hi_{c}"]}
     while True:
         wide = [c for c, s in state.items() if s["inside"] > exact_rows and s["lo"] < s["hi"]]
-        if not wide or not _narrow(values, state, wide, accuracy):
+        if not wide:
             break
+        if not _narrow(values, state, wide, accuracy):
+            _peel(values, state, wide)
     return {c: _pick(values, c, state.get(c)) for c in columns}
 
 
@@ -88,6 +90,25 @@ def _narrow(values, state, columns, accuracy) -> bool:
     return moved
 
 
+def _peel(values, state, columns) -> None:
+    """Settle the lowest value of each bracket: the middle lies among its ties, or above them.
+
+    This is for values so often repeated that no sketch cuts them; only counts reach the driver.
+    """
+    found = values.agg(*[x for c in columns for x in (
+        F.count_if(F.col(c) == state[c]["lo"]).alias(f"n_{c}"),
+        F.min(F.when(_inside(c, state[c]) & (F.col(c) > state[c]["lo"]), F.col(c))).alias(f"next_{c}"))]).first()
+    for c in columns:
+        s, above = state[c], found[f"next_{c}"]
+        end = s["below"] + found[f"n_{c}"]
+        if s["rank"] + (1 if s["pair"] else 0) < end:
+            s["hi"] = s["lo"]
+        elif s["rank"] < end:       # the middle pair is the last tie and the next value
+            s["lo"] = s["hi"] = (s["lo"] + above) / 2
+        else:
+            s.update(lo=above, below=end, inside=s["inside"] - found[f"n_{c}"])
+
+
 def _pick(values, c, s):
     if s is None:
         return None

@@ -87,6 +87,15 @@ def test_dynamic_weight(spark):
 
 # --- imputation ---------------------------------------------------------------------
 
+@pytest.mark.parametrize("zeros, ones, twos, want", [(50, 50, 0, 0.5), (50, 49, 0, 0.0), (40, 30, 31, 1.0), (10, 41, 51, 1.5)])
+def test_medians_of_ties_stay_out_of_the_driver(spark, monkeypatch, zeros, ones, twos, want):
+    data = [0.0] * zeros + [1.0] * ones + [2.0] * twos
+    df = spark.createDataFrame([(x,) for x in data], "a double")
+    monkeypatch.setattr(type(df), "offset", None)      # sorting and skipping through ties is not allowed
+    assert impute.exact_medians(df, ["a"], exact_rows=3, accuracy=50) == {"a": statistics.median(data)}
+    assert want == statistics.median(data)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 400, 401])
 def test_medians_are_exact(spark, n):
     r = random.Random(n)
