@@ -15,6 +15,7 @@ Words outside the ``HEAD`` most frequent are looked up by a join, so nothing tha
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,20 +127,26 @@ class Network:
         new = np.tanh(x[:, 2 * HIDDEN:] + (r * h) @ self.u[:, 2 * HIDDEN:])
         return new + z * (h - new), z, r, new
 
-    def log_probabilities(self, h: np.ndarray, symbols: np.ndarray):
-        """(natural log of each symbol's probability after state h, class softmax, rows of frequent symbols, their softmax)."""
+    def log_probabilities(self, h: np.ndarray, symbols: np.ndarray, softmax: bool = True):
+        """(natural log of each symbol's probability after state h, class softmax, rows of frequent symbols, their softmax).
+
+        Without ``softmax`` only the first is computed to its end.
+        """
         c = class_of(symbols)
         logits = h @ self.wc + self.bc
         logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
+        out = logits[np.arange(len(c)), c]
+        p = np.exp(logits, out=logits)
         whole = p.sum(1)
-        out = logits[np.arange(len(c)), c] - np.log(whole)
+        out -= np.log(whole)
+        if softmax:
+            p /= whole[:, None]
         often = np.flatnonzero(symbols < TOP)
         q = np.zeros((0, PER_CLASS), dtype=h.dtype)
         if len(often):
             first = c[often] * PER_CLASS
             w = self.ww.reshape(-1, PER_CLASS, HIDDEN)
-            order = np.argsort(first, kind="stable")        # one product for each class
+            order = np.argsort(first.astype(np.int16), kind="stable")        # one product for each class
             q = np.empty((len(often), PER_CLASS), dtype=h.dtype)
             borders = np.searchsorted(first[order], np.arange(0, TOP + 1, PER_CLASS))
             for k in range(TOP // PER_CLASS):
@@ -152,8 +159,9 @@ class Network:
             np.exp(q, out=q)
             sums = q.sum(1)
             out[often] += own - np.log(sums)
-            q /= sums[:, None]
-        return out, p / whole[:, None], often, q
+            if softmax:
+                q /= sums[:, None]
+        return out, p, often, q
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray):
         """(gradient, last state, log-probability) over a window of (steps, lanes); padded places are not valid."""
@@ -188,6 +196,7 @@ class Network:
         dh_all[rows] = dh
         dh_all = dh_all.reshape(steps, lanes, HIDDEN)
         back = np.zeros((lanes, HIDDEN), dtype=flat_h.dtype)
+        moved = np.empty((steps, lanes, 3 * HIDDEN), dtype=flat_h.dtype)
         for t in reversed(range(steps)):
             before, z, r, n = kept[t]
             d = (back + dh_all[t]) * valid[t][:, None]
@@ -196,11 +205,16 @@ class Network:
             dz = d * (before - n) * z * (1 - z)
             drh = dn @ self.u[:, 2 * HIDDEN:].T
             dr = drh * before * r * (1 - r)
-            gates = np.concatenate([dz, dr], axis=1)
-            grad.u[:, :2 * HIDDEN] += before.T @ gates
-            grad.u[:, 2 * HIDDEN:] += (r * before).T @ dn
-            np.add.at(grad.e, inputs[t], np.concatenate([gates, dn], axis=1))
-            back = d * z + drh * r + gates @ self.u[:, :2 * HIDDEN].T + passed
+            moved[t] = np.concatenate([dz, dr, dn], axis=1)
+            back = d * z + drh * r + moved[t, :, :2 * HIDDEN] @ self.u[:, :2 * HIDDEN].T + passed
+        moved = moved.reshape(-1, 3 * HIDDEN)
+        was = np.concatenate([k[0] for k in kept])
+        grad.u[:, :2 * HIDDEN] = was.T @ moved[:, :2 * HIDDEN]
+        grad.u[:, 2 * HIDDEN:] = (np.concatenate([k[2] for k in kept]) * was).T @ moved[:, 2 * HIDDEN:]
+        read = inputs.ravel()
+        order = np.argsort(read.astype(np.int16), kind="stable")
+        first = np.flatnonzero(np.diff(read[order], prepend=-1))
+        grad.e[read[order[first]]] = np.add.reduceat(moved[order], first, axis=0)
         return grad.flat, h, float(logp.sum()), len(rows)
 
 
@@ -243,22 +257,26 @@ def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     share = np.concatenate([np.zeros(TOP), np.log(sizes)])
-    for first in range(0, len(order), 4 * LANES):
-        lanes = order[first:first + 4 * LANES]
+    for first in range(0, len(order), 8 * LANES):
+        lanes = order[first:first + 8 * LANES]
         length = np.array([len(texts[i]) for i in lanes])
         h, before = np.zeros((len(lanes), HIDDEN), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64)
         for t in range(0, length[0], WINDOW):
             states, targets, owner = [], [], []
+            rows = np.zeros((WINDOW, int(np.searchsorted(-length, -t, side="left"))), dtype=np.int64)
+            for k, i in enumerate(lanes[:rows.shape[1]]):
+                part = texts[i][t:t + WINDOW]
+                rows[:len(part), k] = part
             for s in range(t, min(t + WINDOW, length[0])):
                 live = int(np.searchsorted(-length, -s, side="left"))       # lanes longer than s
                 h[:live] = net.step(before[:live], h[:live])[0]
-                now = np.fromiter((texts[i][s] for i in lanes[:live]), dtype=np.int64, count=live)
+                now = rows[s - t, :live]
                 states.append(h[:live].copy())
                 targets.append(now)
                 owner.append(np.arange(live))
                 before[:live] = now
             y = np.concatenate(targets)
-            logp = net.log_probabilities(np.concatenate(states), y)[0] - share[y]
+            logp = net.log_probabilities(np.concatenate(states), y, softmax=False)[0] - share[y]
             out[lanes] += np.bincount(np.concatenate(owner), weights=logp, minlength=len(lanes))
     return out / math.log(10)
 
@@ -334,17 +352,23 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     def run(batches):
         flat, words = shared.value
         net = Network(flat)
-        known = {w: (s, math.log10(n + 1)) for w, (s, n) in words.head.items()}
+        place = {w: i for i, w in enumerate(words.head)}.get
+        # the last entry stands for words beyond the head
+        symbol_of = np.array([s for s, _ in words.head.values()] + [0], dtype=np.int64)
+        log_of = np.log10(np.array([n for _, n in words.head.values()] + [0], dtype=np.float64) + 1)
         for batch in batches:
             symbols, n_known, base, more, tails = [], [], [], [], []
             for text in batch["text"]:
                 found = tokens(text.as_py())
-                got = [known.get(w) for w in found]
-                tail = [w for w, g in zip(found, got) if g is None]
-                symbols.append(np.array([words.symbol(w) if g is None else g[0] for w, g in zip(found, got)], dtype=np.int64))
+                at = np.fromiter(map(place, found, repeat(-1)), dtype=np.int64, count=len(found))
+                row, logs, beyond = symbol_of[at], log_of[at], np.flatnonzero(at < 0)
+                tail = [found[i] for i in beyond]
+                if tail:
+                    row[beyond] = [words.symbol(w) for w in tail]
+                symbols.append(row)
                 n_known.append(len(found) - len(tail))
-                base.append(sum(g[1] for g in got if g))
-                more.append(sum(g[1] for g in got if g and g[0] >= TOP))
+                base.append(logs.sum())
+                more.append(logs[row >= TOP].sum())
                 tails.append(b" ".join(tail).decode() if tail else None)
             score = score_texts(net, symbols, words.sizes) + np.array(more)
             yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": pa.array([len(s) for s in symbols], pa.int64()),
