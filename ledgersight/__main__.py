@@ -14,7 +14,7 @@ def main(argv=None):
                                         "class-report", "report", "compare"])
     parser.add_argument("--data", default="data")
     parser.add_argument("--out", required=True)
-    parser.add_argument("--scale", type=float, default=0.02, help="share of the preset iterations")
+    parser.add_argument("--scale", type=float, default=1.0, help="share of the preset iterations")
     parser.add_argument("--seeds", type=int, help="use only the first N seeds")
     parser.add_argument("--predictions", nargs="*", default=[], metavar="NAME=PATH")
     parser.add_argument("--master", help="Spark master, when not set by spark-submit")
@@ -29,7 +29,7 @@ def main(argv=None):
         elif args.job == "stacked":
             jobs.stacked_run(spark, args.data, args.out, args.scale, args.seeds)
         elif args.job == "full":
-            jobs.full_run(spark, args.data, args.out)
+            jobs.full_run(spark, args.data, args.out, scale=args.scale)
         elif args.job == "class-report":
             jobs.class_report_run(spark, args.data, args.out)
         elif args.job == "report":

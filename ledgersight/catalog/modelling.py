@@ -15,7 +15,7 @@ from ..sources import sinks
 from .registry import HOLDOUT_START, LAB, PER, RECENT_BORDER, SCO, query, with_ev
 from .scalars import LOGIT, SIGMOID, clip_sql
 
-SMALL = boosting.Boosting(iterations=5, step=0.3, depth=3)
+SMALL = boosting.Boosting(iterations=20, step=0.3, depth=3)
 
 
 @query("ml_1_fixed_holdout", with_ev(f"""

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 
+# digits after the point that amounts are summed with
+AMOUNT_SCALE = 6
+
 
 def column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -40,14 +43,15 @@ def digits(c, pattern, spark_type="smallint", fill=fv.NULL_INTEGER) -> Column:
     return lenient_int(F.regexp_extract(column(c), pattern, 1), spark_type, fill)
 
 
-def amount_units(c, scale=4) -> Column:
-    """Amount as a whole number of 10^-scale units.
+def exact_amount(c, scale: int = AMOUNT_SCALE) -> Column:
+    """Amount as decimal(38, scale), rounded to ``scale`` digits (at most 6, so differences keep them).
 
-    Whole-number sums are exact and do not depend on the order in which partial
-    sums are merged, so a rolling sum can be taken as a difference of two running sums.
+    Decimal sums are exact and do not depend on the order in which partial sums are
+    merged, so a rolling sum can be taken as a difference of two running sums. An amount
+    that is not finite or has over 38 - ``scale`` whole digits fails the query.
     """
-    return F.round(column(c) * F.lit(10.0**scale)).try_cast("bigint")
-
-
-def units_to_amount(c, scale=4) -> Column:
-    return column(c) / F.lit(10.0**scale)
+    if not 0 <= scale <= 6:
+        raise ValueError(f"scale must lie in 0..6, not {scale}")
+    value = column(c).try_cast(f"decimal(38,{scale})")
+    return F.when(column(c).isNull() | value.isNotNull(), value).otherwise(F.raise_error(
+        F.concat(F.lit("amount does not fit an exact sum: "), column(c).cast("string"))))

@@ -60,7 +60,7 @@ def _ensemble_config(run, scale, seeds, learner):
 
 
 def velocity_run(spark: SparkSession, data: str, out: str, name: str = "recent",
-                 scale: float = 0.02, seeds: int | None = None, features=None, learner=None,
+                 scale: float = 1.0, seeds: int | None = None, features=None, learner=None,
                  holdout_start="preset", save_models: bool = False) -> DataFrame:
     """Bagged boosted trees on velocity features; writes out/predictions."""
     run = dict(VELOCITY_RUNS[name])
@@ -80,7 +80,7 @@ def velocity_run(spark: SparkSession, data: str, out: str, name: str = "recent",
     return readers.read_predictions(spark, f"{out}/predictions")
 
 
-def single_run(spark: SparkSession, data: str, out: str, scale: float = 0.02, learner=None,
+def single_run(spark: SparkSession, data: str, out: str, scale: float = 1.0, learner=None,
                cut: str = fv.FIXED_HOLDOUT_START) -> DataFrame:
     """One model over the tagged union of all periods; writes out/predictions."""
     frames, labels = _inputs(spark, data)
@@ -95,7 +95,7 @@ def single_run(spark: SparkSession, data: str, out: str, scale: float = 0.02, le
     return readers.read_predictions(spark, f"{out}/predictions")
 
 
-def stacked_run(spark: SparkSession, data: str, out: str, scale: float = 0.02,
+def stacked_run(spark: SparkSession, data: str, out: str, scale: float = 1.0,
                 seeds: int | None = None, features: VelocityConfig | None = None, learner=None,
                 holdout_start: str = fv.FIXED_HOLDOUT_START, trees: int = 50) -> DataFrame:
     """Two learners per fold with rotating negatives and a logistic meta-model."""
@@ -117,12 +117,14 @@ def stacked_run(spark: SparkSession, data: str, out: str, scale: float = 0.02,
 
 
 def full_run(spark: SparkSession, data: str, out: str, config: full.FullConfig | None = None,
-             force: bool = True) -> DataFrame:
+             force: bool = True, scale: float = 1.0) -> DataFrame:
     """History features, priors, four models and the blend, checked against the template.
 
     The feature table is kept at out/features and reused when ``force`` is off.
     """
-    config = config or full.FullConfig(learner=boosting.preset("full"))
+    config = config or full.FullConfig(
+        learner=boosting.preset("full", scale),
+        refit_least=max(1, round(fv.REFIT_MIN_ITERATIONS * scale)))
     frames, labels = _inputs(spark, data)
     hot = periods.hot_customers(frames.values(), config.policy)
     log = full.labelled_log(frames, labels, config.policy, hot)

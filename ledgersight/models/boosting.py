@@ -25,8 +25,8 @@ class Boosting:
     max_bins: int = 2 * MAX_CATEGORIES
 
 
-def preset(name: str, scale: float = 0.02) -> Boosting:
-    """A named preset with the iteration count scaled down and the step raised to match."""
+def preset(name: str, scale: float = 1.0) -> Boosting:
+    """A named preset; a ``scale`` below 1 cuts the iterations and raises the step to match."""
     p = fv.BOOSTING_PRESETS[name]
     iterations = max(1, round(p["iterations"] * scale))
     return Boosting(iterations=iterations, step=min(0.3, p["step"] / scale ** 0.5), depth=p["depth"])
@@ -58,8 +58,9 @@ def fit_holdout(df: DataFrame, settings: Boosting):
 
 def refit(df: DataFrame, settings: Boosting, best_iterations: int,
           least: int = fv.REFIT_MIN_ITERATIONS):
-    """Fit on all rows without early stopping, for at least ``least`` iterations."""
-    settings = replace(settings, iterations=max(least, best_iterations))
+    """Fit on all rows without early stopping, for at least ``least`` iterations and never
+    more than the holdout fit was allowed."""
+    settings = replace(settings, iterations=min(settings.iterations, max(least, best_iterations)))
     return _learner(settings).fit(df.withColumn("label", F.col("label").cast("double")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.calendar import seconds_between
-from ..functions.casts import amount_units, units_to_amount
+from ..functions.casts import AMOUNT_SCALE, exact_amount
 from .lineage import materialise
 from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot
 from .timeline import slice_rows
@@ -44,17 +44,20 @@ class HistoryColumns:
 def history_features(df: DataFrame, columns: HistoryColumns = HistoryColumns(),
                      first_gap: int = fv.FIRST_GAP_FLAG,
                      policy: SkewPolicy = DEFAULT_POLICY, hot="find",
-                     keep_running: bool = False) -> DataFrame:
-    """Add the history block. ``keep_running`` also keeps the running columns it is made of."""
+                     keep_running: bool = False, scale: int = AMOUNT_SCALE) -> DataFrame:
+    """Add the history block. ``keep_running`` also keeps the running columns it is made of.
+
+    Amounts are summed exactly with ``scale`` digits (see ``exact_amount``).
+    """
     if isinstance(hot, str):
         hot = hot_keys(df, CUSTOMER, policy)
     if hot is None:
-        out = _windows(df.repartition(CUSTOMER), columns, [])
+        out = _windows(df.repartition(CUSTOMER), columns, [], scale)
     else:
         ordinary, heavy = split_hot(df, hot, CUSTOMER)
         heavy = materialise(slice_rows(heavy, CUSTOMER, TIME, "event_id", policy))
-        sliced = _windows(_with_openings(heavy, columns), columns, ["_cell"])
-        out = _windows(ordinary.repartition(CUSTOMER), columns, []).unionByName(
+        sliced = _windows(_with_openings(heavy, columns, scale), columns, ["_cell"], scale)
+        out = _windows(ordinary.repartition(CUSTOMER), columns, [], scale).unionByName(
             sliced.where(F.col("_opens").isNull()).drop("_opens", "_cell",
                                                         *_carried(columns)))
     return _derive(out, columns, first_gap, df.columns, keep_running)
@@ -64,14 +67,14 @@ def _carried(columns):
     return [f"_n_{g}" for g in columns.groups()] + ["_sum", "_sq", "_prev"]
 
 
-def _with_openings(df, columns):
+def _with_openings(df, columns, scale):
     """Add, per slice and key group, a row with the totals of all earlier slices."""
     parts = df.withColumn("_opens", F.lit(None).cast("string"))
     last = F.max(F.struct(TIME, "event_id", columns.amt))
     for group, extra in columns.groups().items():
         keys = [CUSTOMER] + ([extra] if extra else [])
         per_cell = df.groupBy(*keys, "_cell").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(amount_units(columns.amt)).alias("s"),
+            F.count(F.lit(1)).alias("n"), F.sum(exact_amount(columns.amt, scale)).alias("s"),
             F.sum(F.col(columns.amt) * F.col(columns.amt)).alias("q"), last.alias("last"))
         earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
         opening = per_cell.select(
@@ -88,7 +91,7 @@ def _with_openings(df, columns):
     return parts.repartition(CUSTOMER, "_cell")
 
 
-def _windows(df, columns, cell):
+def _windows(df, columns, cell, scale):
     """Counts, sums and previous rows over everything before the current row."""
     sliced = bool(cell)
     amt = F.col(columns.amt)
@@ -122,9 +125,9 @@ def _windows(df, columns, cell):
     w = before(None)
     return df.withColumns({
         **{f"_before_{g}": count(g, extra) for g, extra in columns.groups().items()},
-        # whole units make the sum exact, so it does not depend on how rows were grouped
-        "_before_sum": units_to_amount(
-            F.coalesce(total(amount_units(columns.amt), "_sum", w), F.lit(0))),
+        # decimals make the sum exact, so it does not depend on how rows were grouped
+        "_before_sum": F.coalesce(
+            total(exact_amount(columns.amt, scale), "_sum", w), F.lit(0)).cast("double"),
         "_before_sq": F.coalesce(total(amt * amt, "_sq", w), F.lit(0.0)),
         "_last_customer": previous("customer", None),
         "_last_type": previous("type", columns.type),

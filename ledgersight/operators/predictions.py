@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import materialise
+
 
 def keep_first(df: DataFrame, key: str = "event_id", order=()) -> DataFrame:
     """One row per key, the first by ``order``.
@@ -65,4 +67,4 @@ def align_scores(full: DataFrame, partial: DataFrame, score: str) -> DataFrame:
 def submission(scores: DataFrame, template: DataFrame | None = None) -> DataFrame:
     """(event_id, predict), one row per event, complete against the template if given."""
     unique = keep_first(scores.select("event_id", "predict"))
-    return unique if template is None else require_complete(template, unique)
+    return unique if template is None else require_complete(template, materialise(unique))

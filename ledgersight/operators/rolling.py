@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.casts import amount_units, units_to_amount
+from ..functions.casts import AMOUNT_SCALE, exact_amount
 from ..functions.calendar import DAY_US, HOUR_US, seconds_between
 from .lineage import materialise
 from .skew import (DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join, null_safe_join,
@@ -93,11 +93,12 @@ class Totals:
         return (CUSTOMER, self.session)
 
 
-def timeline_features(df: DataFrame, rolling=(), gaps=(), totals=(), scale: int = 4,
+def timeline_features(df: DataFrame, rolling=(), gaps=(), totals=(), scale: int = AMOUNT_SCALE,
                       policy: SkewPolicy = DEFAULT_POLICY, hot="find") -> DataFrame:
     """Add rolling, gap and session features to an event log.
 
     ``df`` needs customer_id, event_us (microseconds), event_id and the value columns.
+    Amounts are summed exactly with ``scale`` digits (see ``exact_amount``).
     ``hot`` is the table of hot customers when already known, None for "no hot customers".
     """
     if isinstance(hot, str):
@@ -118,7 +119,7 @@ def _by_customer(df, rolling, gaps, totals, scale):
     df = df.repartition(CUSTOMER)
     units = {s.value: f"_u_{s.value}" for s in rolling if s.what in ("sum", "mean")}
     units.update({t.value: f"_u_{t.value}" for t in totals})
-    df = df.withColumns({name: amount_units(c, scale) for c, name in units.items()})
+    df = df.withColumns({name: exact_amount(c, scale) for c, name in units.items()})
 
     # finer keys first; per key the row-ordered gaps come before the time-ordered frames,
     # so one sort serves both
@@ -141,8 +142,7 @@ def _by_customer(df, rolling, gaps, totals, scale):
         if t.causal:
             w = w.orderBy(TIME).rangeBetween(W.unboundedPreceding, 0)
         df = df.withColumns({
-            t.sum_name: units_to_amount(
-                F.coalesce(F.sum(units[t.value]).over(w), F.lit(0)), scale),
+            t.sum_name: F.coalesce(F.sum(units[t.value]).over(w), F.lit(0)).cast("double"),
             t.count_name: F.count(F.lit(1)).over(w),
         })
     return df.select(*wanted)
@@ -190,10 +190,10 @@ def _rolling_by_keys(df, keys, specs, units, scale):
         if spec.what == "count":
             features[spec.name] = inside[0]
         elif spec.what == "sum":
-            features[spec.name] = units_to_amount(inside[0], scale)
+            features[spec.name] = inside[0].cast("double")
         else:
             features[spec.name] = F.try_divide(
-                units_to_amount(inside[0], scale), inside[1].cast("double"))
+                inside[0].cast("double"), inside[1].cast("double"))
     return df.withColumns(features).drop(*helpers)
 
 
@@ -250,8 +250,7 @@ def _by_slice(df, rolling, gaps, totals, scale, policy):
     for t in totals:
         if not t.causal:
             per_session = source.groupBy(*t.keys).agg(
-                units_to_amount(F.coalesce(F.sum(amount_units(t.value, scale)), F.lit(0)),
-                                scale).alias(t.sum_name),
+                F.coalesce(F.sum(exact_amount(t.value, scale)), F.lit(0)).cast("double").alias(t.sum_name),
                 F.count(F.lit(1)).alias(t.count_name))
             df = lookup_join(df, materialise(per_session), t.keys, policy=policy)
     return df.select(*wanted)
@@ -261,7 +260,7 @@ def _rolling_ticks(df, keys, specs, scale, width):
     values = sorted({s.value for s in specs if s.what != "count"})
     per_tick = df.groupBy(*keys, TIME).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.sum(amount_units(v, scale)).alias(f"_u_{v}") for v in values],
+        *[F.sum(exact_amount(v, scale)).alias(f"_u_{v}") for v in values],
         *[F.count(v).alias(f"_c_{v}") for v in values],
     )
     periods = sorted({s.period_us for s in specs})
@@ -292,9 +291,9 @@ def _rolling_ticks(df, keys, specs, scale, width):
         if spec.what == "count":
             value = F.col(f"_n_{i}")
         elif spec.what == "sum":
-            value = units_to_amount(f"_u_{spec.value}_{i}", scale)
+            value = F.col(f"_u_{spec.value}_{i}").cast("double")
         else:
-            value = F.try_divide(units_to_amount(f"_u_{spec.value}_{i}", scale),
+            value = F.try_divide(F.col(f"_u_{spec.value}_{i}").cast("double"),
                                  F.col(f"_c_{spec.value}_{i}").cast("double"))
         features.append(value.alias(spec.name))
     return before.select(*keys, TIME, *features)
@@ -325,7 +324,7 @@ def _gap_ticks(df, keys, width):
 
 def _total_ticks(df, t, scale, width):
     ticks = df.groupBy(*t.keys, TIME).agg(
-        F.sum(amount_units(t.value, scale)).alias(t.sum_name),
+        F.sum(exact_amount(t.value, scale)).alias(t.sum_name),
         F.count(F.lit(1)).alias(t.count_name))
     ticks = sums_before(ticks, t.keys, TIME, [t.sum_name, t.count_name], width, inclusive=True)
-    return ticks.withColumn(t.sum_name, units_to_amount(t.sum_name, scale))
+    return ticks.withColumn(t.sum_name, F.col(t.sum_name).cast("double"))

@@ -101,7 +101,7 @@ def sums_before(ticks: DataFrame, keys, time: str, sums, width: int,
     earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     carried = per_cell.select(
         *keys, "_cell", (F.col("_cell") * width - 1).alias(time),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("bigint").alias(c) for c in sums],
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(cells.schema[c].dataType).alias(c) for c in sums],
         F.lit(True).alias("_carried"),
     )
     rows = cells.withColumn("_carried", F.lit(False)).unionByName(

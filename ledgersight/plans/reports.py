@@ -42,13 +42,17 @@ def labelled_features(events: DataFrame, labels: DataFrame, amount: str = "opera
 
 
 def class_report(events: DataFrame, labels: DataFrame, features=None,
-                 policy: SkewPolicy = DEFAULT_POLICY) -> dict:
-    """Class-conditional densities and the correlation matrix of a contrast sample."""
+                 policy: SkewPolicy = DEFAULT_POLICY, negatives: int | None = None) -> dict:
+    """Class-conditional densities and the correlation matrix of all labelled rows.
+
+    ``negatives`` asks for a contrast sample of that many negatives instead.
+    """
     features = features or fv.PLOTTED_FEATURES
     rows = materialise(labelled_features(events, labels, policy=policy))
-    sample = materialise(sampling.contrast_sample(rows))
-    numeric = normalise.numeric_columns(sample.drop("event_us"))
+    if negatives is not None:
+        rows = materialise(sampling.contrast_sample(rows, negatives))
+    numeric = normalise.numeric_columns(rows.drop("event_us"))
     return {
-        "class_density": profile.class_density(sample, features),
-        "correlations": compare.correlation_matrix(sample, numeric),
+        "class_density": profile.class_density(rows, features),
+        "correlations": compare.correlation_matrix(rows, numeric),
     }

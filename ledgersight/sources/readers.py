@@ -58,10 +58,11 @@ def read_events(spark: SparkSession, paths, first_files: int | None = None,
 
 
 def read_period_files(spark: SparkSession, base: str, first_files: int | None = None,
-                      tolerant: bool = False) -> dict:
+                      tolerant: bool = True) -> dict:
     """Period name -> raw event log, for the standard file layout under ``base``.
 
-    ``tolerant`` is for files whose columns differ within a period; it opens every footer.
+    Columns that only some files of a period have are kept, null elsewhere, which opens every
+    footer; without ``tolerant`` the columns are those of one file.
     """
     layout = {
         "pretrain": (f"{base}/*pre*train*.parquet", None),

@@ -54,6 +54,7 @@ def test_bag_is_the_mean_of_members_and_seeds_differ(learnable):
 def test_log_odds_and_refit(learnable):
     model = boosting.refit(learnable, SMALL, best_iterations=2, least=3)
     assert model.getNumTrees == 3
+    assert boosting.refit(learnable, SMALL, best_iterations=2, least=300).getNumTrees == SMALL.iterations
     out = boosting.log_odds(model, boosting.score(model, learnable, "p"), "z").select("p", "z").toPandas()
     assert (1 / (1 + (-out["z"]).apply(lambda v: 2.718281828459045 ** v))).values == pytest.approx(out["p"].values)
 

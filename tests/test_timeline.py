@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 
 from ledgersight.functions.calendar import DAY_US, HOUR_US, SECOND_US
 from ledgersight.operators.history import HistoryColumns, history_features
@@ -171,3 +172,25 @@ def test_ties_are_cut_by_id_ranges(spark):
     for name in ("cust_prev_events", "cust_prev_amt_mean", "amt_delta_prev", "cnt_prev_same_type"):
         assert collected(out, name) == pytest.approx({k: v[name] for k, v in want.items()}), name
     out.unpersist()
+
+
+# --- amounts ------------------------------------------------------------------------
+
+def amounts(spark, values):
+    rows = [(1, i, i * 1_000_000, v) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "customer_id bigint, event_id bigint, event_us bigint, amt double")
+
+
+@pytest.mark.parametrize("policy", [SkewPolicy(), SkewPolicy(hot_rows=2, min_cell_us=1)])
+def test_small_and_large_amounts_are_summed_together(spark, policy):
+    df = amounts(spark, [1e15, 0.000001, None, -1e15, 0.000002, 5.0])
+    out = timeline_features(df, [Rolling("s", "sum", 3_600_000_000, "amt")], policy=policy)
+    got = [r["s"] for r in out.orderBy("event_id").collect()]
+    assert got[1:] == [1e15, 1e15, 1e15, 0.000001, 0.000003]
+
+
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), 1e33])
+def test_an_amount_that_fits_no_exact_sum_is_an_error(spark, value):
+    df = amounts(spark, [1.0, value])
+    with pytest.raises(PySparkException, match="does not fit"):
+        timeline_features(df, [Rolling("s", "sum", 3_600_000_000, "amt")]).collect()
