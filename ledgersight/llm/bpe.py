@@ -11,7 +11,6 @@ in a table of bounded size that is emptied when full, which changes speed and ne
 
 import base64
 import struct
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,6 @@ from .common import documents, query, table
 MAX_STATES = 120_000    # states kept at once by one worker
 MAX_WORDS = 300_000     # encoded words kept at once by one worker
 KEPT_WORD = 64          # longer words are encoded again each time
-PRUNED = 3              # places in the trie with fewer tokens below are tested for a fitting one
 ROOT = 0
 
 
@@ -42,23 +40,24 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}
-        self.token, self.prefix = [-1], [b""]
-        self.sorted = sorted(text for text, rank in ranks.items() if self.merge(text) == [rank])
-        for text in self.sorted:    # the others are in no encoding
-            rank, node = ranks[text], ROOT
+        self.token, self.inner = [-1], [True]       # of each place: its token, whether longer tokens pass it
+        for text, rank in ranks.items():
+            if self.merge(text) != [rank]:          # in no encoding
+                continue
+            node = ROOT
             for byte in text:
                 key = node << 8 | byte
-                node = self.child.get(key) or self._grow(key, self.prefix[node] + bytes((byte,)))
+                node = self.child.get(key) or self._grow(key)
             self.token[node] = rank
         self.fits: dict[int, bool] = {}
-        self.hope: dict[int, bool] = {}
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
         self._reset()
 
-    def _grow(self, key: int, prefix: bytes) -> int:
+    def _grow(self, key: int) -> int:
+        self.inner[key >> 8] = True
         self.token.append(-1)
-        self.prefix.append(prefix)
+        self.inner.append(False)
         self.child[key] = len(self.token) - 1
         return self.child[key]
 
@@ -108,40 +107,31 @@ class Transducer:
             if right is None:
                 right = self.right[b] = self._edge(b, 0)
             rank = self.ranks.get
-            known = self.fits[a << 20 | b] = not any(
-                (r := rank(x + y)) is not None and r < x_until and r <= y_until
-                for x, x_until in left for y, y_until in right)
-        return known
-
-    def _alive(self, last: int, node: int) -> bool:
-        """Whether some longer token below ``node`` may follow ``last``; above few tokens it is assumed,
-        which keeps a hypothesis longer and changes no result."""
-        key = (last + 1) << 20 | node
-        known = self.hope.get(key)
-        if known is None:
-            if len(self.hope) > 16 * self.max_states:
-                self.hope.clear()
-            prefix = self.prefix[node]
-            at = bisect_right(self.sorted, prefix)
-            below = [x for x in self.sorted[at:at + PRUNED] if x.startswith(prefix)]
-            known = self.hope[key] = len(below) == PRUNED or any(
-                self._neighbours(last, self.ranks[x]) for x in below)
+            known = True
+            for x, x_until in left:
+                for y, y_until in right:
+                    joined = rank(x + y)
+                    if joined is not None and joined < x_until and joined <= y_until:
+                        known = False
+                        break
+                if not known:
+                    break
+            self.fits[a << 20 | b] = known
         return known
 
     def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         """(tokens emitted, next state) on reading ``byte``; found once per state and byte."""
-        live = []
+        live, child, fits, tokens, inner = [], self.child.get, self.fits.get, self.token, self.inner
         for waiting, last, node in self.states[state]:
-            below = self.child.get(node << 8 | byte)
+            below = child(node << 8 | byte)
             if below is None:
                 continue
-            alive = self.hope.get((last + 1) << 20 | below)
-            if alive or alive is None and self._alive(last, below):
+            if inner[below]:
                 live.append((waiting, last, below))
-            token = self.token[below]
+            token = tokens[below]
             if token >= 0:
-                fits = self.fits.get(last << 20 | token)
-                if fits or fits is None and self._neighbours(last, token):
+                known = fits(last << 20 | token)
+                if known or known is None and self._neighbours(last, token):
                     live.append((waiting + (token,), token, ROOT))
         first, sure = live[0][0], 0
         while sure < len(first):
@@ -178,16 +168,19 @@ class Transducer:
 
 
 class Words(dict):
-    """Word to its ids as little-endian 32-bit numbers."""
+    """Word to its ids as little-endian 32-bit numbers; words not met since half of the room filled are forgotten."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.transducer.encode(word.encode())
-        ids = struct.pack(f"<{len(found)}I", *found)
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.transducer.encode(word.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= KEPT_WORD:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= MAX_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
