@@ -7,11 +7,13 @@ the state, times its share of the class: a softmax over the class's tokens given
 of the corpus. The network reads symbols; its state runs from the first token of a text to its end in
 windows, so a whole text is scored.
 
-Training is truncated backpropagation in numpy: each training document gives a stretch of tokens at a place that its
-hash picks, tasks train copies of the network on their documents, and Spark averages the copies after each round.
+Training is truncated backpropagation in numpy over every token of every training document: documents run through
+lanes one after the other, and the state is carried between the windows of a document. Each document is dealt to one
+round; tasks train copies of the network on their documents, and Spark averages the copies after each round.
 Words outside the ``HEAD`` most frequent are looked up by a join, so nothing that grows with the corpus is broadcast.
 """
 
+import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -29,10 +31,10 @@ ENDINGS = 48                # classes of words by ending
 HIDDEN = 24
 HEAD = 150_000              # words whose counts every task holds
 WINDOW = 32                 # tokens backpropagated through
-STRETCH = 128               # tokens a document gives to training
 ROUNDS = 3
 LANES = 64
 LEAST_STEPS = 60            # updates a task makes in a round; it goes over its documents again until then
+HELD = 1 << 20              # tokens a task gathers before it trains on them
 KEPT = 400_000              # distinct words a task counts before it hands them on
 END = b""
 
@@ -180,17 +182,38 @@ class Network:
         return out, p, often, q
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray):
-        """(gradient, last state, log-probability) over a window of (steps, lanes); padded places are not valid."""
-        kept, states = [], []
-        for t in range(len(inputs)):
-            new, z, r, n = self.step(inputs[t], h)
-            new = np.where(valid[t][:, None], new, h)
-            kept.append((h, z, r, n))
-            states.append(new)
-            h = new
+        """(gradient, last state, log-probability, valid tokens) over a window of (steps, lanes).
+
+        Padded places are not valid. Symbol 0 as input starts a text: the state is zero there.
+        """
         steps, lanes = inputs.shape
-        flat_h, flat_y, ok = np.concatenate(states), targets.ravel(), valid.ravel()
-        rows = np.flatnonzero(ok)
+        going, starts, padded = inputs != 0, (inputs == 0).any(1), ~valid.all(1)
+        first, last = self.u[:, :2 * HIDDEN].copy(), self.u[:, 2 * HIDDEN:].copy()
+        x = self.e[inputs.ravel()].reshape(steps, lanes, 3 * HIDDEN)
+        was, new, states = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(3))
+        gates = x[:, :, :2 * HIDDEN]
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        for t in range(steps):
+            if starts[t]:
+                h = h * going[t][:, None]
+            was[t] = h
+            a = gates[t]
+            a += h @ first
+            np.negative(a, out=a)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            n = (r[t] * h) @ last
+            n += x[t, :, 2 * HIDDEN:]
+            np.tanh(n, out=new[t])
+            h = h - new[t]
+            h *= z[t]
+            h += new[t]
+            if padded[t]:
+                h = np.where(valid[t][:, None], h, was[t])
+            states[t] = h
+        flat_h, flat_y = states.reshape(-1, HIDDEN), targets.ravel()
+        rows = np.flatnonzero(valid.ravel())
         # the state before a token predicts it: targets follow inputs by one place
         logp, p, often, q = self.log_probabilities(flat_h[rows], flat_y[rows])
         grad = Network(np.zeros_like(self.flat))
@@ -211,22 +234,32 @@ class Network:
                 dh[often[at]] += q[at] @ self.ww[part]
         dh_all[rows] = dh
         dh_all = dh_all.reshape(steps, lanes, HIDDEN)
-        back = np.zeros((lanes, HIDDEN), dtype=flat_h.dtype)
-        moved = np.empty((steps, lanes, 3 * HIDDEN), dtype=flat_h.dtype)
+        back = np.zeros((lanes, HIDDEN), dtype=x.dtype)
+        moved = np.empty((steps, lanes, 3 * HIDDEN), dtype=x.dtype)
+        by_n, by_z, by_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), was * r * (1 - r)
+        first, last = first.T.copy(), last.T.copy()
         for t in reversed(range(steps)):
-            before, z, r, n = kept[t]
-            d = (back + dh_all[t]) * valid[t][:, None]
-            passed = back * ~valid[t][:, None]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            drh = dn @ self.u[:, 2 * HIDDEN:].T
-            dr = drh * before * r * (1 - r)
-            moved[t] = np.concatenate([dz, dr, dn], axis=1)
-            back = d * z + drh * r + moved[t, :, :2 * HIDDEN] @ self.u[:, :2 * HIDDEN].T + passed
-        moved = moved.reshape(-1, 3 * HIDDEN)
-        was = np.concatenate([k[0] for k in kept])
+            d = back + dh_all[t]
+            if padded[t]:
+                d, passed = d * valid[t][:, None], back * ~valid[t][:, None]
+            dn = d * by_n[t]
+            drh = dn @ last
+            m = moved[t]
+            m[:, 2 * HIDDEN:] = dn
+            np.multiply(d, by_z[t], out=m[:, :HIDDEN])
+            np.multiply(drh, by_r[t], out=m[:, HIDDEN:2 * HIDDEN])
+            back = m[:, :2 * HIDDEN] @ first
+            d *= z[t]
+            back += d
+            drh *= r[t]
+            back += drh
+            if padded[t]:
+                back += passed
+            if starts[t]:
+                back *= going[t][:, None]
+        moved, was, r = moved.reshape(-1, 3 * HIDDEN), was.reshape(-1, HIDDEN), r.reshape(-1, HIDDEN)
         grad.u[:, :2 * HIDDEN] = was.T @ moved[:, :2 * HIDDEN]
-        grad.u[:, 2 * HIDDEN:] = (np.concatenate([k[2] for k in kept]) * was).T @ moved[:, 2 * HIDDEN:]
+        grad.u[:, 2 * HIDDEN:] = (r * was).T @ moved[:, 2 * HIDDEN:]
         read = inputs.ravel()
         order = np.argsort(read.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.diff(read[order], prepend=-1))
@@ -247,27 +280,66 @@ class Adam:
         flat -= self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-6)
 
 
-def train(net: Network, stretches: list[np.ndarray], rate: float) -> int:
-    """Truncated backpropagation over lanes of stretches, in place; returns the tokens seen."""
-    adam, seen, steps = Adam(len(net.flat), rate), 0, 0
-    stretches = sorted(stretches, key=len)
-    while stretches and steps < LEAST_STEPS:
-        for first in np.random.default_rng(steps).permutation(np.arange(0, len(stretches), LANES)):
-            lanes = stretches[first:first + LANES]
-            long = max(map(len, lanes))
-            rows = np.zeros((long, len(lanes)), dtype=np.int64)
-            valid = np.zeros((long - 1, len(lanes)), dtype=bool)
-            for i, s in enumerate(lanes):
-                rows[:len(s), i], valid[:len(s) - 1, i] = s, True
-            h = np.zeros((len(lanes), HIDDEN), dtype=np.float32)
-            for t in range(0, long - 1, WINDOW):
-                part = slice(t, min(t + WINDOW, long - 1))
-                grad, h, _, n = net.window(rows[part], rows[part.start + 1:part.stop + 1], valid[part], h)
-                adam.update(net.flat, grad / max(n, 1))
-                seen, steps = seen + n, steps + 1
+def dealt(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """At most ``LANES`` lanes of like length that hold each text whole, longest lane first."""
+    lanes = [(0, k, []) for k in range(min(LANES, len(texts)))]
+    for text in sorted(texts, key=len, reverse=True):
+        tokens_, k, held = lanes[0]
+        held.append(text)
+        heapq.heapreplace(lanes, (tokens_ + len(text), k, held))
+    draw = np.random.default_rng(len(texts))
+    return [np.concatenate([held[i] for i in draw.permutation(len(held))]) for _, _, held in sorted(lanes, key=lambda x: (-x[0], x[1]))]
+
+
+def train(net: Network, texts: list[np.ndarray], adam: Adam) -> int:
+    """Truncated backpropagation over all tokens of the texts (symbols, the end last), in place; returns the tokens seen.
+
+    The end of a text is the start symbol of the next one in its lane. Where few lanes are left, windows share an update.
+    """
+    seen, lanes = 0, dealt(texts)
+    length = np.array([len(x) for x in lanes])
+    while lanes:
+        h, before = np.zeros((len(lanes), HIDDEN), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64)
+        grad, waiting = 0, 0
+        for t in range(0, length[0], WINDOW):
+            live = int(np.searchsorted(-length, -t, side="left"))           # lanes longer than t
+            rows = np.zeros((min(WINDOW, length[0] - t) + 1, live), dtype=np.int64)
+            rows[0] = before[:live]
+            for k in range(live):
+                part = lanes[k][t:t + WINDOW]
+                rows[1:len(part) + 1, k] = part
+            before = rows[-1]
+            valid = np.arange(t, t + len(rows) - 1)[:, None] < length[:live]
+            g, h, _, n = net.window(rows[:-1], rows[1:], valid, h[:live])
+            grad, waiting, seen = grad + g, waiting + n, seen + n
+            if 2 * waiting >= LANES * WINDOW or t + WINDOW >= length[0]:
+                adam.update(net.flat, grad / waiting)
+                grad, waiting = 0, 0
+        if adam.t >= LEAST_STEPS:
+            break
     return seen
 
 
+def teach(batches, flat: np.ndarray, words: Lexicon, rate: float):
+    """(tokens seen, parameters times tokens) after training a copy of the network on all tokens of the batches' texts."""
+    own, texts, held, seen = Network(flat.copy()), [], 0, 0
+    adam = Adam(len(flat), rate)
+    symbol = {w: s for w, (s, _) in words.head.items()}.get
+    for batch in batches:
+        for text in batch["text"]:
+            found = tokens(text.as_py())
+            row = np.fromiter(map(symbol, found, repeat(-1)), dtype=np.int16, count=len(found))
+            beyond = np.flatnonzero(row < 0)
+            row[beyond] = [words.symbol(found[i]) for i in beyond]
+            texts.append(row)
+            held += len(row)
+            if held >= HELD:
+                seen, texts, held = seen + train(own, texts, adam), [], 0
+    seen += train(own, texts, adam)
+    if seen:
+        yield pa.record_batch({"seen": pa.array([float(seen)]), "flat": pa.array([(own.flat * seen).astype(np.float64)])})
+
+
 def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """log10 probability of each symbol sequence without the counts of rare words; states run through whole texts."""
     out = np.zeros(len(texts))
@@ -317,7 +389,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` averaged rounds; each trains on the documents (text) its hash deals to it."""
+    """The network after ``rounds`` averaged rounds; each trains on the documents (doc_id, text) that their hash deals to it."""
     net = Network.start(words.mass)
     spark = docs.sparkSession
     for round_ in range(rounds):
@@ -325,23 +397,11 @@ def fit(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
         rate = 0.02 / (1 + round_)
 
         def run(batches, shared=shared, rate=rate):
-            flat, words = shared.value
-            own, stretches = Network(flat.copy()), []
-            seen = 0
-            for batch in batches:
-                for text, h in zip(batch["text"], batch["h"].to_pylist()):
-                    found = tokens(text.as_py())
-                    at = h % max(1, len(found) - STRETCH + 1)
-                    stretches.append(np.array([0, *map(words.symbol, found[at:at + STRETCH])], dtype=np.int64))
-                if len(stretches) >= 2_000:
-                    seen += train(own, stretches, rate)
-                    stretches = []
-            seen += train(own, stretches, rate)
-            if seen:
-                yield pa.record_batch({"seen": pa.array([float(seen)]), "flat": pa.array([(own.flat * seen).astype(np.float64)])})
-
-        dealt = docs.withColumn("h", F.pmod(F.xxhash64(F.lit("stretch"), "text"), F.lit(1 << 40))).where(F.col("h") % rounds == round_)
-        copies = dealt.select("text", "h").mapInArrow(run, "seen double, flat array<double>")
+            yield from teach(batches, *shared.value, rate)
+
+        # copies of a text are dealt to rounds by their ids
+        h = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(rounds))
+        copies = docs.where(h == round_).select("text").mapInArrow(run, "seen double, flat array<double>")
         whole = materialise(copies)
         total = whole.agg(F.sum("seen")).first()[0]
         if total:

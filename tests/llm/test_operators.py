@@ -255,6 +255,30 @@ def test_language_model_base_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_training_reads_whole_documents(monkeypatch):
+    """Untrained (rate 0) windows give each text's whole log-probability, as scoring with its state through the text does."""
+    draw, words = random.Random(7), [f"w{i}" for i in range(60)]
+    texts = ["", "w1", *(" ".join(draw.choices(words, k=n)) for n in (5, 31, 32, 127, 128, 129, 700, 3_000)), *["w3 w4"] * 90]
+    head = {b"": (0, 1)} | {w.encode(): (i + 1, 1) for i, w in enumerate(words[:50])}
+    lexicon = recurrent_lm.Lexicon(1, 1, head, {"55": recurrent_lm.TOP}, np.ones(recurrent_lm.ENDINGS), np.ones(recurrent_lm.TOP + recurrent_lm.ENDINGS))
+    net, read, window = recurrent_lm.Network.start(lexicon.mass), [], recurrent_lm.Network.window
+    monkeypatch.setattr(recurrent_lm, "LEAST_STEPS", 1)
+
+    def kept(self, inputs, targets, valid, h):
+        out = window(self, inputs, targets, valid, h)
+        read.append((Counter(zip(inputs[valid].tolist(), targets[valid].tolist())), out[2]))
+        return out
+
+    monkeypatch.setattr(recurrent_lm.Network, "window", kept)
+    batch = recurrent_lm.pa.record_batch({"text": recurrent_lm.pa.array(texts)})
+    out = list(recurrent_lm.teach([batch], net.flat, lexicon, 0.0))[0]
+    rows = [np.array([lexicon.symbol(w) for w in recurrent_lm.tokens(t)]) for t in texts]
+    assert out["seen"][0].as_py() == sum(map(len, rows))
+    assert sum((r for r, _ in read), Counter()) == sum((Counter(zip([0, *r[:-1].tolist()], r.tolist())) for r in rows), Counter())
+    want = recurrent_lm.score_texts(net, rows, lexicon.sizes).sum() * math.log(10)
+    assert abs(sum(x for _, x in read) - want) < 1e-4 * abs(want)
+
+
 def test_language_model_odd(odd, nothing):
     got = recurrent_lm.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
