@@ -96,12 +96,26 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nd
     return q[keep], v[keep], score[keep]
 
 
+def distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids and vectors without repeated rows, and how many different rows an id has at most."""
+    _, place, times = np.unique(ids, return_inverse=True, return_counts=True)
+    if times.max() == 1:
+        return ids, vectors, 1
+    seen, keep = set(), times[place] == 1
+    for i in np.flatnonzero(~keep):
+        row = ids[i], vectors[i].tobytes()
+        keep[i] = row not in seen
+        seen.add(row)
+    return ids[keep], vectors[keep], int(np.unique(ids[keep], return_counts=True)[1].max())
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard: int = SHARD) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of ``queries`` its k rows of ``vectors`` of largest inner product.
+    """query_id, rank, vec_id, score: for each vec_id of ``queries`` its k vec_ids of ``vectors`` of largest inner product.
 
     Both have vec_id and embedding. A row of the query's own vec_id is no candidate. Null or zero
     vectors, those with null or non-finite components and those of another dimension than the query take no
-    part; null vec_ids neither. Equal scores go to the smaller vec_id. Vectors are dealt to shards and queries to parts, both of
+    part; null vec_ids neither. Equal scores go to the smaller vec_id. Repeated rows count once; where rows of one vec_id
+    differ, on either side, its score with another vec_id is the largest of theirs. Vectors are dealt to shards and queries to parts, both of
     bounded size; every shard meets every part and gives each query's k best.
     """
     def clean(df, role):
@@ -120,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard:
     dealt = both.repartitionByRange(shards * parts, "shard").sortWithinPartitions(*key, "role", "vec_id")
 
     def run(batches):
-        current, held, codes, ids, base = None, [], None, None, None
+        current, held, codes, ids, base, most = None, [], None, None, None, 1
         for batch in batches:
             shard, dim, role = (batch[c].to_numpy() for c in ("shard", "dim", "role"))
             start = 0
@@ -137,15 +151,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows_per_shard:
                     if codes is None:
                         ids = np.concatenate([p["vec_id"].to_numpy() for p in held])
                         base = np.concatenate([_matrix(p["embedding"]) for p in held])
+                        ids, base, most = distinct(ids, base)
                         codes = Codes(base)
                     for a in range(0, part.num_rows, AT_ONCE):
                         some = part.slice(a, AT_ONCE)
                         q_ids, q = some["vec_id"].to_numpy(), _matrix(some["embedding"])
-                        i, j, score = best(q, q_ids, base, ids, codes, k)
+                        i, j, score = best(q, q_ids, base, ids, codes, k * most)
                         yield pa.record_batch({"query_id": pa.array(q_ids[i]), "vec_id": pa.array(ids[j]), "score": pa.array(score)})
                 start = end
 
     found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -156,6 +156,19 @@ def test_search_odd(spark):
     assert vector_search.nearest(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_search_counts_repeated_rows_once(spark):
+    draw = np.random.default_rng(3)
+    data = {i: [draw.normal(size=16)] for i in range(60)}
+    data[7].append(data[3][0] * 1.5)                # one id, different rows: the better one counts
+    data[0].append(data[9][0] * 2)
+    rows = [(i, v.tolist()) for i, vs in data.items() for v in vs] + [(i, data[i][0].tolist()) for i in (0, 0, 3, 3, 4, 20)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = vector_search.nearest(df, df.where("vec_id % 20 = 0"), k=10, rows_per_shard=30).collect()
+    for q in (0, 20, 40):
+        best = sorted((-max(float(v @ x) for v in vs for x in data[q]), i) for i, vs in data.items() if i != q)[:10]
+        assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+
+
 def best_possible(items, capacity):
     best = [len(items)]
 
