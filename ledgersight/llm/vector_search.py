@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import query, table
 from .vector_dedup import _matrix, usable
 
-EPSILON = 2.0           # standard deviations of the estimate's error that the bound covers
+EPSILON = 3.0           # standard deviations of the estimate's error that the bound covers
 QUERY_BITS = 8
 SHARD = 32_768          # vectors a task holds while queries pass
 PART = 1_024            # queries that pass one copy of a shard

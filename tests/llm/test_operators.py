@@ -156,6 +156,13 @@ def test_search_odd(spark):
     assert vector_search.nearest(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_search_bound_covers_errors():
+    draw = np.random.default_rng(8)
+    base, queries = draw.normal(size=(3_000, 64)), draw.normal(size=(40, 64))
+    guess, bound = vector_search.Codes(base).estimate(queries)
+    assert (np.abs(guess - queries @ base.T) <= bound).mean() > 0.99
+
+
 def test_search_counts_repeated_rows_once(spark):
     draw = np.random.default_rng(3)
     data = {i: [draw.normal(size=16)] for i in range(60)}
