@@ -8,7 +8,7 @@ probability sum(min) / sum(max) of their weights, the weighted Jaccard similarit
 until the latest slot is settled, so a document costs about slots * ln(slots) points and one look at each shingle.
 
 Slots are banded; documents that agree in a band meet in a bucket, and buckets connect families. Copies
-(equal multisets) are one document here. A family is compared within tasks, in blocks of bounded size, every
+(equal multisets) are one document here. A family is compared within tasks, in blocks of bounded documents and shingles (on average; a document is never cut), every
 block with every other. A task takes one document after the other as centre and compares all others with it,
 until all documents that have not been centre are of one class: every pair has then been compared or is of one
 class already, a group of near copies costs few centres, and only links that join classes leave the task.
@@ -29,6 +29,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6         # at similarity 0.8 all bands miss with probability 5e-6
 SHARE = 2_000               # documents in a block of a family
+SHINGLES = 4_000_000        # shingles in it (8 bytes each)
 MAX_WORDS = 300_000         # word hashes kept by a worker
 
 _U = np.uint64
@@ -181,23 +182,29 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def multisets(rows: DataFrame) -> DataFrame:
-    """rep, items (binary: the expanded multiset) of rows with rep and text."""
+    """rep, items (binary: the expanded multiset), n (their number) of rows with rep and text."""
     def run(batches):
         for batch in batches:
-            yield pa.record_batch({"rep": batch["rep"], "items": pa.array(
-                [expanded(*shingles(t.as_py())).tobytes() for t in batch["text"]], pa.binary())})
+            sets = [expanded(*shingles(t.as_py())) for t in batch["text"]]
+            yield pa.record_batch({"rep": batch["rep"], "items": pa.array([s.tobytes() for s in sets], pa.binary()),
+                                   "n": pa.array([len(s) for s in sets], pa.int64())})
 
-    return rows.mapInArrow(run, "rep bigint, items binary")
+    return rows.mapInArrow(run, "rep bigint, items binary, n bigint")
+
+
+def block_counts(families: DataFrame, features: DataFrame, share: int) -> DataFrame:
+    """family, blocks: so many that a block has about ``share`` documents and ``SHINGLES`` shingles at most."""
+    sized = families.join(features.select("rep", "n"), "rep").groupBy("family").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    return sized.select("family", F.greatest(F.ceil(F.col("docs") / share), F.ceil(F.col("n") / SHINGLES)).cast("int").alias("blocks"))
 
 
 def family_links(families: DataFrame, features: DataFrame, least: float, share: int = SHARE) -> DataFrame:
     """Links a, b that connect all similar documents of a family (rep, family); stored."""
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("blocks"))
-    placed = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    placed = families.join(block_counts(families, features, share), "family").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "rep", "family", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     key = ["family", "low", "high"]
-    dealt = placed.join(features, "rep").repartition(*key).sortWithinPartitions(*key, "rep")
+    dealt = placed.join(features.select("rep", "items"), "rep").repartition(*key).sortWithinPartitions(*key, "rep")
 
     def run(batches):
         def close():

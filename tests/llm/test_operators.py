@@ -430,6 +430,17 @@ def test_classes_equal_brute_force(spark, share, monkeypatch):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(want.values())
 
 
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    families = spark.createDataFrame([(i, i // 4) for i in range(8)], "rep bigint, family bigint")
+    features = spark.createDataFrame([(i, bytearray(), 3_000_000 if i < 4 else 10) for i in range(8)], "rep bigint, items binary, n bigint")
+    assert {r.family: r.blocks for r in bag_minhash.block_counts(families, features, 2_000).collect()} == {0: 3, 1: 1}
+    assert {r.family: r.blocks for r in bag_minhash.block_counts(families, features, 1).collect()} == {0: 4, 1: 4}
+    texts = {i: " ".join(f"w{k}" for k in range(i % 3, 150)) for i in range(20)}
+    monkeypatch.setattr(bag_minhash, "SHINGLES", 300)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.class_id for r in bag_minhash.near_documents(docs).collect()} == classes_by_force(texts)
+
+
 def test_near_documents_odd(odd, nothing):
     assert bag_minhash.near_documents(odd).count() == odd.count()
     assert bag_minhash.drop_near_copies(odd).count() == 9      # 7 is near 6, one of both rows 5 goes
