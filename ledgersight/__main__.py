@@ -23,7 +23,7 @@ def main(argv=None):
     files = dict(item.split("=", 1) for item in args.predictions)
     try:
         if args.job in jobs.VELOCITY_RUNS:
-            jobs.velocity_run(spark, args.data, args.out, args.job, args.scale, args.seeds, save_models=True)
+            jobs.velocity_run(spark, args.data, args.out, args.job, args.scale, args.seeds)
         elif args.job == "single":
             jobs.single_run(spark, args.data, args.out, args.scale)
         elif args.job == "stacked":

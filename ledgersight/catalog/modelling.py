@@ -1,18 +1,19 @@
 """Splits, weights, training, blending and evaluation."""
 
-from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as rules
 from ..functions.probability import logit_product
 from ..functions.rowwise import row_mean
-from ..models import boosting, stacking
+from ..models import boosting, bundle, stacking
 from ..models.encode import Encoder
-from ..operators import evaluate, predictions, splits
+from ..operators import evaluate, predictions, splits, staged
 from ..operators.lineage import materialise
 from ..plans.velocity import velocity
 from ..sources import sinks
-from .registry import HOLDOUT_START, LAB, PER, RECENT_BORDER, SCO, query, with_ev
+from .registry import HOLDOUT_START, LAB, PER, RECENT_BORDER, SCO, md5_number, query, with_ev
 from .scalars import LOGIT, SIGMOID, clip_sql
 
 SMALL = boosting.Boosting(iterations=20, step=0.3, depth=3)
@@ -176,9 +177,9 @@ def model_rows(t):
                "unique_mcc_7d", "session_cnt", "ratio_amt_7d"]
     rows = materialise(rows)
     train = rows.where("period = 'train'").withColumn("is_val", splits.fixed_holdout(HOLDOUT_START))
-    encoder = Encoder(["mcc_code", "customer_id"], numeric).fit(train.where(~F.col("is_val")))
+    encoder = Encoder(["mcc_code", "customer_id"], numeric, indexed=["mcc_code"], hasher="portable_bucket").fit(train.where(~F.col("is_val")))
     keep = ["event_id", "label", "features"]
-    train = materialise(boosting.weigh_positives(encoder.transform(train), 5.0).select(
+    train = materialise(boosting.weigh_positives(encoder.transform_training(train, ~F.col("is_val")), 5.0).select(
         *keep, "is_val", "weight"))
     return encoder, train, encoder.transform(rows.where("period = 'test'")).select(*keep)
 
@@ -190,11 +191,66 @@ def _(t):
     return boosting.score(model, test).select("event_id", "predict")
 
 
-@query("ml_7_encoded_features")
+MEMBERS = 8
+
+
+@query("ml_6_staged_losses", with_ev(f"""
+SELECT j AS iteration, ROUND(SUM(w * (GREATEST(z, 0) + LN(1 + EXP(-ABS(z))))) / SUM(w), 9) AS loss
+FROM (SELECT j, CASE WHEN label = 1 THEN 5.0::DOUBLE ELSE 1.0 END AS w,
+             (CASE WHEN label = 1 THEN -1 ELSE 1 END) * SUM((p1 - 0.2) / j + (p2 - 0.5) / (j + 1) - 0.3) OVER (
+               PARTITION BY event_id ORDER BY j) AS z
+      FROM sco, (SELECT range AS j FROM range(1, {MEMBERS + 1})))
+GROUP BY j""", LAB, SCO))
+def _(t):
+    """The loss of each prefix of eight additive members over all events."""
+    s = t.scores()
+    parts = F.array(*[(F.col("p1") - 0.2) / j + (F.col("p2") - 0.5) / (j + 1) - 0.3 for j in range(1, MEMBERS + 1)])
+    rows = boosting.weigh_positives(s.withColumn("parts", parts), 5.0)
+    return staged.staged_losses(rows, "parts").withColumn("loss", F.round("loss", 9))
+
+
+@query("ml_6_patience", with_ev("""
+SELECT event_type, CAST(MAX(best_at) AS BIGINT) AS best_iteration, CAST(MIN(loss) AS DOUBLE) AS best_loss,
+       CAST(MAX(stop) AS BIGINT) AS stopped_at
+FROM cut WHERE stop IS NULL OR iteration <= stop GROUP BY event_type""", """curve AS (
+  SELECT event_type, DENSE_RANK() OVER (PARTITION BY event_type ORDER BY day) AS iteration, loss
+  FROM (SELECT event_type, us // 86400000000 AS day, SUM(units) // 10000 // COUNT(*) AS loss FROM ev GROUP BY ALL)),
+read AS (
+  SELECT *, MAX(CASE WHEN fresh THEN iteration END) OVER w AS best_at
+  FROM (SELECT *, COALESCE(loss < MIN(loss) OVER (PARTITION BY event_type ORDER BY iteration
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS fresh FROM curve)
+  WINDOW w AS (PARTITION BY event_type ORDER BY iteration)),
+cut AS (SELECT *, MIN(CASE WHEN iteration - best_at >= 3 THEN iteration END) OVER (PARTITION BY event_type) AS stop FROM read)"""))
+def _(t):
+    """The mean amount of each day, a curve per event type, read until three days bring nothing lower."""
+    e = t.log().withColumn("units", F.round(F.col("amt") * 10000).cast("bigint"))
+    days = e.groupBy(F.col("event_type_nm").alias("event_type"), "session_id").agg(
+        F.expr("sum(units) div 10000 div count(*)").cast("double").alias("loss"))
+    place = F.dense_rank().over(Window.partitionBy("event_type").orderBy("session_id"))
+    return staged.stopping_point(days.withColumn("iteration", place), wait=3, by=["event_type"])
+
+
+FITTED = f"""fitted AS (SELECT *, {md5_number('event_id')} % 32 AS bucket, COALESCE(target, 0) AS hit
+  FROM lg WHERE period = 'train' AND ts < TIMESTAMP '{HOLDOUT_START}'),
+running AS (
+  SELECT event_id, (COALESCE(SUM(hit) OVER w, 0) + 1.0::DOUBLE) / (COUNT(*) OVER w + 200.0::DOUBLE) AS rate
+  FROM fitted WINDOW w AS (PARTITION BY customer_id ORDER BY bucket RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+whole AS (SELECT customer_id, (SUM(hit) + 1.0::DOUBLE) / (COUNT(*) + 200.0::DOUBLE) AS rate FROM fitted GROUP BY ALL),
+places AS (SELECT event_type, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, event_type) - 1 AS DOUBLE) AS place
+  FROM fitted GROUP BY event_type)"""
+
+
+@query("ml_7_encoded_features", with_ev("""
+SELECT lg.event_id, COALESCE(place, (SELECT COUNT(*) FROM places)) AS mcc_index, amt,
+       COALESCE(running.rate, whole.rate, (SELECT MEDIAN(rate) FROM running)) AS rate_customer
+FROM lg LEFT JOIN places USING (event_type) LEFT JOIN running ON running.event_id = lg.event_id
+     LEFT JOIN whole ON whole.customer_id = lg.customer_id
+WHERE period = 'train'""", LAB, PER, FITTED))
 def _(t):
-    from pyspark.ml.functions import vector_to_array
+    """Of the feature vector: the index, the first number, and the customer's rate; holdout rows get the full rate."""
     _, train, _ = model_rows(t)
-    return train.select("event_id", vector_to_array("features").alias("features"))
+    v = vector_to_array("features")
+    return train.select("event_id", v[0].alias("mcc_index"), v[1].alias("amt"), F.element_at(v, -1).alias("rate_customer"))
 
 
 @query("ml_8_seed_bagging")
@@ -226,11 +282,67 @@ def _(t):
     return boosting.log_odds(model, test).select("event_id", "predict")
 
 
-@query("snk_4_model_round_trip")
+def all_of(*rules):
+    """1 where all hold."""
+    found = rules[0]
+    for rule in rules[1:]:
+        found = found & rule
+    return F.coalesce(found.cast("int"), F.lit(0))
+
+
+TEST_ROWS = "SELECT event_id, 1::BIGINT AS {0} FROM lg WHERE period = 'test'"
+
+
+@query("ml_9_stack_rules", with_ev(TEST_ROWS.format("holds"), LAB, PER))
+def _(t):
+    """Every scored event once, with the meta-model's probability over the mean of each learner."""
+    _, train, test = model_rows(t)
+    models, meta, _ = stacking.fit_stack(lambda i: train, SMALL, (42, 777), trees=5)
+    out = stacking.score_stack(models, meta, test)
+    b, f = meta.coefficients
+    z = b * F.col("boosted") + f * F.col("forest") + meta.intercept
+    return out.select("event_id", all_of(F.col("predict").between(0, 1), F.abs(F.col("predict") - 1 / (1 + F.exp(-z))) < 1e-9).alias("holds"))
+
+
+@query("ml_16_refit_rules", with_ev("""
+SELECT 1::BIGINT AS kept_is_best, 1::BIGINT AS refit_size, CAST(COUNT(*) AS BIGINT) AS in_range
+FROM lg WHERE period = 'test'""", LAB, PER))
 def _(t):
-    """The encoder is stored, read back, and encodes the scored rows."""
-    encoder, _, test = model_rows(t)
+    """The kept prefix has the least holdout loss, and the refit as many trees, at least six and at most the limit."""
+    _, train, test = model_rows(t)
+    model, best = boosting.fit_holdout(train, SMALL)
+    longest = boosting.fit_holdout(train.withColumn("is_val", F.lit(False)), SMALL)[0]      # without a holdout: all
+    refitted = boosting.refit(train, SMALL, best, least=6)
+    held = train.where("is_val").withColumn("label", F.col("label").cast("double"))
+    loss = boosting.holdout_losses(model, held)
+    scored = boosting.score(refitted, test)
+    return scored.agg(F.lit(int(len(loss) == best and min(loss) == loss[-1] and longest.getNumTrees == SMALL.iterations)).alias("kept_is_best"),
+                      F.lit(int(refitted.getNumTrees == min(SMALL.iterations, max(6, best)))).alias("refit_size"),
+                      F.count_if(F.col("predict").between(0, 1)).alias("in_range"))
+
+
+@query("ml_17_odds_rules", with_ev(TEST_ROWS.format("holds"), LAB, PER))
+def _(t):
+    """Log-odds give the probabilities back, and a bag's probability is its members' mean."""
+    _, train, test = model_rows(t)
+    models = boosting.fit_bag(train, SMALL, seeds=(42, 777))
+    out = boosting.log_odds(models[0], boosting.score_bag(models, test, keep_members=True), "z")
+    back, mean = 1 / (1 + F.exp(-F.col("z"))), (F.col("predict_0") + F.col("predict_1")) / 2
+    return out.select("event_id", all_of(F.abs(back - F.col("predict_0")) < 1e-9, F.abs(mean - F.col("predict")) < 1e-12,
+                                         F.col("predict").between(0, 1)).alias("holds"))
+
+
+@query("snk_4_model_round_trip", with_ev("""
+SELECT event_id, 0.0::DOUBLE AS difference, 1::BIGINT AS in_range FROM lg WHERE period = 'test'""", LAB, PER))
+def _(t):
+    """A bundle of encoder and bag is stored and read back; both score the raw feature rows."""
+    encoder, train, _ = model_rows(t)
+    models = boosting.fit_bag(train, SMALL, seeds=(42, 777))
+    fitted = bundle.bundle(encoder, bundle.EnsembleModel("mean", {f"seed_{i}": m for i, m in enumerate(models)}))
     path = t.scratch()
-    sinks.save_model(encoder.model, path)
-    stages = PipelineModel.load(path).stages
-    return test.select("event_id", F.lit(len(stages)).alias("stages"))
+    sinks.save_model(fitted, path)
+    rows = velocity(t.period_log(), amount="amt").where("period = 'test'")
+    before = fitted.transform(rows).select("event_id", F.col("predict").alias("before"))
+    after = bundle.load(path).transform(rows).select("event_id", "predict")
+    return before.join(after, "event_id").select(
+        "event_id", (F.col("before") - F.col("predict")).alias("difference"), all_of(F.col("predict").between(0, 1)).alias("in_range"))

@@ -262,7 +262,7 @@ def _(t):
 def _(t):
     """Four models, searched blend, refit, and a score for every test event."""
     table = materialise(full.with_priors(*feature_table(t), CONFIG))
-    scores, _ = full.run(table, CONFIG)
+    scores, *_ = full.run(table, CONFIG)
     template = table.where("is_test").select("event_id")
     return full.submit(scores, template)
 

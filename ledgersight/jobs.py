@@ -61,8 +61,8 @@ def _ensemble_config(run, scale, seeds, learner):
 
 def velocity_run(spark: SparkSession, data: str, out: str, name: str = "recent",
                  scale: float = 1.0, seeds: int | None = None, features=None, learner=None,
-                 holdout_start="preset", save_models: bool = False) -> DataFrame:
-    """Bagged boosted trees on velocity features; writes out/predictions."""
+                 holdout_start="preset") -> DataFrame:
+    """Bagged boosted trees on velocity features; writes out/predictions and the bundle out/model."""
     run = dict(VELOCITY_RUNS[name])
     if holdout_start != "preset":
         run["holdout_start"] = holdout_start
@@ -71,26 +71,25 @@ def velocity_run(spark: SparkSession, data: str, out: str, name: str = "recent",
     train = training_rows(frames.get("pretrain") if "pretrain" in run["history"] or config.history_days
                           else None, frames["train"], labels, config)
     scored = scored_rows(_history(frames, run["history"]), frames["test"], config)
-    scores, precision, models = ensemble.bagged(train, scored, _ensemble_config(run, scale, seeds, learner))
+    scores, precision, fitted = ensemble.bagged(train, scored, _ensemble_config(run, scale, seeds, learner))
     precision.show(truncate=False)
-    if save_models:
-        for seed, model in zip(run["seeds"], models):
-            sinks.save_model(model, f"{out}/model_{seed}")
+    sinks.save_model(fitted, f"{out}/model")
     sinks.write_predictions(predictions.submission(scores), f"{out}/predictions")
     return readers.read_predictions(spark, f"{out}/predictions")
 
 
 def single_run(spark: SparkSession, data: str, out: str, scale: float = 1.0, learner=None,
                cut: str = fv.FIXED_HOLDOUT_START) -> DataFrame:
-    """One model over the tagged union of all periods; writes out/predictions."""
+    """One model over the tagged union of all periods; writes out/predictions and out/model."""
     frames, labels = _inputs(spark, data)
     rows = materialise(tagged_features(frames, labels))
     train = periods.labelled(rows.where("split_group = 'train'"))
     config = ensemble.EnsembleConfig(
         learner=learner or boosting.preset("single", scale), seeds=(fv.SEED,), holdout_start=cut,
         pos_weight=1.0)
-    scores, precision, _ = ensemble.bagged(train, rows.where("split_group = 'test'"), config)
+    scores, precision, fitted = ensemble.bagged(train, rows.where("split_group = 'test'"), config)
     precision.show(truncate=False)
+    sinks.save_model(fitted, f"{out}/model")
     sinks.write_predictions(predictions.submission(scores), f"{out}/predictions")
     return readers.read_predictions(spark, f"{out}/predictions")
 
@@ -111,7 +110,8 @@ def stacked_run(spark: SparkSession, data: str, out: str, scale: float = 1.0,
                              replace(base, sample_offset=i * fv.ROTATION_STEP))
 
     scored = scored_rows(_history(frames, ("pretest",)), frames["test"], base)
-    scores, _ = ensemble.stacked(fold, scored, config, trees)
+    scores, fitted = ensemble.stacked(fold, scored, config, trees)
+    sinks.save_model(fitted, f"{out}/model")
     sinks.write_predictions(predictions.submission(scores), f"{out}/predictions")
     return readers.read_predictions(spark, f"{out}/predictions")
 
@@ -131,7 +131,8 @@ def full_run(spark: SparkSession, data: str, out: str, config: full.FullConfig |
     table = sinks.reuse_or_write(
         spark, f"{out}/features",
         lambda: full.with_priors(full.feature_table(log, config, hot=hot), log, config), force)
-    scores, searched = full.run(table, config)
+    scores, searched, fitted = full.run(table, config)
+    sinks.save_model(fitted, f"{out}/model")
     sinks.write_predictions(searched, f"{out}/blend_search")
     template = readers.read_template(spark, f"{data}/sample_submit.csv")
     sinks.write_predictions(full.submit(scores, template), f"{out}/predictions")

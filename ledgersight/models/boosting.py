@@ -1,8 +1,9 @@
 """Boosted trees with a holdout, refits and seed bagging."""
 
+import math
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +15,23 @@ from .encode import MAX_CATEGORIES
 
 @dataclass(frozen=True)
 class Boosting:
-    """Settings of one boosted model. A subsample below 1 is what makes seeds differ."""
+    """Settings of one boosted model. A subsample below 1 is what makes seeds differ; ``wait`` is the number of
+    iterations without a better holdout loss after which training ends."""
 
     iterations: int = 100
     step: float = 0.1
     depth: int = 6
     subsample: float = 0.7
     seed: int = fv.SEED
-    tolerance: float = 1e-3
+    wait: int = 100
     max_bins: int = 2 * MAX_CATEGORIES
 
 
 def preset(name: str, scale: float = 1.0) -> Boosting:
-    """A named preset; a ``scale`` below 1 cuts the iterations and raises the step to match."""
+    """A named preset; a ``scale`` below 1 cuts the iterations and the wait and raises the step to match."""
     p = fv.BOOSTING_PRESETS[name]
-    iterations = max(1, round(p["iterations"] * scale))
-    return Boosting(iterations=iterations, step=min(0.3, p["step"] / scale ** 0.5), depth=p["depth"])
+    iterations, wait = (max(1, round(p[k] * scale)) for k in ("iterations", "wait"))
+    return Boosting(iterations=iterations, wait=wait, step=min(0.3, p["step"] / scale ** 0.5), depth=p["depth"])
 
 
 def weigh_positives(df: DataFrame, pos_weight, label: str = "label") -> DataFrame:
@@ -45,15 +47,62 @@ def _learner(s: Boosting, **extra):
         maxBins=s.max_bins, **extra)
 
 
+def best_prefix(losses, wait: int) -> tuple[int, bool]:
+    """(iterations with the least loss, whether training ended there) on a curve of losses.
+
+    The curve is read up to ``wait`` iterations after its best so far; of equal losses the first counts. A curve that
+    ends before that has not ended training. NaN is never better; a curve without a number keeps every iteration.
+    """
+    best, at = math.inf, 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, i
+        elif at and i - at >= wait:
+            return at, True
+    return at or len(losses), False
+
+
+def truncated(model: GBTClassificationModel, iterations: int) -> GBTClassificationModel:
+    """The model's first trees."""
+    if iterations >= model.getNumTrees:
+        return model
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    jvm, java = sc._jvm, model._java_obj
+    trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, iterations)
+    weights = sc._gateway.new_array(jvm.double, iterations)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:iterations], java.treeWeights()[:iterations])):
+        trees[i], weights[i] = tree, weight
+    short = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{model.uid}_{iterations}", trees, weights, java.numFeatures(), 2)
+    # both sides keep the settings: the weight column, for one, only the JVM's model
+    return model._copyValues(GBTClassificationModel(java.copyValues(short, jvm.org.apache.spark.ml.param.ParamMap())))
+
+
+def holdout_losses(model: GBTClassificationModel, held: DataFrame) -> list[float]:
+    """Mean weighted log loss on ``held`` of every prefix of the trees, from one pass over the rows."""
+    return [loss / 2 for loss in model.evaluateEachIteration(held)]      # the learner's loss is twice the log loss
+
+
 def fit_holdout(df: DataFrame, settings: Boosting):
-    """Fit on ~is_val rows, stop when is_val rows stop improving: (model, iterations kept).
+    """Fit on ~is_val rows, keep the prefix of trees that is best on is_val rows: (model, iterations kept).
 
-    ``df`` has features, label, weight and is_val.
+    ``df`` has features, label, weight and is_val. Training ends once ``settings.wait`` iterations bring no better holdout loss.
+    The learner cannot go on from a fitted model, but equal settings give equal first trees; so
+    the limit starts at twice the wait and doubles until the best lies that far behind, at most twice the work of the last fit.
+    Without holdout rows all iterations are kept.
     """
     df = df.withColumn("label", F.col("label").cast("double"))
-    model = _learner(settings, validationIndicatorCol="is_val",
-                     validationTol=settings.tolerance).fit(df)
-    return model, model.getNumTrees
+    train, held = df.where(~F.col("is_val")), df.where("is_val")
+    alone = held.isEmpty()
+    limit = settings.iterations if alone else min(settings.iterations, 2 * settings.wait)
+    while True:
+        model = _learner(replace(settings, iterations=limit)).fit(train)
+        best, ended = (limit, True) if alone else best_prefix(holdout_losses(model, held), settings.wait)
+        if ended or limit >= settings.iterations:
+            model = truncated(model, best)
+            return model, model.getNumTrees
+        limit = min(settings.iterations, 2 * limit)
 
 
 def refit(df: DataFrame, settings: Boosting, best_iterations: int,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..models import boosting, stacking
-from ..models.encode import Encoder
+from ..models.bundle import EnsembleModel, bundle
+from ..models.encode import Encoder, EncoderModel
 from ..operators import evaluate, normalise, splits
 from ..operators.lineage import materialise
 from ..operators.skew import DEFAULT_POLICY, SkewPolicy
@@ -36,7 +37,7 @@ def with_holdout(train: DataFrame, config: EnsembleConfig) -> DataFrame:
     return train.withColumn("is_val", splits.fixed_holdout(config.holdout_start))
 
 
-def fit_encoder(train: DataFrame, config: EnsembleConfig) -> Encoder:
+def fit_encoder(train: DataFrame, config: EnsembleConfig) -> EncoderModel:
     """Encoder over the velocity features, fitted on the rows before the holdout."""
     helpers = ("label", "is_val")
     _, categorical, numeric = normalise.velocity_feature_columns(
@@ -46,18 +47,18 @@ def fit_encoder(train: DataFrame, config: EnsembleConfig) -> Encoder:
                    policy=config.policy).fit(train.where(~F.col("is_val")))
 
 
-def encoded(encoder: Encoder, train: DataFrame, config: EnsembleConfig) -> DataFrame:
+def encoded(encoder: EncoderModel, train: DataFrame, config: EnsembleConfig) -> DataFrame:
     """Rows ready for a learner: event_id, label, weight, is_val, features."""
     weight = config.pos_weight
     if weight is None:
         weight = splits.positive_weight(train.where(~F.col("is_val")), "label",
                                         fallback=config.weight_fallback).first()[0]
-    rows = boosting.weigh_positives(encoder.transform(train), weight)
+    rows = boosting.weigh_positives(encoder.transform_training(train, ~F.col("is_val")), weight)
     return materialise(rows.select("event_id", "label", "weight", "is_val", "features"))
 
 
 def bagged(train: DataFrame, scored: DataFrame, config: EnsembleConfig = EnsembleConfig()):
-    """(scores of ``scored``, holdout precision per seed, models).
+    """(scores of ``scored``, holdout precision per seed, bundle).
 
     ``train`` and ``scored`` are velocity rows; a single seed gives a single model.
     """
@@ -70,13 +71,13 @@ def bagged(train: DataFrame, scored: DataFrame, config: EnsembleConfig = Ensembl
         F.struct(F.lit(seed).alias("seed"), F.col(f"predict_{i}").alias("score"))
         for i, seed in enumerate(config.seeds)])).alias("s")).select("label", "s.*"))
     precision = evaluate.average_precision(per_seed, by=["seed"])
-    scores = boosting.score_bag(models, encoder.transform(scored).select("event_id", "features"))
-    return scores.select("event_id", "predict"), precision, models
+    fitted = bundle(encoder, EnsembleModel("mean", {f"seed_{seed}": m for seed, m in zip(config.seeds, models)}))
+    return fitted.transform(scored).select("event_id", "predict"), precision, fitted
 
 
 def stacked(fold_rows, scored: DataFrame, config: EnsembleConfig = EnsembleConfig(),
             trees: int = 50):
-    """(scores, meta-model). ``fold_rows(i)`` gives the velocity rows of fold i.
+    """(scores, bundle). ``fold_rows(i)`` gives the velocity rows of fold i.
 
     The encoder comes from the first fold, so all models read the same feature vector.
     """
@@ -88,5 +89,6 @@ def stacked(fold_rows, scored: DataFrame, config: EnsembleConfig = EnsembleConfi
         return encoded(encoder, fold, config)
 
     models, meta, _ = stacking.fit_stack(rows, config.learner, config.seeds, trees)
-    out = stacking.score_stack(models, meta, encoder.transform(scored).select("event_id", "features"))
-    return out.select("event_id", "predict"), meta
+    members = {f"{learner}_{i}": m for learner in stacking.LEARNERS for i, m in enumerate(models[learner])}
+    fitted = bundle(encoder, EnsembleModel("stack", {**members, "meta": meta}))
+    return fitted.transform(scored).select("event_id", "predict"), fitted

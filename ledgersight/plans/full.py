@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import labels as label_rules
 from ..functions.hashing import bucket
-from ..functions.probability import logit_product, weighted_sum
 from ..models import boosting
+from ..models.bundle import EnsembleModel, bundle, heads
 from ..models.encode import Encoder
 from ..operators import evaluate, impute, normalise, periods, predictions, priors, sampling, splits
 from ..operators.history import HistoryColumns, history_features
@@ -68,16 +68,13 @@ def with_priors(features: DataFrame, log: DataFrame, config: FullConfig = FullCo
 
 
 def model_frames(table: DataFrame, config: FullConfig = FullConfig()):
-    """Name -> rows (label, weight, is_val, features) of the four models, and the test rows."""
+    """(name -> rows (label, weight, is_val, features) of the four models, encoder)."""
     _, categorical, numeric = normalise.feature_columns(table.columns)
     train = table.where("is_train_sample").withColumn(
         "is_val", splits.fixed_holdout(config.holdout_start)).withColumn("label", F.col("target_bin"))
-    fit_rows = train.where(~F.col("is_val"))
-    encoder = Encoder(categorical, numeric, policy=config.policy).fit(
-        fit_rows, fewest_rows=fit_rows.where(F.col("train_target_raw") != -1).count())
+    encoder = Encoder(categorical, numeric, policy=config.policy).fit(train.where(~F.col("is_val")))
     meta = ["event_id", "event_ts", "train_target_raw", "target_bin", "is_val"]
-    train = materialise(encoder.transform(train).select(*meta, "features"))
-    test = encoder.transform(table.where("is_test")).select("event_id", "features")
+    train = materialise(encoder.transform_training(train, ~F.col("is_val")).select(*meta, "features"))
 
     def frame(rows, label, weight):
         return rows.withColumns({"label": label, "weight": weight})
@@ -89,34 +86,28 @@ def model_frames(table: DataFrame, config: FullConfig = FullConfig()):
                         F.col("target_bin"), label_rules.main_weight()),
         "suspicious": frame(train, label_rules.suspicious(), label_rules.suspicious_weight()),
         "red_yellow": frame(labelled, F.col("target_bin"), label_rules.red_yellow_weight()),
-    }, test
+    }, encoder
 
 
 def run(table: DataFrame, config: FullConfig = FullConfig()):
-    """(scores of the test rows, searched blend weights).
+    """(scores of the test rows, searched blend weights, bundle).
 
     Models are fitted on the rows before the holdout, blended where the holdout's average
     precision is best, refitted on all rows, and blended with the same weights.
     """
-    frames, test = model_frames(table, config)
+    frames, encoder = model_frames(table, config)
     fitted = {name: boosting.fit_holdout(rows, config.learner) for name, rows in frames.items()}
     held = frames["main"].where("is_val").select("event_id", "label", "features")
     searched = materialise(evaluate.blend_search(
-        materialise(_heads(held, {n: m for n, (m, _) in fitted.items()}))))
+        materialise(heads(held, {n: m for n, (m, _) in fitted.items()}))))
     best = evaluate.best_blend(searched).first()
     models = {n: m for n, (m, _) in fitted.items()}
     if config.refit:
         models = {n: boosting.refit(frames[n], config.learner, best_iterations, config.refit_least)
                   for n, (_, best_iterations) in fitted.items()}
     weights = {"main": best["w_main"], "recent": best["w_recent"], "product": best["w_product"]}
-    scores = _heads(test, models).select("event_id", weighted_sum(weights).alias("predict"))
-    return scores, searched
-
-
-def _heads(rows, models):
-    for name, model in models.items():
-        rows = boosting.log_odds(model, rows, name)
-    return rows.withColumn("product", logit_product("suspicious", "red_yellow")).drop("features")
+    fitted = bundle(encoder, EnsembleModel("blend", models, weights))
+    return fitted.transform(table.where("is_test")).select("event_id", "predict"), searched, fitted
 
 
 def submit(scores: DataFrame, template: DataFrame) -> DataFrame:

@@ -28,4 +28,5 @@ def reuse_or_write(spark: SparkSession, path: str, build: Callable[[], DataFrame
 
 
 def save_model(model, path: str) -> None:
+    """Store a fitted model or a bundle; ``models.bundle.load`` reads a bundle back."""
     model.write().overwrite().save(path)

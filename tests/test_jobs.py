@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgersight import jobs
 from ledgersight.catalog.plans import CONFIG, full_periods
 from ledgersight.catalog.registry import HOLDOUT_START, TRAIN_FROM
-from ledgersight.models import boosting, stacking
+from ledgersight.models import boosting, bundle, stacking
 from ledgersight.models.encode import Encoder
 from ledgersight.operators import evaluate
 from ledgersight.plans import reports
@@ -26,8 +26,8 @@ def learnable(spark):
         (F.col("id") % 4 == 0).alias("is_val"))
     noise = F.col("event_id") % 17 == 0
     df = df.withColumn("label", ((F.col("x") > 0.7) != noise).cast("int"))
-    encoder = Encoder(["kind", "many"], ["x"]).fit(df.where("NOT is_val"))
-    rows = boosting.weigh_positives(encoder.transform(df), 5.0)
+    encoder = Encoder(["kind", "many"], ["x"], indexed=["kind"]).fit(df.where("NOT is_val"))
+    rows = boosting.weigh_positives(encoder.transform_training(df, ~F.col("is_val")), 5.0)
     return rows.select("event_id", "label", "weight", "is_val", "features").persist()
 
 
@@ -89,7 +89,8 @@ FEATURES = VelocityConfig(start=TRAIN_FROM, scored_start="2024-01-24", history_d
                           scored_history_days=10, sample_keep=60)
 
 
-def check(out, ids):
+def check(out, ids, rescored=None):
+    """``rescored``: what the stored bundle gives for the same events."""
     rows = out.collect()
     assert len(rows) == len(ids) and {r["event_id"] for r in rows} == ids
     assert all(r["predict"] is not None for r in rows)
@@ -98,9 +99,10 @@ def check(out, ids):
 
 def test_velocity_run(spark, data, tmp_path):
     out = jobs.velocity_run(spark, data, str(tmp_path), "recent", seeds=2, features=FEATURES, learner=SMALL,
-                            holdout_start=HOLDOUT_START, save_models=True)
+                            holdout_start=HOLDOUT_START)
     check(out, scored_ids(spark, data))
     assert sinks.is_complete(spark, str(tmp_path / "predictions"))
+    assert bundle.load(str(tmp_path / "model")).stages[1].kind == "mean"
 
 
 def test_single_run(spark, data, tmp_path):
@@ -112,6 +114,7 @@ def test_stacked_run(spark, data, tmp_path):
     out = jobs.stacked_run(spark, data, str(tmp_path), seeds=2, features=features, learner=SMALL,
                            holdout_start=HOLDOUT_START, trees=3)
     check(out, scored_ids(spark, data))
+    assert set(bundle.load(str(tmp_path / "model")).stages[1].members) == {"boosted_0", "boosted_1", "forest_0", "forest_1", "meta"}
 
 
 def test_full_run_and_reports(spark, data, tmp_path):
@@ -121,6 +124,8 @@ def test_full_run_and_reports(spark, data, tmp_path):
     assert known == scored_ids(spark, data)  # every test customer has history, so the template is covered
     out = jobs.full_run(spark, data, str(tmp_path / "full"), CONFIG)
     check(out, known)
+    stored = bundle.load(str(tmp_path / "full/model")).transform(spark.read.parquet(str(tmp_path / "full/features")).where("is_test"))
+    assert {r.event_id: r.predict for r in stored.collect()} == pytest.approx({int(r["event_id"]): float(r["predict"]) for r in out.collect()})
     files = {"a": str(tmp_path / "full/predictions"), "b": str(tmp_path / "full/predictions")}
     reports.write_prediction_report(spark, files, str(tmp_path / "report"))
     disputed = spark.read.csv(str(tmp_path / "report/most_disputed"), header=True)
