@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, query, remainder, table
 
 MAX_PER_CLASS = 4_000       # labelled texts per class that a model is fitted on, those of the lowest hash
+LEAST_PER_CLASS = 8         # labels of a class a model can be fitted on
 ORDER = 6
 DISCOUNT = 1.0
 WINDOW = 4
@@ -157,31 +158,33 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([beta[:1], beta[1:] / scale])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, column: str = "toxic"):
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, column: str = "toxic", least: int = LEAST_PER_CLASS):
     """(model, curve) from documents and a table of labels.
 
     Learned from are rows whose crc32(doc_id as text) mod 3 is not 1 and whose label is 0 or 1 (1, where a doc_id has both).
     Of each class the ``max_per_class`` doc_ids of the lowest hash are used, or as many as the smaller class has, so that
-    both models back off alike; their texts, a bounded number of ids, are picked out of the documents. A quarter of them fits
-    the curve, with the classes weighted as in all labelled rows. With one class only, or none, the score is that class's share throughout.
+    both models back off alike; their texts, a bounded number of ids, are picked out of the documents. A quarter of each class fits
+    the curve, with the classes weighted as in all labelled rows. With fewer than ``least`` labels of a class there is no model: the
+    score is the share of toxic labels throughout, and ``drop_toxic`` drops nothing.
     """
     own = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", 3) != 1)).groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(column).cast("int").alias("toxic"))
     ids = materialise(own.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_semi"))
     sizes = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return None, np.array([1.0 if 1 in sizes else 0.0])
+    if min(sizes.get(0, 0), sizes.get(1, 0)) < least:
+        return None, np.array([sizes.get(1, 0) / max(1, sum(sizes.values()))])
     most, h = min(max_per_class, *sizes.values()), F.xxhash64(F.lit("sample"), "doc_id")
     few = [ids.where(F.col("toxic") == c).orderBy(h, "doc_id").limit(most) for c in (0, 1)]
-    few = F.broadcast(materialise(few[0].unionByName(few[1])))      # 2 * max_per_class rows at most
-    curve = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(CALIBRATION)) == 0
-    chosen = materialise(documents(docs).join(few, "doc_id").select("text", "toxic", curve.alias("curve")).repartition(
+    # 2 * max_per_class rows at most; the first of a class is always on the curve's side, the last never
+    curve, own_class = F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(CALIBRATION)) == 0, Window.partitionBy("toxic")
+    place = F.row_number().over(own_class.orderBy(~curve, h, "doc_id"))
+    few = F.broadcast(materialise(few[0].unionByName(few[1]).select(
+        "doc_id", "toxic", ((curve | (place == 1)) & (place < F.count(F.lit(1)).over(own_class))).alias("curve"))))
+    chosen = materialise(documents(docs).join(few, "doc_id").select("text", "toxic", "curve").repartition(
         max(2, most // 500), F.xxhash64("text")))
     model = fit_counts(chosen.where("not curve"))
     seen = features(chosen.where("curve").select("text", "toxic"), model, "toxic int").toPandas()
     y, x = seen["toxic"].to_numpy(dtype=float), seen[["f0", "f1", "f2"]].to_numpy(dtype=float)
-    if not len(y) or y.min() == y.max():
-        return None, np.array([sizes[1] / (sizes[0] + sizes[1])])
     weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
     return model, fit_curve(x, y, weight * len(y) / weight.sum())
 
@@ -210,10 +213,10 @@ def score(docs: DataFrame, fitted) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, fitted, threshold: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` (any columns) whose text scores below the threshold, unchanged."""
+    """Rows of ``docs`` (any columns) whose text scores below the threshold, unchanged; all rows, where there is no model."""
     model, curve = fitted
     if model is None:
-        return docs if curve[0] < threshold else docs.limit(0)
+        return docs
     names = docs.columns
     hidden = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("text"))
     found = features(hidden, model, *[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)])
