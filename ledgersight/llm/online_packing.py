@@ -8,9 +8,10 @@ same rule and leaves at most ``WINDOWS`` again, until one group is left. Its win
 tokens of all, fewer than a window, are cut at powers of two, which need no padding.
 
 Ids of a text are those of its chunks between spaces and line ends, which the tokenizer drops and never joins
-across; a worker keeps the ids of the chunks it has met, up to ``CACHE`` of them.
+across; a worker keeps the ids of the chunks and words it has met, up to ``CACHE`` of each.
 """
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -25,41 +26,55 @@ from .common import documents, materialise, query, table
 CAPACITY = 2048
 WINDOWS = 8             # open windows of a partition
 FAN = 32                # partitions whose open windows meet in one task
-CACHE = 400_000         # chunks a worker remembers
-CHUNK = 48              # longest chunk remembered, in characters
+CACHE = 1_000_000         # chunks and words a worker remembers
+CHUNK = 48              # longest of them, in characters
 OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 OPEN = f"{OUT}, part bigint, ids binary"
 
 
-class ChunkIds:
-    """Ids of texts as little-endian 32-bit numbers, chunk by chunk."""
+class ChunkIds(dict):
+    """Ids of chunks as little-endian 32-bit numbers; a missing chunk is encoded when it is asked for.
+
+    A chunk of plain signs and Latin letters is lower-cased and split here as the tokenizer does it, and its words,
+    which recur more often than chunks, go to the tokenizer's model. Any other chunk goes to the tokenizer whole.
+    """
+
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+    WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        once = {}
-        for chunks in split:
-            new = [c for c in set(chunks).difference(self.known, once) if c]
-            once.update(zip(new, self.encode(new)))
-            if len(once) > CACHE:           # a batch of very many chunks is not kept
-                return [self._apart(t) for t in split]
-        self.known.update({c: i for c, i in once.items() if len(c) <= CHUNK})
-        longer = {c: i for c, i in once.items() if len(c) > CHUNK}
-        if longer:
-            return [b"".join([self.known[c] if c in self.known else longer[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-
-    def _apart(self, chunks: list[str]) -> bytes:
-        return b"".join(b"".join(self.encode(chunks[i:i + 10_000])) for i in range(0, len(chunks), 10_000))
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the model reads bytes as signs: a byte that is no visible sign by itself is one of the signs from 256 on
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.signs = {b: 256 + k for k, b in enumerate(hidden)}
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
+            found = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            if len(word) <= CHUNK:
+                self.words[word] = found
+        return found
+
+    def __missing__(self, chunk: str) -> bytes:
+        if self.PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
+            ids = b"".join(map(self._word, self.WORDS.findall(chunk.lower())))
+        else:
+            found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            ids = b"".join([i.to_bytes(4, "little") for i in found])
+        if len(self) >= CACHE:
+            self.clear()
+        if len(chunk) <= CHUNK:
+            self[chunk] = ids
+        return ids
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -160,8 +175,8 @@ def _stream(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, windows
         ids_of, open_, rows = chunk_ids(tokenizer), Windows(capacity, windows), Rows(0)
         rows.part = TaskContext.get().partitionId()
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of.texts(batch["text"].to_pylist())):
-                ids = memoryview(ids + end)
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                ids = memoryview(ids_of.text(text.as_py()) + end)
                 for full in open_.put([(doc, 0, len(ids) // 4, ids)]):
                     rows.add(full)
             yield rows.batch()

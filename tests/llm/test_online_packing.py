@@ -22,10 +22,10 @@ def tokenizer():
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(max_size=30) | st.text(alphabet="aZé' .\n\t\x1c\x85 ́İΣσ1<|>", max_size=30)
-                | st.just("a <|endoftext|> b<|startoftext|>c") | st.text(alphabet="ab", min_size=50, max_size=60), max_size=4))
+                | st.text(alphabet="aZ'sé÷ßÿÀ×²ª..1", max_size=30) | st.just("a <|endoftext|> b<|startoftext|>c") | st.text(alphabet="ab", min_size=50, max_size=60), max_size=4))
 def test_chunks_have_the_library_s_ids(tokenizer, texts):
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert online_packing.chunk_ids(PATH).texts(texts) == want
+    assert [online_packing.chunk_ids(PATH).text(t) for t in texts] == want
 
 
 def test_bounded_memory_changes_nothing(tokenizer, monkeypatch):
@@ -33,7 +33,7 @@ def test_bounded_memory_changes_nothing(tokenizer, monkeypatch):
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     monkeypatch.setattr(online_packing, "CACHE", 5)
     ids = online_packing.ChunkIds(PATH)
-    assert ids.texts(texts) == want and [ids.texts([t])[0] for t in texts] == want
+    assert [ids.text(t) for t in texts * 2] == want * 2 and len(ids) <= 5
 
 
 def check(rows, want, capacity):
