@@ -1,6 +1,10 @@
 """Average precision and the search for blend weights."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +15,8 @@ from .lineage import materialise
 
 RANGE_ROWS = 1_000_000
 MAX_RANGES = 4096  # borders pass the driver
+MAX_POSITIVES = 100_000     # whose scores the tasks of a blend search share
+SHARED_SCORES = 2_000_000   # numbers broadcast in one pass of it, 16 MB
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label", by=(),
@@ -105,15 +111,68 @@ def _weights(steps):
             "w_product": (steps - m - r) / float(steps)}
 
 
-def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, steps: int = fv.BLEND_STEPS,
+def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, steps: int = fv.BLEND_STEPS, most_positives: int = MAX_POSITIVES,
                  **columns) -> DataFrame:
-    """Average precision of every weight triple: w_main, w_recent, w_product, ap."""
-    found = average_precision(blend_scores(df, steps=steps, **columns),
-                              by=["main_step", "recent_step"], rows_per_group=df.count(),
-                              range_rows=range_rows)
+    """Average precision of every weight triple: w_main, w_recent, w_product, ap.
+
+    Precision changes only at the scores of positives. Up to ``most_positives`` of them (counted) are shared with
+    the tasks, which count for all triples how many of their rows fall between two positives' scores; only
+    counts are shuffled. With more positives, the rows themselves are blended per triple and walked as curves.
+    """
+    names = dict(main="main", recent="recent", product="product", label="label") | columns
+    positives = df.where(F.col(names["label"]) == 1).select(*[F.col(names[c]).cast("double").alias(c) for c in ("main", "recent", "product")])
+    if positives.count() <= most_positives:
+        found = _precision_of_blends(df, names, np.array(positives.collect(), dtype=float).reshape(-1, 3), steps)
+    else:
+        found = average_precision(blend_scores(df, steps=steps, **columns), by=["main_step", "recent_step"],
+                                  rows_per_group=df.count(), range_rows=range_rows)
     return found.select(*[c.alias(n) for n, c in _weights(steps).items()], "ap")
 
 
+def _precision_of_blends(df: DataFrame, names: dict, positives: np.ndarray, steps: int) -> DataFrame:
+    """main_step, recent_step, ap, for positives that fit the driver."""
+    spark = df.sparkSession
+    triples = [(m, r) for m in range(fv.BLEND_MAIN_STEPS[0], fv.BLEND_MAIN_STEPS[1] + 1)
+               for r in range(fv.BLEND_RECENT_STEPS[0], fv.BLEND_RECENT_STEPS[1] + 1) if m + r <= steps]
+    kind = "main_step int, recent_step int, ap double"
+    if not len(positives):
+        return spark.createDataFrame([(m, r, None) for m, r in triples], kind)
+    rows = df.select(*[F.col(names[c]).cast("double").alias(c) for c in ("main", "recent", "product")])
+
+    def blended(a, b, c, m, r):             # the order of operations of blend_scores
+        return m / float(steps) * a + r / float(steps) * b + (steps - m - r) / float(steps) * c
+
+    out, each = None, max(1, SHARED_SCORES // len(positives))
+    for first in range(0, len(triples), each):
+        group = triples[first:first + each]
+        borders = [np.unique(blended(*positives.T, m, r), return_counts=True) for m, r in group]
+        shared = spark.sparkContext.broadcast([b for b, _ in borders])     # SHARED_SCORES numbers at most
+
+        def count(batches, group=group, shared=shared):
+            totals = [np.zeros(len(b) + 1, dtype=np.int64) for b in shared.value]
+            for batch in batches:
+                a, b, c = (batch[x].to_numpy(zero_copy_only=False) for x in ("main", "recent", "product"))
+                for (m, r), border, total in zip(group, shared.value, totals):
+                    total += np.bincount(np.searchsorted(border, blended(a, b, c, m, r), side="right"), minlength=len(border) + 1)
+            yield pa.record_batch({"triple": pa.array(range(len(group)), pa.int32()),
+                                   "counts": pa.array(totals, pa.list_(pa.int64()))})
+
+        summed = rows.mapInArrow(count, "triple int, counts array<bigint>").groupBy("triple").agg(
+            vector_to_array(Summarizer.sum(array_to_vector(F.col("counts").cast("array<double>")))).alias("counts"))
+
+        def finish(batches, group=group, hits=[h for _, h in borders], positives=len(positives)):
+            for batch in batches:
+                for triple, counts in zip(batch["triple"].to_pylist(), batch["counts"]):
+                    above = np.cumsum(counts.values.to_numpy()[::-1])[::-1][1:]        # rows at or above each border
+                    tp = np.cumsum(hits[triple][::-1])[::-1]
+                    yield pa.record_batch({"main_step": pa.array([group[triple][0]], pa.int32()), "recent_step": pa.array([group[triple][1]], pa.int32()),
+                                           "ap": pa.array([float((hits[triple] * tp / above).sum() / positives)])})
+
+        part = summed.mapInArrow(finish, kind)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def best_blend(searched: DataFrame) -> DataFrame:
     """The best triple; on equal precision the first in grid order.
 
