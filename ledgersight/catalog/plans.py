@@ -14,7 +14,7 @@ from ..operators.skew import SkewPolicy
 from .inputs import DISAGREEMENT, prediction_files
 from .registry import (HOLDOUT_START, LAB, PER, PRETEST_FROM, RECENT_BORDER, SAMPLE_BORDER, SCO, TEST_FROM,
                        TRAIN_FROM, md5_number, query, with_ev)
-from .windows import COLUMNS, MCC, PRIOR, PRIOR_MEAN, amount, frame, over, rows
+from .windows import COLUMNS, MCC, PRIOR, PRIOR_MEAN, PRIOR_STD, amount, frame, over, rows
 
 VELOCITY = f"""vel AS (
   SELECT *, hour(ts) AS hour, isodow(ts) AS day_of_week, CAST(hour(ts) < 6 AS BIGINT) AS is_night,
@@ -57,6 +57,7 @@ def _(t):
 
 @query("job_history_features_split", with_ev(f"""
 SELECT event_id, ROW_NUMBER() {over()} - 1 AS cust_prev_events, {PRIOR_MEAN} AS cust_prev_amt_mean,
+  ROUND({PRIOR_STD}, 8) AS cust_prev_amt_std, ROW_NUMBER() {over('event_type')} - 1 AS cnt_prev_same_mcc,
   COALESCE((us - LAG(us) {over()}) // 1000000, -1) AS sec_since_prev_event,
   amt - COALESCE(LAG(amt) {over()}, 0) AS amt_delta_prev,
   ROW_NUMBER() {over('event_type')} - 1 AS cnt_prev_same_type, ROW_NUMBER() {over('k')} - 1 AS cnt_prev_same_desc,
@@ -68,8 +69,8 @@ def _(t):
     """The history block with most customers spread over time slices."""
     out = history_features(t.log(), COLUMNS, policy=SPLIT)
     return out.select(
-        "event_id", "cust_prev_events", "cust_prev_amt_mean", "sec_since_prev_event", "amt_delta_prev",
-        "cnt_prev_same_type", "cnt_prev_same_desc", "cnt_prev_same_subtype", "cnt_prev_same_session",
+        "event_id", "cust_prev_events", "cust_prev_amt_mean", F.round("cust_prev_amt_std", 8).alias("cust_prev_amt_std"),
+        "cnt_prev_same_mcc", "sec_since_prev_event", "amt_delta_prev", "cnt_prev_same_type", "cnt_prev_same_desc", "cnt_prev_same_subtype", "cnt_prev_same_session",
         "sec_since_prev_same_type", "sec_since_prev_same_desc", "events_before_today")
 
 

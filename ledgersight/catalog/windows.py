@@ -117,9 +117,9 @@ PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 IDX = f"ROW_NUMBER() {over()}"
 
 history_query("win_15_cust_event_idx", "cust_event_idx", IDX)
-history_query("win_16_cust_cum_amt", "cust_cum_amt", f"SUM(amt) {over(rows='ROWS UNBOUNDED PRECEDING')}", 6)
+history_query("win_16_cust_cum_amt", "cust_cum_amt", f"CAST(SUM(units) {over(rows='ROWS UNBOUNDED PRECEDING')} AS DOUBLE) / 10000.0::DOUBLE")
 history_query("win_17_cust_cum_amt_sq", "cust_cum_amt_sq",
-              f"SUM(amt * amt) {over(rows='ROWS UNBOUNDED PRECEDING')}", 4)
+              f"CAST(SUM(units * units) {over(rows='ROWS UNBOUNDED PRECEDING')} AS DOUBLE) / 100000000.0::DOUBLE")
 history_query("win_18_prev_event_us", "prev_event_us", f"LAG(us) {over()}")
 history_query("win_19_prev_amt", "prev_amt", f"LAG(amt) {over()}")
 history_query("win_20_cnt_prev_same_type", "cnt_prev_same_type", f"ROW_NUMBER() {over('event_type')} - 1")
@@ -133,8 +133,10 @@ history_query("win_25_prev_same_desc_us", "prev_same_desc_us", f"LAG(us) {over('
 history_query("win_26_cust_prev_events", "cust_prev_events", f"{IDX} - 1")
 PRIOR_MEAN = f"COALESCE(CAST(SUM(units) {over(rows=PRIOR)} AS DOUBLE) / 10000.0::DOUBLE / NULLIF({IDX} - 1, 0), 0)"
 history_query("win_27_cust_prev_amt_mean", "cust_prev_amt_mean", PRIOR_MEAN)
-history_query("win_28_cust_prev_amt_std", "cust_prev_amt_std",
-              f"COALESCE(STDDEV_POP(amt) {over(rows=PRIOR)}, 0)", 4)
+# exact in whole units: n times the squares less the squared total
+PRIOR_STD = f"""COALESCE(SQRT(CAST(({IDX} - 1) * SUM(units * units) {over(rows=PRIOR)}
+  - SUM(units) {over(rows=PRIOR)} * SUM(units) {over(rows=PRIOR)} AS DOUBLE)) / NULLIF({IDX} - 1, 0) / 10000.0::DOUBLE, 0)"""
+history_query("win_28_cust_prev_amt_std", "cust_prev_amt_std", PRIOR_STD, 8)
 history_query("win_29_sec_since_prev_event", "sec_since_prev_event",
               f"COALESCE((us - LAG(us) {over()}) // 1000000, -1)")
 history_query("win_30_amt_delta_prev", "amt_delta_prev", f"amt - COALESCE(LAG(amt) {over()}, 0)")

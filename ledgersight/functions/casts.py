@@ -1,5 +1,7 @@
 """Casts, null fills and parsing of raw event columns."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,3 +57,35 @@ def exact_amount(c, scale: int = AMOUNT_SCALE) -> Column:
     value = column(c).try_cast(f"decimal(38,{scale})")
     return F.when(column(c).isNull() | value.isNotNull(), value).otherwise(F.raise_error(
         F.concat(F.lit("amount does not fit an exact sum: "), column(c).cast("string"))))
+
+
+def exact_parts(c, scale: int = AMOUNT_SCALE) -> tuple[Column, Column]:
+    """(whole, rest) of ``exact_amount``: its floor, and what is above it in units of 10^-scale.
+
+    Both are 64-bit numbers, so running sums of them stay primitive and are still exact; ``joined_parts``
+    makes one number of two sums. An amount whose floor does not fit fails the query.
+    """
+    value = exact_amount(c, scale)
+    whole = F.floor(value).try_cast("bigint")
+    rest = ((value - F.floor(value)) * F.lit(10 ** scale)).cast("bigint")
+    return F.when(value.isNull() | whole.isNotNull(), whole).otherwise(F.raise_error(
+        F.concat(F.lit("amount does not fit an exact sum: "), column(c).cast("string")))), rest
+
+
+def joined_parts(whole, rest, scale: int = AMOUNT_SCALE) -> Column:
+    """The double nearest to whole + rest / 10^scale, for sums of ``exact_parts``.
+
+    Below 2^53 units the quotient of two doubles is that number; larger sums go through decimals.
+    """
+    whole, rest, unit = column(whole), column(rest), 10 ** scale
+    small = (F.abs(whole) < 4 * 10 ** 15 // unit) & (rest < 4 * 10 ** 15)
+    exact = whole.cast(f"decimal(38,{scale})") + rest.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale))
+    return F.when(small, (whole * unit + rest).cast("double") / F.lit(float(unit))).otherwise(exact.cast("double"))
+
+
+def exact_square(c, scale: int = AMOUNT_SCALE) -> Column:
+    """Square of ``exact_amount`` as decimal(37, 12), for exact sums; 10^12 and above fail the query."""
+    value = exact_amount(c, scale)
+    short = value.try_cast("decimal(18,6)")
+    return F.when(value.isNull() | short.isNotNull(), short * short).otherwise(F.raise_error(
+        F.concat(F.lit("amount does not fit an exact sum of squares: "), column(c).cast("string"))))

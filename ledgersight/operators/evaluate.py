@@ -2,7 +2,6 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.probability import weighted_sum
 from .lineage import materialise
+from .skew import null_safe_join
 
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 4096  # borders pass the driver
 MAX_POSITIVES = 100_000     # whose scores the tasks of a blend search share
 SHARED_SCORES = 2_000_000   # numbers broadcast in one pass of it, 16 MB
 
@@ -41,7 +40,7 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
         curve = rows.select(*by, "tp", F.lit(1).alias("n"), F.sum("tp").over(above).alias("ctp"),
                             F.count(F.lit(1)).over(above).alias("cn"))
     else:
-        curve = _by_ranges(rows, by, min(MAX_RANGES, rows_per_group // range_rows + 1))
+        curve = _by_ranges(rows, by, range_rows)
     term = F.col("tp") * F.col("ctp").cast("double") / F.col("cn")
     return (
         curve.groupBy(*by)
@@ -51,17 +50,16 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
     )
 
 
-def _by_ranges(rows: DataFrame, by, ranges: int) -> DataFrame:
+def _by_ranges(rows: DataFrame, by, range_rows: int) -> DataFrame:
     """Per distinct score: tp, n and the counts ctp, cn at or above the score.
 
-    Counts are taken inside a score range and added to the totals of all higher ranges.
+    Counts are taken inside a range of scores and added to the totals of all higher ranges.
     """
     steps = materialise(rows.groupBy(*by, "score").agg(
         F.sum("tp").alias("tp"), F.count(F.lit(1)).alias("n")))
-    steps = _score_ranges(steps, ranges)
+    steps = score_ranges(steps, by, range_rows)
     totals = steps.groupBy(*by, "_range").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
-    higher = (W.partitionBy(*by).orderBy(F.desc("_range"))
-              .rowsBetween(W.unboundedPreceding, -1))
+    higher = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
         *by, "_range", F.coalesce(F.sum("tp").over(higher), F.lit(0)).alias("tp_above"),
         F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("n_above"))
@@ -70,18 +68,26 @@ def _by_ranges(rows: DataFrame, by, ranges: int) -> DataFrame:
     curve = steps.select(
         *by, "_range", "tp", "n",
         F.sum("tp").over(inside).alias("ctp"), F.sum("n").over(inside).alias("cn"))
-    return curve.join(carried, [*by, "_range"]).select(
+    return null_safe_join(curve, carried, [*by, "_range"], "inner").select(
         *by, "tp", "n", (F.col("ctp") + F.col("tp_above")).alias("ctp"),
         (F.col("cn") + F.col("n_above")).alias("cn"))
 
 
-def _score_ranges(steps: DataFrame, ranges: int) -> DataFrame:
-    """Add _range, an increasing number of the score range a score falls in."""
-    shares = [i / ranges for i in range(1, ranges)]
-    borders = sorted(set(steps.approxQuantile("score", shares, 0.1 / ranges)))
-    splits = [-float("inf"), *borders, float("inf")]
-    return Bucketizer(splits=splits, inputCol="score", outputCol="_range",
-                      handleInvalid="keep").transform(steps)
+def score_ranges(steps: DataFrame, by, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add _range to rows with distinct (by, score): it rises as the scores of a group fall.
+
+    Ranges are those of a sort by group and score, so each group has borders of its own, however narrow
+    its scores lie. Borders come from Spark's sample of the keys; while a range holds over
+    4 * ``range_rows`` rows, twice as many are cut. Only counts reach the driver.
+    """
+    order = [*[F.col(c) for c in by], F.col("score").desc_nulls_last()]
+    ranges = steps.count() // range_rows + 1
+    while True:
+        cut = materialise(steps.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+        fullest = cut.groupBy("_range").count().agg(F.max("count")).first()[0]
+        if fullest is None or fullest <= 4 * range_rows:
+            return cut
+        ranges *= 2
 
 
 def blend_scores(df: DataFrame, main: str = "main", recent: str = "recent",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.calendar import seconds_between
-from ..functions.casts import AMOUNT_SCALE, exact_amount
+from ..functions.casts import AMOUNT_SCALE, exact_amount, exact_square
 from .lineage import materialise
 from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot
 from .timeline import slice_rows
@@ -60,7 +60,7 @@ def history_features(df: DataFrame, columns: HistoryColumns = HistoryColumns(),
         out = _windows(ordinary.repartition(CUSTOMER), columns, [], scale).unionByName(
             sliced.where(F.col("_opens").isNull()).drop("_opens", "_cell",
                                                         *_carried(columns)))
-    return _derive(out, columns, first_gap, df.columns, keep_running)
+    return _derive(out, columns, first_gap, df.columns, keep_running, scale)
 
 
 def _carried(columns):
@@ -75,7 +75,7 @@ def _with_openings(df, columns, scale):
         keys = [CUSTOMER] + ([extra] if extra else [])
         per_cell = df.groupBy(*keys, "_cell").agg(
             F.count(F.lit(1)).alias("n"), F.sum(exact_amount(columns.amt, scale)).alias("s"),
-            F.sum(F.col(columns.amt) * F.col(columns.amt)).alias("q"), last.alias("last"))
+            F.sum(exact_square(columns.amt, scale)).alias("q"), last.alias("last"))
         earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
         opening = per_cell.select(
             *keys, "_cell", F.lit(group).alias("_opens"),
@@ -125,21 +125,26 @@ def _windows(df, columns, cell, scale):
     w = before(None)
     return df.withColumns({
         **{f"_before_{g}": count(g, extra) for g, extra in columns.groups().items()},
-        # decimals make the sum exact, so it does not depend on how rows were grouped
-        "_before_sum": F.coalesce(
-            total(exact_amount(columns.amt, scale), "_sum", w), F.lit(0)).cast("double"),
-        "_before_sq": F.coalesce(total(amt * amt, "_sq", w), F.lit(0.0)),
+        # decimals make the sums exact, so they do not depend on how rows were grouped
+        "_before_sum": F.coalesce(total(exact_amount(columns.amt, scale), "_sum", w), F.lit(0)).cast("decimal(38,6)"),
+        "_before_sq": F.coalesce(total(exact_square(columns.amt, scale), "_sq", w), F.lit(0)).cast("decimal(38,12)"),
         "_last_customer": previous("customer", None),
         "_last_type": previous("type", columns.type),
         "_last_desc": previous("desc", columns.desc),
     })
 
 
-def _derive(df, columns, first_gap, base, keep_running):
+def _derive(df, columns, first_gap, base, keep_running, scale):
     amt = F.col(columns.amt)
     n = F.col("_before_customer")
-    mean = F.col("_before_sum") / n
-    spread = F.sqrt(F.greatest(F.col("_before_sq") / n - mean * mean, F.lit(0.0)))
+    total, squares = F.col("_before_sum"), F.col("_before_sq")
+    mean = total.cast("double") / n
+    # n times the squares less the squared total loses nothing to cancellation; totals too long for it go through doubles
+    short = total.try_cast("decimal(18,6)")
+    scaled = F.try_multiply(squares.try_cast("decimal(26,12)"), n.try_cast("decimal(11,0)")).try_cast("decimal(37,12)")
+    exact = F.try_subtract(scaled, short * short)
+    variance = F.coalesce(exact.cast("double") / n / n, squares.cast("double") / n - mean * mean)
+    spread = F.sqrt(F.greatest(variance, F.lit(0.0)))
 
     def since(last):
         return F.coalesce(seconds_between(TIME, f"{last}.at"), F.lit(first_gap))
@@ -163,8 +168,8 @@ def _derive(df, columns, first_gap, base, keep_running):
     if keep_running:
         features.update({
             "cust_event_idx": n + 1,
-            "cust_cum_amt": F.col("_before_sum") + amt,
-            "cust_cum_amt_sq": F.col("_before_sq") + amt * amt,
+            "cust_cum_amt": (total + exact_amount(columns.amt, scale)).cast("double"),
+            "cust_cum_amt_sq": (squares + exact_square(columns.amt, scale)).cast("double"),
             "prev_event_us": F.col("_last_customer.at"),
             "prev_amt": F.col("_last_customer.amt"),
             "prev_same_type_us": F.col("_last_type.at"),

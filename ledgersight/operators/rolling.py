@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.casts import AMOUNT_SCALE, exact_amount
+from ..functions.casts import AMOUNT_SCALE, exact_amount, exact_parts, joined_parts
 from ..functions.calendar import DAY_US, HOUR_US, seconds_between
 from .lineage import materialise
 from .skew import (DEFAULT_POLICY, SkewPolicy, hot_keys, lookup_join, null_safe_join,
@@ -117,9 +117,9 @@ def _by_customer(df, rolling, gaps, totals, scale):
     wanted += [n for t in totals for n in (t.sum_name, t.count_name)]
     # every window below is keyed by the customer or finer, so this one shuffle serves all
     df = df.repartition(CUSTOMER)
-    units = {s.value: f"_u_{s.value}" for s in rolling if s.what in ("sum", "mean")}
-    units.update({t.value: f"_u_{t.value}" for t in totals})
-    df = df.withColumns({name: exact_amount(c, scale) for c, name in units.items()})
+    amounts = {s.value for s in rolling if s.what in ("sum", "mean")} | {t.value for t in totals}
+    df = df.withColumns({f"_{part}_{c}": value for c in sorted(amounts)
+                         for part, value in zip(("whole", "rest"), exact_parts(c, scale))})
 
     # finer keys first; per key the row-ordered gaps come before the time-ordered frames,
     # so one sort serves both
@@ -132,8 +132,7 @@ def _by_customer(df, rolling, gaps, totals, scale):
             distinct = []
         df = _gaps_by_keys(df, keys, [g for g in gaps if g.keys == keys])
         df = _rolling_by_keys(
-            df, keys, [r for r in rolling if r.keys == keys and r.what != "distinct"],
-            units, scale)
+            df, keys, [r for r in rolling if r.keys == keys and r.what != "distinct"], scale)
     for spec in distinct:
         df = _distinct_by_customer(df, spec)
 
@@ -142,9 +141,11 @@ def _by_customer(df, rolling, gaps, totals, scale):
         if t.causal:
             w = w.orderBy(TIME).rangeBetween(W.unboundedPreceding, 0)
         df = df.withColumns({
-            t.sum_name: F.coalesce(F.sum(units[t.value]).over(w), F.lit(0)).cast("double"),
+            "_whole": F.coalesce(F.sum(f"_whole_{t.value}").over(w), F.lit(0)),
+            "_rest": F.coalesce(F.sum(f"_rest_{t.value}").over(w), F.lit(0)),
             t.count_name: F.count(F.lit(1)).over(w),
         })
+        df = df.withColumn(t.sum_name, joined_parts("_whole", "_rest", scale))
     return df.select(*wanted)
 
 
@@ -158,7 +159,7 @@ def _gaps_by_keys(df, keys, gaps):
     }).drop("_last")
 
 
-def _rolling_by_keys(df, keys, specs, units, scale):
+def _rolling_by_keys(df, keys, specs, scale):
     """Running values up to now and up to each frame start, each computed once."""
     if not specs:
         return df
@@ -167,11 +168,13 @@ def _rolling_by_keys(df, keys, specs, units, scale):
         frame = (W.partitionBy(*keys).orderBy(TIME)
                  .rangeBetween(W.unboundedPreceding, end))
         what, _, c = source.partition(":")
-        value = {"rows": F.count(F.lit(1)), "sum": F.sum(units.get(c, c)),
-                 "present": F.count(units.get(c, c))}[what]
+        if what == "rows":
+            return F.coalesce(F.count(F.lit(1)).over(frame), F.lit(0))
+        value = {"whole": F.sum(f"_whole_{c}"), "rest": F.sum(f"_rest_{c}"),
+                 "present": F.count(f"_whole_{c}")}[what]
         return F.coalesce(value.over(frame), F.lit(0))
 
-    needs = {"count": ("rows:",), "sum": ("sum:",), "mean": ("sum:", "present:")}
+    needs = {"count": ("rows:",), "sum": ("whole:", "rest:"), "mean": ("whole:", "rest:", "present:")}
     sources = {}
     for spec in specs:
         suffix = "" if spec.what == "count" else spec.value
@@ -190,10 +193,10 @@ def _rolling_by_keys(df, keys, specs, units, scale):
         if spec.what == "count":
             features[spec.name] = inside[0]
         elif spec.what == "sum":
-            features[spec.name] = inside[0].cast("double")
+            features[spec.name] = joined_parts(*inside, scale)
         else:
             features[spec.name] = F.try_divide(
-                inside[0].cast("double"), inside[1].cast("double"))
+                joined_parts(*inside[:2], scale), inside[2].cast("double"))
     return df.withColumns(features).drop(*helpers)
 
 

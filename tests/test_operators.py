@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -121,6 +122,25 @@ def test_average_precision_matches_definition(spark, range_rows):
         assert got[g] == pytest.approx(brute.average_precision([(s, y) for h, s, y in data if h == g]))
 
 
+def test_score_ranges_of_narrow_groups_hold_few_rows(spark):
+    """One group's scores lie within a millionth of another's spread, one group is null."""
+    r = random.Random(3)
+    data = {("wide", r.random()) for _ in range(300)} | {("narrow", 0.5 + r.random() / 10**6) for _ in range(300)}
+    data |= {(None, r.random()) for _ in range(50)}
+    labelled = [(g, s, int(r.random() < 0.3)) for g, s in sorted(data, key=str)]
+    df = spark.createDataFrame(labelled, "g string, score double, label int")
+    cut = evaluate.score_ranges(df, ["g"], 20).collect()
+    held = Counter(x["_range"] for x in cut)
+    assert len(cut) == len(data) and max(held.values()) <= 80 and len(held) > 15
+    for g in ("wide", "narrow", None):
+        order = [x["_range"] for x in sorted((x for x in cut if x["g"] == g), key=lambda x: -x["score"])]
+        assert order == sorted(order)
+    got = {x["g"]: (x["ap"], x["n_rows"]) for x in evaluate.average_precision(df, by=["g"], range_rows=20).collect()}
+    for g in ("wide", "narrow", None):
+        pairs = [(s, y) for h, s, y in labelled if h == g]
+        assert got[g] == (pytest.approx(brute.average_precision(pairs)), len(pairs))
+
+
 def test_blend_grid_and_best(spark):
     r = random.Random(1)
     data = [(r.random(), r.random(), r.random(), int(r.random() < 0.4)) for _ in range(50)]

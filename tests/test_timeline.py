@@ -1,6 +1,9 @@
 """Rolling, gap, session and history features against row-by-row definitions."""
 
+import math
 import random
+from decimal import Decimal
+from fractions import Fraction
 from datetime import date, timedelta
 
 import pytest
@@ -189,8 +192,40 @@ def test_small_and_large_amounts_are_summed_together(spark, policy):
     assert got[1:] == [1e15, 1e15, 1e15, 0.000001, 0.000003]
 
 
-@pytest.mark.parametrize("value", [float("nan"), float("inf"), 1e33])
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), 1e19, 1e33])
 def test_an_amount_that_fits_no_exact_sum_is_an_error(spark, value):
     df = amounts(spark, [1.0, value])
     with pytest.raises(PySparkException, match="does not fit"):
         timeline_features(df, [Rolling("s", "sum", 3_600_000_000, "amt")]).collect()
+
+
+def test_sums_are_the_nearest_doubles(spark):
+    """Beyond 2^53 units and below, a sum of parts is the double nearest to the exact total."""
+    r = random.Random(8)
+    values = [round(r.uniform(-1, 1) * 10 ** r.randrange(1, 17), 6) for _ in range(60)]
+    df = amounts(spark, values)
+    out = timeline_features(df, [Rolling("s", "sum", 3_600_000_000, "amt")]).orderBy("event_id").collect()
+    exact = [Fraction(0)]
+    for v in values:
+        exact.append(exact[-1] + Fraction(str(Decimal(repr(v)).quantize(Decimal("0.000001")))))
+    assert [x["s"] for x in out] == [float(e) for e in exact[:-1]]
+
+
+def test_deviation_survives_a_large_common_amount(spark):
+    """Amounts that differ in the sixth digit beside 100,000: doubles of the squares would lose the spread."""
+    r = random.Random(9)
+    values = [100_000 + r.randrange(100) / 10**6 for _ in range(30)]
+    df = amounts(spark, values).selectExpr(
+        "*", "'t' AS event_type_nm", "1 AS event_desc", "'m' AS mcc_code_i", "1 AS channel_indicator_sub_type",
+        "1 AS session_id", "date'2024-01-01' AS event_date")
+    routes = []
+    for policy in (SkewPolicy(), SkewPolicy(hot_rows=4, min_cell_us=1)):
+        out = history_features(df, policy=policy, keep_running=True).orderBy("event_id").collect()
+        routes.append([(x["cust_prev_amt_std"], x["cust_cum_amt_sq"]) for x in out])
+    assert routes[0] == routes[1]
+    exact = [Fraction(str(Decimal(repr(v)).quantize(Decimal("0.000001")))) for v in values]
+    for i, (std, squares) in enumerate(routes[0]):
+        assert squares == float(sum(v * v for v in exact[:i + 1]))
+        if i > 1:
+            mean = sum(exact[:i]) / i
+            assert std == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in exact[:i]) / i), rel=1e-12)
