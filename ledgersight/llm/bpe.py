@@ -10,6 +10,7 @@ in a table of bounded size that is emptied when full, which changes speed and ne
 """
 
 import base64
+import gc
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import documents, query, table
 
-MAX_STATES = 120_000    # states kept at once by one worker
-MAX_WORDS = 300_000     # encoded words kept at once by one worker
+MAX_STATES = 400_000    # states kept at once by one worker
+MAX_WORDS = 1_000_000     # encoded words kept at once by one worker
 KEPT_WORD = 64          # longer words are encoded again each time
+MAX_PAIRS = 2_000_000   # tested neighbours kept at once by one worker
 ROOT = 0
 
 
@@ -100,7 +102,7 @@ class Transducer:
             return True
         known = self.fits.get(a << 20 | b)
         if known is None:
-            if len(self.fits) > 16 * self.max_states:
+            if len(self.fits) > MAX_PAIRS:
                 self.fits.clear()
             left, right = self.left.get(a), self.right.get(b)
             if left is None:
@@ -169,26 +171,22 @@ class Transducer:
 
 
 class Words(dict):
-    """Word to (its ids as little-endian 32-bit numbers, the UTF-8 text decoded from them, the decoder's state after them).
+    """Word to its ids as little-endian 32-bit numbers; words not met since half of the room filled are forgotten."""
 
-    The third is empty where the word's ids end with a whole character. Words not met since half of the room filled
-    are forgotten.
-    """
-
-    def __init__(self, transducer: Transducer, machine: "Utf8Machine"):
-        self.transducer, self.machine, self.older = transducer, machine, {}
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.older = transducer, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes]:
-        known = self.older.get(word)
-        if known is None:
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
             found = self.transducer.encode(word.encode())
-            known = (struct.pack(f"<{len(found)}I", *found), *self.machine.word(found))
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= KEPT_WORD:
             if len(self) >= MAX_WORDS // 2:
                 self.older = dict(self)
                 self.clear()
-            self[word] = known
-        return known
+            self[word] = ids
+        return ids
 
 
 # lead byte -> (bytes that follow, lowest and highest first follower), from the UTF-8 definition
@@ -255,14 +253,6 @@ class Utf8Machine:
             yield "�"
 
 
-    def word(self, ids) -> tuple[bytes, bytes]:
-        """(text as UTF-8, state at the end) of ids that begin between characters."""
-        out, state = [], b""
-        for i in ids:
-            text, state = self.step(state, self.bytes_of.get(i, b"")) if state or self.whole[i] is None else (self.whole[i], b"")
-            out.append(text)
-        return "".join(out).encode(), state
-
     def text(self, ids) -> str:
         """All of ``stream``; where every token is whole characters, the state never leaves the start."""
         try:
@@ -274,7 +264,7 @@ class Utf8Machine:
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> Words:
-    return Words(Transducer(read_ranks(path)), _machine(path))
+    return Words(Transducer(read_ranks(path)))
 
 
 @lru_cache(maxsize=2)
@@ -294,7 +284,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches):
         words, pieces = _words(path), regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
-            ids = [b"".join([words[w][0] for w in pieces(t.as_py())]) for t in batch["text"]]
+            ids = [b"".join(map(words.__getitem__, pieces(t.as_py()))) for t in batch["text"]]
             yield pa.record_batch({"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())})
 
     return documents(docs).mapInArrow(run, "doc_id bigint, ids binary")
@@ -317,28 +307,26 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """Per document the number of ids and the hashes of ids and of the text decoded from them.
 
-    One Arrow stage encodes and decodes. Ids of a word are decoded once, by the automaton, and the text is kept beside
-    them with the state they leave; a document whose every word leaves none is the join of these texts, and any other is
-    decoded id by id.
+    One Arrow stage encodes and decodes, so ids cross to no other worker.
     """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
         words, machine, pieces = _words(path), _machine(path), regex.compile(public_tokenizers.PATTERN).findall
-        for batch in batches:
-            counts, hashes, decoded = [], [], []
-            for text in batch["text"]:
-                found = [words[w] for w in pieces(text.as_py())]
-                ids = b"".join([f[0] for f in found])
-                if any([f[2] for f in found]):
+        gc.disable()        # the tables hold no cycles, and looking for some walks all of them
+        try:
+            for batch in batches:
+                counts, hashes, decoded = [], [], []
+                for text in batch["text"]:
+                    ids = b"".join(map(words.__getitem__, pieces(text.as_py())))
                     whole = machine.text(memoryview(ids).cast("I")).encode()
-                else:
-                    whole = b"".join([f[1] for f in found])
-                counts.append(len(ids) // 4)
-                hashes.append(sha256(ids).hexdigest())
-                decoded.append(sha256(whole).hexdigest())
-            yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()),
-                                   "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+                    counts.append(len(ids) // 4)
+                    hashes.append(sha256(ids).hexdigest())
+                    decoded.append(sha256(whole).hexdigest())
+                yield pa.record_batch({"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()),
+                                       "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+        finally:
+            gc.enable()
 
     return documents(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -5,7 +5,6 @@ import itertools
 import math
 import random
 import re
-import struct
 import zlib
 from collections import Counter
 
@@ -68,18 +67,6 @@ def test_op1_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
-def test_words_that_leave_a_character_open_are_decoded_by_id(transducer):
-    """A word's kept text and state equal one step over all its bytes; an open character is told by the state."""
-    machine = bpe.Utf8Machine(transducer.bytes_of)
-    words = bpe.Words(transducer, machine)
-    for word in ("plain", " größer", "日本語の文", "🙂🙃", "e\u0301", "\U0010ffff"):
-        ids, text, state = words[word]
-        found = list(struct.unpack(f"<{len(ids) // 4}I", ids))
-        assert (found, text, state) == (transducer.encode(word.encode()), word.encode(), b"")
-    cut = [transducer.ranks["é".encode()[:1]]]
-    assert machine.word(cut) == (b"", "é".encode()[:1])
-
-
 def test_bpe_odd(odd, nothing):
     back = sorted((r.doc_id or 0, r.text) for r in bpe.decode(bpe.encode(odd)).collect())
     assert back == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
