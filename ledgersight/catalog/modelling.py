@@ -146,6 +146,24 @@ def _(t):
     return t.scores().select("event_id", evaluate.fixed_blend("p1", "p2").alias("blend"))
 
 
+@query("ml_15_holdout_report", with_ev(
+    "SELECT kind AS score, ap, n_pos, n_rows FROM (" + ap_sql("stacked", "value", "kind") + ")", LAB, SCO, GRID, f"""
+best AS (SELECT w_main, w_recent, w_product FROM ({ap_sql("bl", "score", "w_main, w_recent, w_product")})
+  ORDER BY ap DESC, w_main, w_recent LIMIT 1),
+aligned AS (SELECT AVG(p2) AS mean FROM sco WHERE ts >= TIMESTAMP '{RECENT_BORDER}'),
+stacked AS (
+  SELECT 'main' AS kind, p1 AS value, label FROM sco UNION ALL SELECT 'recent', p2, label FROM sco
+  UNION ALL SELECT 'product', p3, label FROM sco UNION ALL SELECT 'fixed', 0.7::DOUBLE * p1 + 0.3::DOUBLE * p2, label FROM sco
+  UNION ALL SELECT 'best', w_main * p1 + w_recent * p2 + w_product * p3, label FROM sco, best
+  UNION ALL SELECT 'recent_aligned', CASE WHEN ts >= TIMESTAMP '{RECENT_BORDER}' THEN p2 ELSE mean END, label FROM sco, aligned)"""))
+def _(t):
+    """Every score of the holdout and its blends in one table; the aligned score knows the recent events only."""
+    best = evaluate.best_blend(blend_search(t)).first()
+    held = t.scores().withColumn("in_recent", F.col("event_ts") >= F.lit(RECENT_BORDER).cast("timestamp"))
+    out = evaluate.holdout_report(held, {n: best[f"w_{n}"] for n in ("main", "recent", "product")}, "in_recent", "p1", "p2", "p3")
+    return out.withColumn("ap", F.round("ap", 9))
+
+
 @query("ml_8_seed_mean", with_ev("SELECT event_id, (p1 + p2 + p3) / 3 AS predict FROM sco", LAB, SCO))
 def _(t):
     return t.scores().select("event_id", row_mean(["p1", "p2", "p3"]).alias("predict"))

@@ -131,9 +131,10 @@ def full_run(spark: SparkSession, data: str, out: str, config: full.FullConfig |
     table = sinks.reuse_or_write(
         spark, f"{out}/features",
         lambda: full.with_priors(full.feature_table(log, config, hot=hot), log, config), force)
-    scores, searched, fitted = full.run(table, config)
+    scores, searched, fitted, report = full.run(table, config)
     sinks.save_model(fitted, f"{out}/model")
     sinks.write_predictions(searched, f"{out}/blend_search")
+    sinks.write_predictions(report, f"{out}/holdout_report")
     template = readers.read_template(spark, f"{data}/sample_submit.csv")
     sinks.write_predictions(full.submit(scores, template), f"{out}/predictions")
     return readers.read_predictions(spark, f"{out}/predictions")

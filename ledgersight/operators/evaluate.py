@@ -189,3 +189,22 @@ def best_blend(searched: DataFrame) -> DataFrame:
 
 def fixed_blend(main: str = "main", recent: str = "recent"):
     return weighted_sum({main: fv.FIXED_BLEND["main"], recent: fv.FIXED_BLEND["recent"]})
+
+
+def holdout_report(df: DataFrame, weights: dict, subset: str | None = None, main: str = "main", recent: str = "recent",
+                   product: str = "product", label: str = "label", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Average precision of each score of the holdout and of its blends: score, ap, n_pos, n_rows.
+
+    Scores are main, recent, product, fixed (the fixed blend) and best (``weights`` of main, recent and product). With
+    ``subset``, a boolean column, also recent_aligned: the recent score where it holds, its mean there elsewhere.
+    All curves come from one pass; rows grow by the number of scores.
+    """
+    scores = {"main": F.col(main), "recent": F.col(recent), "product": F.col(product), "fixed": fixed_blend(main, recent),
+              "best": weighted_sum({c: weights[name] for name, c in (("main", main), ("recent", recent), ("product", product))})}
+    if subset:
+        mean = df.where(subset).agg(F.avg(recent)).first()[0]
+        scores["recent_aligned"] = F.when(F.col(subset), F.col(recent)).otherwise(F.lit(mean))
+    stacked = df.select(F.col(label).alias("label"), F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), value.cast("double").alias("value")) for name, value in scores.items()])).alias("s"))
+    return average_precision(stacked.select("s.*", "label"), "value", "label", by=["name"], rows_per_group=df.count(),
+                             range_rows=range_rows).withColumnRenamed("name", "score")

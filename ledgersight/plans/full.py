@@ -90,24 +90,26 @@ def model_frames(table: DataFrame, config: FullConfig = FullConfig()):
 
 
 def run(table: DataFrame, config: FullConfig = FullConfig()):
-    """(scores of the test rows, searched blend weights, bundle).
+    """(scores of the test rows, searched blend weights, bundle, holdout report).
 
     Models are fitted on the rows before the holdout, blended where the holdout's average
     precision is best, refitted on all rows, and blended with the same weights.
     """
     frames, encoder = model_frames(table, config)
     fitted = {name: boosting.fit_holdout(rows, config.learner) for name, rows in frames.items()}
-    held = frames["main"].where("is_val").select("event_id", "label", "features")
-    searched = materialise(evaluate.blend_search(
-        materialise(heads(held, {n: m for n, (m, _) in fitted.items()}))))
+    held = frames["main"].where("is_val").select(
+        "event_id", "label", "features", splits.recent_subset(config.recent_border).alias("in_recent"))
+    held = materialise(heads(held, {n: m for n, (m, _) in fitted.items()}))
+    searched = materialise(evaluate.blend_search(held))
     best = evaluate.best_blend(searched).first()
     models = {n: m for n, (m, _) in fitted.items()}
     if config.refit:
         models = {n: boosting.refit(frames[n], config.learner, best_iterations, config.refit_least)
                   for n, (_, best_iterations) in fitted.items()}
     weights = {"main": best["w_main"], "recent": best["w_recent"], "product": best["w_product"]}
+    report = evaluate.holdout_report(held, weights, "in_recent")
     fitted = bundle(encoder, EnsembleModel("blend", models, weights))
-    return fitted.transform(table.where("is_test")).select("event_id", "predict"), searched, fitted
+    return fitted.transform(table.where("is_test")).select("event_id", "predict"), searched, fitted, report
 
 
 def submit(scores: DataFrame, template: DataFrame) -> DataFrame:

@@ -141,6 +141,22 @@ def test_score_ranges_of_narrow_groups_hold_few_rows(spark):
         assert got[g] == (pytest.approx(brute.average_precision(pairs)), len(pairs))
 
 
+def test_holdout_report_names_every_score(spark):
+    r = random.Random(4)
+    data = [(r.random(), r.random(), r.random(), int(r.random() < 0.3), r.random() < 0.5) for _ in range(70)]
+    df = spark.createDataFrame(data, "main double, recent double, product double, label int, seen boolean")
+    mean = statistics.fmean(b for _, b, _, _, seen in data if seen)
+    weights = {"main": 0.5, "recent": 0.2, "product": 0.3}
+    want = {"main": lambda a, b, c, s: a, "recent": lambda a, b, c, s: b, "product": lambda a, b, c, s: c,
+            "fixed": lambda a, b, c, s: 0.7 * a + 0.3 * b, "best": lambda a, b, c, s: 0.5 * a + 0.2 * b + 0.3 * c,
+            "recent_aligned": lambda a, b, c, s: b if s else mean}
+    for range_rows in (10, 10**6):
+        found = evaluate.holdout_report(df, weights, "seen", range_rows=range_rows).collect()
+        assert {x["score"]: x["ap"] for x in found} == {
+            name: pytest.approx(brute.average_precision([(f(a, b, c, s), y) for a, b, c, y, s in data])) for name, f in want.items()}
+    assert {x["score"] for x in evaluate.holdout_report(df, weights).collect()} == set(want) - {"recent_aligned"}
+
+
 def test_blend_grid_and_best(spark):
     r = random.Random(1)
     data = [(r.random(), r.random(), r.random(), int(r.random() < 0.4)) for _ in range(50)]
