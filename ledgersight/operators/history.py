@@ -40,6 +40,10 @@ class HistoryColumns:
         return {"customer": None, "type": self.type, "desc": self.desc, "mcc": self.mcc,
                 "subtype": self.subtype, "session": self.session, "date": self.date}
 
+    def inputs(self):
+        """Every column the history block reads."""
+        return [CUSTOMER, TIME, "event_id", self.amt, *[c for c in self.groups().values() if c]]
+
 
 def history_features(df: DataFrame, columns: HistoryColumns = HistoryColumns(),
                      first_gap: int = fv.FIRST_GAP_FLAG,

@@ -11,7 +11,7 @@ from ..functions.hashing import bucket
 from ..models import boosting
 from ..models.bundle import EnsembleModel, bundle, heads
 from ..models.encode import Encoder
-from ..operators import evaluate, impute, normalise, periods, predictions, priors, sampling, splits
+from ..operators import evaluate, impute, late, normalise, periods, predictions, priors, sampling, splits
 from ..operators.history import HistoryColumns, history_features
 from ..operators.lineage import materialise
 from ..operators.skew import DEFAULT_POLICY, SkewPolicy
@@ -50,8 +50,10 @@ def feature_table(log: DataFrame, config: FullConfig = FullConfig(),
     """
     log = sampling.mark_samples(log, config.sample_border, hasher=config.hasher)
     log = log.withColumn("event_date", F.to_date("event_ts"))
-    rows = history_features(log, columns, policy=config.policy, hot=hot)
-    rows = rows.where(F.col("is_train_sample") | F.col("is_test"))
+    kept = F.col("is_train_sample") | F.col("is_test")
+    # the sample is known before the windows: rows outside it pass them without their wide columns
+    narrow = late.fold(log, [*columns.inputs(), "is_train_sample", "is_test"], kept)
+    rows = late.unfold(history_features(narrow, columns, policy=config.policy, hot=hot).where(kept))
     # features of the single event are computed last, for the rows that are kept
     rows = normalise.add_event_features(rows).withColumn("target_bin", label_rules.red_vs_rest())
     wanted = fv.META_COLUMNS + fv.CATEGORICAL_FEATURES + fv.EVENT_FEATURES + fv.HISTORY_FEATURES

@@ -1,11 +1,13 @@
 """The physical plans the jobs rely on."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgersight.catalog import QUERIES
 from ledgersight.catalog.registry import Tables
-from ledgersight.operators import periods, priors
+from ledgersight.operators import late, periods, priors
 from ledgersight.operators.history import HistoryColumns, history_features
 from ledgersight.plans.velocity import velocity
 from tests.conftest import BASE
@@ -59,3 +61,25 @@ def test_entry_has_a_stable_schema(spark):
     df = e.entry(spark)
     assert df.columns[0] == "event_id" and df.count() == 1000
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_full_job_shuffles_wide_columns_only_of_kept_rows(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        text = plan(QUERIES["job_full_feature_table"](spark, BASE))
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # the projection below the shuffle of the windows
+    below = next(b for a, b in itertools.pairwise(text.split("\n")) if "REPARTITION_BY_COL" in a)
+    plain, folded = below.split("CASE WHEN (is_train_sample", 1)
+    for name in ("currency_iso_cd", "battery_pct", "screen_w", "timezone"):
+        assert f"{name}#" in folded and f"{name}#" not in plain
+
+
+def test_folded_columns_return_for_kept_rows(spark):
+    rows = spark.createDataFrame([(1, 5, "a", None), (1, 5, "b", 2.0), (None, 6, None, 3.0)], "id bigint, at int, x string, y double")
+    narrow = late.fold(rows, ["id", "at", "absent"], F.col("at") < 6)
+    assert narrow.columns == ["id", "at", late.FOLDED]
+    got = sorted(map(tuple, late.unfold(narrow).collect()), key=str)
+    assert got == [(1, 5, "a", None), (1, 5, "b", 2.0), (None, 6, None, None)]
+    assert late.unfold(late.fold(rows, rows.columns, F.lit(True))).columns == rows.columns
