@@ -1,11 +1,11 @@
 """Personal data: fixed patterns, and identifiers found through their context.
 
 The base finds e-mail and IP addresses, card and phone numbers by pattern and check. Base entities are the
-seeds of a bootstrap: signs (tokens with a digit or @) and their lexical patterns (the word before or after,
-with the token's shape) make a graph. In each round a pattern's confidence is the share of its distinct
+seeds of a bootstrap: signs (tokens with a digit or @, numbers in several groups as one) and their lexical patterns (the
+word before or after with the sign's shape; for addresses and numbers of 7 digits the word alone) make a graph. In each round a pattern's confidence is the share of its distinct
 values that are known, over one more than their number; values that confident patterns vouch for become
-known, and raise other patterns in the next round. Tokens that a confident pattern surrounds and that overlap no base span are added as
-spans of the kind most of the pattern's seeds have.
+known, and raise other patterns in the next round. Signs beside a confident pattern that overlap no base span and look like the
+kind most of the pattern's seeds have (``OUTLINES``) are added as spans of that kind, whole; parts of numbers never are.
 
 Everything is DataFrame functions. Patterns are possessive and start only where a match may start, so a search
 is linear in the text and no repetition recurses.
@@ -27,23 +27,70 @@ FORMS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-SIGN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT = 40            # characters in which the neighbouring word is looked for
+# numbers with the separators of cards and phones between them, not touching letters; otherwise one token with a digit or @
+SIGN = (r"(?<!\S)(?:[+(]{0,2}+[0-9]++(?:[\x20().-]{1,3}+[0-9]++(?=[^\p{L}\p{N}\s]*+(?:\s|\z)|[\x20().-]{1,3}+[0-9]))*+(?=[^\p{L}\p{N}\s]*+(?:\s|\z))"
+        r"|[^\s0-9@]*+[0-9@]\S*+)")
+LONG = 7                # digits from which a number is taken for an identifier by its context alone
+# what a value must look like to be added as a kind
+OUTLINES = {
+    "email": r"^[^@\s]++@[^@\s.]++(?:\.[^@\s.]++)++$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}+$",
+    "card": r"^(?:[0-9][\x20-]?+){12,19}+$",
+    "phone": r"^[+(]{0,2}+(?:[0-9][\x20().-]{0,3}+){7,15}+$",
+}
+CELL = 64               # characters of a cell in which tokens and base spans meet
+BLOCK = 256             # entries of an array that are folded together
+CHUNK = 4096            # characters of the chunks a text is cut out of
 ROUNDS = 3
 CONFIDENT = 0.8         # share of known values a pattern needs
 SUPPORT = 3             # distinct known values a pattern needs
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def _bound(names: dict, body) -> Column:
+    """``body`` of a struct of the named columns, each evaluated once."""
+    given = F.array(F.struct(*[c.alias(n) for n, c in names.items()]))
+    return F.get(F.transform(given, body), F.lit(0))
+
+
+def before_each(values: Column, fold) -> Column:
+    """For each entry of an array of integers the fold, from 0, of all entries before it; one more for all of them.
+
+    Entries are folded in blocks, so an entry costs a block, not the array.
+    """
+    zero, n = F.lit(0), F.size(values)
+    blocks = _bound({"v": values}, lambda a: F.transform(
+        F.sequence(zero, F.floor(F.size(a["v"]) / BLOCK).cast("int")), lambda b: F.slice(a["v"], b * BLOCK + 1, F.lit(BLOCK))))
+    totals = _bound({"blocks": blocks, "n": n}, lambda a: F.struct(
+        a["blocks"].alias("blocks"), a["n"].alias("n"), F.transform(a["blocks"], lambda x: F.aggregate(x, zero, fold)).alias("totals")))
+    heads = F.transform(F.array(totals), lambda a: F.struct(a["blocks"].alias("blocks"), a["n"].alias("n"), F.transform(
+        a["totals"], lambda _, b: F.aggregate(F.slice(a["totals"], F.lit(1), b), zero, fold)).alias("heads")))
+
+    def at(a, i):
+        block = F.floor(i / BLOCK).cast("int")
+        return F.aggregate(F.slice(F.get(a["blocks"], block), F.lit(1), i % BLOCK), F.get(a["heads"], block), fold)
+
+    return F.get(F.transform(heads, lambda a: F.transform(F.sequence(zero, a["n"]), lambda i: at(a, i))), zero)
+
+
 def matches(text: Column, form: str) -> Column:
     """Array of (start, value) of the leftmost non-overlapping matches, in code points."""
-    both = F.arrays_zip(F.transform(F.split(text, form, -1), F.length).alias("gap"),
-                        F.regexp_extract_all(text, F.lit(form), F.lit(0)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    return F.aggregate(both, start, lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-        F.when(x["value"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
-            (a["at"] + x["gap"]).alias("start"), x["value"].alias("value"))))).alias("out")), lambda a: a["out"])
+    def placed(a):
+        # a gap before each match, and one at the end
+        lengths = F.transform(a["gap"], lambda g, i: F.length(g) + F.coalesce(F.length(F.get(a["value"], i - 1)), F.lit(0)))
+        # the end of gap i is the start of match i
+        return F.struct(a["value"].alias("value"), before_each(lengths, lambda x, y: x + y).alias("at"))
+
+    found = _bound({"gap": F.split(text, form, -1), "value": F.regexp_extract_all(text, F.lit(form), F.lit(0))}, placed)
+    return F.get(F.transform(F.array(found), lambda a: F.transform(a["value"], lambda v, i: F.struct(
+        F.get(a["at"], i + 1).alias("start"), v.alias("value")))), F.lit(0))
+
+
+def in_context(text: Column, form: str) -> Column:
+    """Array of (start, value, left, right, last, next): matches, the text on both sides up to the next match, and that match."""
+    return _bound({"at": matches(text, form), "gap": F.split(text, form, -1)}, lambda a: F.transform(a["at"], lambda x, i: F.struct(
+        x["start"].alias("start"), x["value"].alias("value"), F.get(a["gap"], i).alias("left"), F.get(a["gap"], i + 1).alias("right"),
+        F.get(a["at"], i - 1)["value"].alias("last"), F.get(a["at"], i + 1)["value"].alias("next"))))
 
 
 def luhn(digits: Column) -> Column:
@@ -83,28 +130,45 @@ def base_spans(text: Column) -> Column:
 
 
 def signs(rows: DataFrame) -> DataFrame:
-    """d, h, start, end, value, shape, kind (of the base span it overlaps, or null), before, after."""
-    word = lambda c, form: ascii_lower(F.regexp_extract(c, form, 1))
+    """d, h, start, end, value, shape, kind (of the base span it overlaps, or null), before, after; equal rows count once."""
     found = rows.where(F.regexp_like("text", F.lit("[0-9@]"))).select(
-        "d", "h", "text", "spans", F.explode(matches(F.col("text"), SIGN)).alias("m")).select("d", "h", "text", "spans", "m.start", "m.value")
+        "d", "h", F.explode(in_context(F.col("text"), SIGN)).alias("m")).select("d", "h", "m.*")
     # signs of punctuation around the token are not part of it
-    lead = F.length(F.regexp_extract("value", r"^([^\p{L}\p{N}+]*+)", 1))
-    core = F.regexp_replace("value", r"^[^\p{L}\p{N}+]++|(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-    found = found.withColumns({"start": F.col("start") + lead, "raw_end": F.col("start") + F.length("value"), "value": core})
-    found = found.withColumn("end", F.col("start") + F.length("value")).where("end > start")
-    hit = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    left = F.substring("text", F.greatest(F.col("start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("start"), F.lit(CONTEXT)))
-    right = F.substring("text", F.col("raw_end") + 1, F.lit(CONTEXT))
+    edge = r"^((?:[^\p{L}\p{N}+(]|[+(](?![+(]?[0-9]))*+)"
+    core = F.regexp_replace(F.regexp_replace("value", edge, ""), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    found = found.withColumns({"start": F.col("start") + F.length(F.regexp_extract("value", edge, 1)), "value": core})
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"\p{N}++", "9"), r"\p{L}++", "a"), r"(?:a9|9a)(?:[a9])*+", "x")
-    return found.select("d", "h", "start", "end", "value", shape.alias("shape"), F.get(hit, F.lit(0))["kind"].alias("kind"),
-                        word(left, r"(\S+)\s+\S*$").alias("before"), word(right, r"^\s+(\S+)").alias("after"))
+    # the neighbouring word, or the neighbouring sign where only blanks lie between
+    before = F.when(F.regexp_like("left", F.lit(r"\S")), F.regexp_extract("left", r"(?<!\S)(\S++)\s*+$", 1)).otherwise(F.col("last"))
+    after = F.when(F.regexp_like("right", F.lit(r"\s\S")), F.regexp_extract("right", r"\s(\S++)", 1)).otherwise(F.col("next"))
+    found = found.select("d", "h", "start", (F.col("start") + F.length("value")).alias("end"), "value", shape.alias("shape"),
+                         ascii_lower(F.coalesce(before, F.lit(""))).alias("before"), ascii_lower(F.coalesce(after, F.lit(""))).alias("after"))
+    found = materialise(found.where("end > start").dropDuplicates(["d", "h", "start"]))
+
+    def cells(df):
+        return df.withColumn("cell", F.explode(F.sequence(F.expr(f"start div {CELL}"), F.expr(f"(end - 1) div {CELL}"))))
+
+    base = cells(rows.select("d", "h", F.explode("spans").alias("s")).select("d", "h", "s.*").distinct()).withColumnsRenamed(
+        {"start": "from", "end": "to"})
+    hit = cells(found.select("d", "h", "start", "end")).join(base, ["d", "h", "cell"]).where("from < end and to > start").groupBy(
+        "d", "h", "start").agg(F.min(F.struct("from", "rank", "kind"))["kind"].alias("kind"))
+    return found.join(hit, ["d", "h", "start"], "left")
+
+
+def patterns_of(before: Column, after: Column, shape: Column, value: Column) -> Column:
+    """Patterns of a sign: a neighbouring word with the token's shape, and for addresses and long numbers the word alone."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    number = F.regexp_like(value, F.lit(r"^[+(0-9][0-9\x20().-]*+$")) & (digits >= LONG)
+    sort = F.when(F.contains(value, F.lit("@")), "@").when(number, "#")
+    made = [F.when(word != "", F.concat_ws(" ", F.lit(side), word, F.concat(F.lit("="), shape))) for side, word in (("<", before), (">", after))]
+    made += [F.when((word != "") & sort.isNotNull(), F.concat_ws(" ", F.lit(side), word, sort)) for side, word in (("<", before), (">", after))]
+    return F.array_compact(F.array(*made))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
     """d, h, start, end, kind of the tokens in ``found`` (stored) that confident patterns add."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("word")) for s, c in (("<", "before"), (">", "after"))])
-    at = found.select("d", "h", "start", "end", "value", "shape", "kind", F.explode(sides).alias("p")).where("p.word <> ''").select(
-        "d", "h", "start", "end", "value", "kind", F.concat_ws(" ", "p.side", "p.word", "shape").alias("pattern"))
+    at = found.select("d", "h", "start", "end", "value", "kind", F.explode(
+        patterns_of(F.col("before"), F.col("after"), F.col("shape"), F.col("value"))).alias("pattern"))
     # one edge for each pattern and value, however often they meet
     edges = materialise(at.groupBy("pattern", "value").agg(F.max("kind").alias("kind")))
     values = edges.groupBy("value").agg(F.max("kind").alias("kind"), F.lit(0.0).alias("score"))
@@ -123,7 +187,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDE
             F.max(F.struct("confidence", "kind")).alias("best"))
         values = materialise(values.join(reached, "value", "left").select(
             "value", F.coalesce("kind", "best.kind").alias("kind"), F.greatest("score", F.coalesce("best.confidence", F.lit(0.0))).alias("score")))
-    new = at.where("kind is null").drop("kind").join(good, "pattern")
+    looks = reduce(lambda c, k: c | ((F.col("kind") == k) & F.regexp_like("value", F.lit(OUTLINES[k]))), KINDS, F.lit(False))
+    new = at.where("kind is null").drop("kind").join(good, "pattern").where(looks)
     return new.groupBy("d", "h", "start", "end").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
 
 
@@ -149,12 +214,21 @@ def find(docs: DataFrame, carry=(), rounds: int = ROUNDS) -> DataFrame:
 
 def redact(text: Column, spans: Column) -> Column:
     """Text with each span replaced by its kind in brackets; of overlapping spans the first names the stretch."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(spans, start, lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
-        s["end"].alias("at"), F.concat(a["out"], F.when(s["start"] < a["at"], F.array().cast("array<string>")).otherwise(F.array(
-            F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("["), s["kind"], F.lit("]"))))).alias("out"))))
-    cut = F.transform(F.array(done), lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.get(cut, F.lit(0)))
+    def cut(chunks, a, b):
+        """Code points a to b, read from the chunks that hold them."""
+        first = F.floor(a / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, F.greatest(F.floor((b - 1) / CHUNK).cast("int") - first + 1, F.lit(0))), "")
+        return F.when(b > a, F.substring(held, a - first * CHUNK + 1, b - a)).otherwise("")
+
+    def masked(g):
+        parts = F.transform(g["spans"], lambda s, i: F.when(s["end"] > F.get(g["at"], i), F.when(s["start"] < F.get(g["at"], i), F.lit("")).otherwise(
+            F.concat(cut(g["chunks"], F.get(g["at"], i), s["start"]), F.lit("["), s["kind"], F.lit("]")))))
+        return F.concat(F.array_join(parts, ""), cut(g["chunks"], F.get(g["at"], F.size(g["spans"])), g["length"]))
+
+    ends = before_each(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))      # where the masked part ends so far
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+    whole = _bound({"chunks": chunks, "spans": spans, "at": ends, "length": F.length(text)}, masked)
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def joined(spans: Column) -> Column:
