@@ -1,13 +1,17 @@
 """Sources, sinks, set operations, sorts and limits."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..models.stacking import stack_holdout
 from ..functions.calendar import DAY_US
 from ..operators import compare, normalise, periods
 from ..operators.history import HistoryColumns, history_features
+from ..operators.lineage import ensure_checkpoint_dir
 from ..operators.predictions import merge_predictions
 from ..sources import readers, sinks
+from ..sources.schemas import SchemaRegistry
 from .registry import LAB, PER, SCO, query, with_ev
 
 EVENT_ROWS = "SELECT event_id, user_id AS customer_id, value AS amt FROM events"
@@ -43,6 +47,19 @@ def _(t):
     return df.select("doc_id", "quality", "n_chars")
 
 
+@query("src_4_schema_registry", """
+SELECT doc_id, CAST(quality AS BIGINT) AS quality, CAST(NULL AS BIGINT) AS n_chars, CAST(NULL AS VARCHAR) AS url FROM labels
+UNION ALL SELECT doc_id, NULL, n_chars, NULL FROM documents
+UNION ALL SELECT NULL, NULL, NULL, url FROM pages""")
+def _(t):
+    """Three drifting inputs; the second read opens no footer."""
+    registry = SchemaRegistry(t.spark, f"{ensure_checkpoint_dir(t.spark)}/stored-{uuid4().hex}")
+    paths = [t.path("labels"), t.path("documents"), t.path("pages")]
+    registry.schema(paths[:1])
+    registry.schema(paths)
+    return registry.read(paths).select("doc_id", "quality", "n_chars", "url")
+
+
 @query("src_5_conditional_column", with_ev("""
 SELECT event_id, session_id, CAST(-1 AS BIGINT) AS device_id FROM ev"""))
 def _(t):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators.splits import row_at, up_to
+from .schemas import SchemaRegistry
 
 PREDICTION_SCHEMA = "event_id bigint, predict double"
 
@@ -45,24 +46,27 @@ def existing(spark: SparkSession, paths, required: bool = True) -> list[str]:
 
 
 def read_events(spark: SparkSession, paths, first_files: int | None = None,
-                tolerant: bool = False) -> DataFrame | None:
+                tolerant: bool = False, registry: str | None = None) -> DataFrame | None:
     """Parquet event log; None when there are no paths.
 
-    ``tolerant`` merges differing file schemas, filling absent columns with null;
+    ``tolerant`` merges differing file schemas, filling absent columns with null. It opens every footer, unless
+    ``registry`` names a folder that keeps the schemas of files already seen (see ``SchemaRegistry``).
     ``first_files`` reads only the first files, for development runs.
     """
     if not paths:
         return None
+    if tolerant and registry:
+        return SchemaRegistry(spark, registry).read(paths[:first_files])
     reader = spark.read.option("mergeSchema", str(tolerant).lower())
     return reader.parquet(*paths[:first_files])
 
 
 def read_period_files(spark: SparkSession, base: str, first_files: int | None = None,
-                      tolerant: bool = True) -> dict:
+                      tolerant: bool = True, registry: str | None = None) -> dict:
     """Period name -> raw event log, for the standard file layout under ``base``.
 
     Columns that only some files of a period have are kept, null elsewhere, which opens every
-    footer; without ``tolerant`` the columns are those of one file.
+    footer, or with a ``registry`` folder those of new files; without ``tolerant`` the columns are those of one file.
     """
     layout = {
         "pretrain": (f"{base}/*pre*train*.parquet", None),
@@ -72,7 +76,8 @@ def read_period_files(spark: SparkSession, base: str, first_files: int | None =
     }
     frames = {}
     for period, (pattern, exclude) in layout.items():
-        events = read_events(spark, find_paths(spark, pattern, exclude), first_files, tolerant)
+        events = read_events(spark, find_paths(spark, pattern, exclude), first_files, tolerant,
+                             registry and f"{registry}/{period}")
         if events is not None:
             frames[period] = canonical_names(events)
     return frames
