@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near dedup", drop_near_copies),
           ("personal data", mask_personal_data), ("packing", pack)]
 
-# scores, signatures and token ids have no SQL; the stages are tested against brute force
+# scores, signatures and token ids have no SQL; run() is tested against plain stages, toxicity on planted documents
 ORACLE_SQL = None
 
 
