@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import query, table
-from .vector_dedup import _matrix, usable
+from .vector_dedup import usable
 
 EPSILON = 3.0           # standard deviations of the estimate's error that the bound covers
+ROUNDING = 1e-12        # of both lengths' product: what the estimate may lose in doubles
 QUERY_BITS = 8
 SHARD = 32_768          # vectors a task holds while queries pass
 PART = 1_024            # queries that pass one copy of a shard
@@ -31,6 +32,17 @@ def rotation(dimension: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng([41, dimension]).normal(size=(dimension, dimension)))[0]
 
 
+def _matrix(column) -> np.ndarray:
+    """Vectors as they are: an inner product depends on their lengths."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors over a power of two near their largest entry, its exponent), so that no length leaves the doubles."""
+    power = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    return np.ldexp(vectors, -power), power
+
+
 def _pack(bits: np.ndarray) -> np.ndarray:
     """Rows of bits as 64-bit words."""
     packed = np.packbits(bits, axis=1, bitorder="little")
@@ -43,8 +55,10 @@ class Codes:
 
     def __init__(self, vectors: np.ndarray):
         self.dim = d = vectors.shape[1]
-        self.length = np.linalg.norm(vectors, axis=1)
-        turned = vectors / self.length[:, None] @ rotation(d)
+        vectors, power = _scaled(vectors)
+        length = np.linalg.norm(vectors, axis=1)
+        turned = vectors / length[:, None] @ rotation(d)
+        self.length = np.ldexp(length, power[:, 0])
         self.words = _pack(turned > 0)
         self.ones = np.bitwise_count(self.words).sum(1, dtype=np.int64)
         self.match = np.abs(turned).sum(1) / np.sqrt(d)
@@ -68,12 +82,14 @@ class Codes:
         scale = self.length / self.match
         norm = np.linalg.norm(queries, axis=1, keepdims=True)
         rounding = step * np.sqrt(1 / 3) * scale[None, :]
-        return signed * scale[None, :], EPSILON * (norm * (self.length * self.error)[None, :] + rounding)
+        bound = EPSILON * (norm * (self.length * self.error)[None, :] + rounding)
+        return signed * scale[None, :], bound + ROUNDING * norm * self.length[None, :]
 
 
 def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: Codes, k: int):
     """(query number, vector number, exact score) of each query's k best, ties to the smaller id."""
-    guess, bound = codes.estimate(queries)
+    scaled, power = _scaled(queries)
+    guess, bound = codes.estimate(scaled)
     own = q_ids[:, None] == ids[None, :]
     guess[own] = -np.inf
     first = min(2 * k, len(ids))
@@ -82,7 +98,7 @@ def best(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids: np.nd
     exact[np.take_along_axis(own, tried, 1)] = -np.inf
     last = np.sort(exact, axis=1)[:, -min(k, first)]
     # -inf: fewer than k candidates were tried, so all are taken
-    chosen = guess + bound >= last[:, None]
+    chosen = ~(np.ldexp(guess + bound, power) < last[:, None])      # scores beyond the doubles are not dropped
     np.put_along_axis(chosen, tried, True, 1)
     q, v = np.nonzero(chosen & ~own)
     score = np.empty(len(q))

@@ -148,6 +148,31 @@ def test_search_recall_and_scores(spark):
     assert hits / total >= 0.95
 
 
+def test_search_of_vectors_of_all_lengths(spark):
+    draw = np.random.default_rng(5)
+    data = draw.normal(size=(900, 24)) * np.exp(draw.normal(size=(900, 1)) * 2)
+    data[::7] *= 1e-160                             # lengths whose squares leave the doubles
+    data[3::7] = data[3::7] + 5 * data[3]
+    data[:200:40] *= 1e150
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id bigint, embedding array<double>")
+    got = vector_search.nearest(df, df.where("vec_id % 20 = 0"), rows_per_shard=400).collect()
+    hits = total = 0
+    for q in range(0, 900, 20):
+        exact = [float(data[q] @ v) for v in data]
+        best = sorted((-s, i) for i, s in enumerate(exact) if i != q)[:20]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert all(abs(s - exact[i]) <= 1e-12 * np.linalg.norm(data[q]) * np.linalg.norm(data[i] / 1e9) * 1e9 for _, i, s in mine)
+        hits, total = hits + len({i for _, i, _ in mine} & {i for _, i in best}), total + 20
+    assert hits / total >= 0.99
+
+
+def test_search_equal_scores_of_one_dimension(spark):
+    df = spark.createDataFrame([(i, [0.1 * (1 + i % 3)]) for i in range(200)], "vec_id bigint, embedding array<double>")
+    got = vector_search.nearest(df, df.where("vec_id % 100 = 0"), k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(q, n + 1, 3 * n + 2) for q in (0, 100) for n in range(5)]
+
+
 def test_search_odd(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (None, [1.0, 1.0])],
                                  "vec_id bigint, embedding array<double>")
