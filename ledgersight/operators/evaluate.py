@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.probability import weighted_sum
 from .lineage import materialise
+from .packed_curves import wide_precision
 from .skew import null_safe_join
 
 RANGE_ROWS = 1_000_000
@@ -111,6 +112,11 @@ def blend_scores(df: DataFrame, main: str = "main", recent: str = "recent",
     return wide.select(m, r, blended.alias("score"), "label")
 
 
+def _triples(steps: int) -> list[tuple[int, int]]:
+    return [(m, r) for m in range(fv.BLEND_MAIN_STEPS[0], fv.BLEND_MAIN_STEPS[1] + 1)
+            for r in range(fv.BLEND_RECENT_STEPS[0], fv.BLEND_RECENT_STEPS[1] + 1) if m + r <= steps]
+
+
 def _weights(steps):
     m, r = F.col("main_step"), F.col("recent_step")
     return {"w_main": m / float(steps), "w_recent": r / float(steps),
@@ -123,23 +129,27 @@ def blend_search(df: DataFrame, range_rows: int = RANGE_ROWS, steps: int = fv.BL
 
     Precision changes only at the scores of positives. Up to ``most_positives`` of them (counted) are shared with
     the tasks, which count for all triples how many of their rows fall between two positives' scores; only
-    counts are shuffled. With more positives, the rows themselves are blended per triple and walked as curves.
+    counts are shuffled. With more positives, tasks send their sorted scores of every triple in compressed
+    blocks (see ``packed_curves``).
     """
     names = dict(main="main", recent="recent", product="product", label="label") | columns
+    df = materialise(df.select(*dict.fromkeys(names.values())))         # read several times
     positives = df.where(F.col(names["label"]) == 1).select(*[F.col(names[c]).cast("double").alias(c) for c in ("main", "recent", "product")])
     if positives.count() <= most_positives:
         found = _precision_of_blends(df, names, np.array(positives.collect(), dtype=float).reshape(-1, 3), steps)
     else:
-        found = average_precision(blend_scores(df, steps=steps, **columns), by=["main_step", "recent_step"],
-                                  rows_per_group=df.count(), range_rows=range_rows)
+        triples = _triples(steps)
+        curves = [[(m / float(steps), names["main"]), (r / float(steps), names["recent"]),
+                   ((steps - m - r) / float(steps), names["product"])] for m, r in triples]
+        m, r = (F.array(*[F.lit(t[i]) for t in triples])[F.col("curve")] for i in (0, 1))
+        found = wide_precision(df, curves, names["label"], range_rows).withColumns({"main_step": m, "recent_step": r})
     return found.select(*[c.alias(n) for n, c in _weights(steps).items()], "ap")
 
 
 def _precision_of_blends(df: DataFrame, names: dict, positives: np.ndarray, steps: int) -> DataFrame:
     """main_step, recent_step, ap, for positives that fit the driver."""
     spark = df.sparkSession
-    triples = [(m, r) for m in range(fv.BLEND_MAIN_STEPS[0], fv.BLEND_MAIN_STEPS[1] + 1)
-               for r in range(fv.BLEND_RECENT_STEPS[0], fv.BLEND_RECENT_STEPS[1] + 1) if m + r <= steps]
+    triples = _triples(steps)
     kind = "main_step int, recent_step int, ap double"
     if not len(positives):
         return spark.createDataFrame([(m, r, None) for m, r in triples], kind)
@@ -197,14 +207,22 @@ def holdout_report(df: DataFrame, weights: dict, subset: str | None = None, main
 
     Scores are main, recent, product, fixed (the fixed blend) and best (``weights`` of main, recent and product). With
     ``subset``, a boolean column, also recent_aligned: the recent score where it holds, its mean there elsewhere.
-    All curves come from one pass; rows grow by the number of scores.
+    All curves come from one pass. Up to ``range_rows`` rows grow by the number of scores; more are sent as
+    compressed blocks (see ``packed_curves``).
     """
+    df = materialise(df.select(*dict.fromkeys([main, recent, product, label, *([subset] if subset else [])])))
     scores = {"main": F.col(main), "recent": F.col(recent), "product": F.col(product), "fixed": fixed_blend(main, recent),
               "best": weighted_sum({c: weights[name] for name, c in (("main", main), ("recent", recent), ("product", product))})}
     if subset:
         mean = df.where(subset).agg(F.avg(recent)).first()[0]
         scores["recent_aligned"] = F.when(F.col(subset), F.col(recent)).otherwise(F.lit(mean))
+    rows = df.count()
+    if rows > range_rows:
+        names = F.array(*[F.lit(name) for name in scores])
+        wide = df.select(F.col(label).alias("_label"), *[value.alias(name) for name, value in scores.items()])
+        found = wide_precision(wide, [[(1.0, name)] for name in scores], "_label", range_rows)
+        return found.select(names[F.col("curve")].alias("score"), "ap", "n_pos", "n_rows")
     stacked = df.select(F.col(label).alias("label"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), value.cast("double").alias("value")) for name, value in scores.items()])).alias("s"))
-    return average_precision(stacked.select("s.*", "label"), "value", "label", by=["name"], rows_per_group=df.count(),
+    return average_precision(stacked.select("s.*", "label"), "value", "label", by=["name"], rows_per_group=rows,
                              range_rows=range_rows).withColumnRenamed("name", "score")

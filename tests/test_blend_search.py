@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from ledgersight.operators import compare, evaluate
+from ledgersight.operators import compare, evaluate, packed_curves
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,31 @@ def test_no_positives_and_no_rows(scored):
     assert evaluate.blend_search(df.limit(0)).where("ap IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("block, range_rows", [(40, 15), (10**6, 10**6)])
+def test_packed_curves_of_odd_scores(spark, monkeypatch, block, range_rows):
+    """Ties, nulls (lowest), NaN (highest), infinities, both zeros, null labels and several blocks and ranges."""
+    draw = np.random.default_rng(3)
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, 1e-310, -1e300]
+    rows = [(odd[draw.integers(0, 8)] if draw.random() < 0.4 else float(draw.normal()), float(draw.integers(0, 4)),
+             None if draw.random() < 0.1 else int(draw.random() < 0.3)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, label int").repartition(3)
+    monkeypatch.setattr(packed_curves, "BLOCK_ROWS", block)
+    got = {r.curve: r for r in packed_curves.wide_precision(df, [[(1.0, "a")], [(0.5, "a"), (0.25, "b")], [(1.0, "b")]], range_rows=range_rows).collect()}
+    long = [(i, None if None in used else sum(used), y) for a, b, y in rows
+            for i, used in enumerate([(a,), (None if a is None else 0.5 * a, 0.25 * b), (b,)])]
+    want = evaluate.average_precision(spark.createDataFrame(long, "curve int, score double, label int"), by=["curve"])
+    for r in want.collect():
+        assert (got[r.curve].n_pos, got[r.curve].n_rows) == (r.n_pos, r.n_rows)
+        assert got[r.curve].ap == pytest.approx(r.ap, abs=1e-12)
+    assert packed_curves.wide_precision(df.limit(0), [[(1.0, "a")]]).count() == 0
+
+
+def test_many_positives_are_not_multiplied(scored):
+    """Beyond the positives tasks can share, rows are still not repeated per triple."""
+    plan = evaluate.blend_search(scored[1], most_positives=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_rows_are_not_multiplied(scored):
     plan = evaluate.blend_search(scored[1])._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
