@@ -16,7 +16,7 @@ from .. import fixed_values as fv
 from ..functions.calendar import seconds_between
 from ..functions.casts import AMOUNT_SCALE, exact_amount, exact_square
 from .lineage import materialise
-from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot
+from .skew import DEFAULT_POLICY, SkewPolicy, hot_keys, split_hot, spread
 from .timeline import slice_rows
 
 CUSTOMER = "customer_id"
@@ -51,17 +51,19 @@ def history_features(df: DataFrame, columns: HistoryColumns = HistoryColumns(),
                      keep_running: bool = False, scale: int = AMOUNT_SCALE) -> DataFrame:
     """Add the history block. ``keep_running`` also keeps the running columns it is made of.
 
-    Amounts are summed exactly with ``scale`` digits (see ``exact_amount``).
+    Amounts are summed exactly with ``scale`` digits (see ``exact_amount``). Rows are counted, so that a task's share
+    does not grow with the log.
     """
     if isinstance(hot, str):
         hot = hot_keys(df, CUSTOMER, policy)
+    rows = df.count()
     if hot is None:
-        out = _windows(df.repartition(CUSTOMER), columns, [], scale)
+        out = _windows(spread(df, rows, CUSTOMER), columns, [], scale)
     else:
         ordinary, heavy = split_hot(df, hot, CUSTOMER)
         heavy = materialise(slice_rows(heavy, CUSTOMER, TIME, "event_id", policy))
         sliced = _windows(_with_openings(heavy, columns, scale), columns, ["_cell"], scale)
-        out = _windows(ordinary.repartition(CUSTOMER), columns, [], scale).unionByName(
+        out = _windows(spread(ordinary, rows, CUSTOMER), columns, [], scale).unionByName(
             sliced.where(F.col("_opens").isNull()).drop("_opens", "_cell",
                                                         *_carried(columns)))
     return _derive(out, columns, first_gap, df.columns, keep_running, scale)
@@ -74,6 +76,7 @@ def _carried(columns):
 def _with_openings(df, columns, scale):
     """Add, per slice and key group, a row with the totals of all earlier slices."""
     parts = df.withColumn("_opens", F.lit(None).cast("string"))
+    rows = df.count()
     last = F.max(F.struct(TIME, "event_id", columns.amt))
     for group, extra in columns.groups().items():
         keys = [CUSTOMER] + ([extra] if extra else [])

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .lineage import materialise
 
+TASK_ROWS = 200_000     # rows that a task sorts for every window of a block
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
@@ -55,6 +57,17 @@ def split_hot(df: DataFrame, hot: DataFrame, keys):
     return df.join(flag, condition, "left_anti"), df.join(flag, condition, "left_semi")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys``, with about TASK_ROWS of its ``rows`` in a partition.
+
+    Windows over several keys hold a sort for each, so what a task needs follows from its rows. Without a number of
+    partitions it would follow from the session's settings and grow with the table.
+    """
+    if rows <= TASK_ROWS:
+        return df.repartition(*keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def is_small(df: DataFrame, policy: SkewPolicy = DEFAULT_POLICY) -> bool:
     """Whether ``df`` has few enough rows to broadcast."""
     return df.count() <= policy.broadcast_rows

@@ -1,13 +1,14 @@
 """The physical plans the jobs rely on."""
 
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgersight.catalog import QUERIES
 from ledgersight.catalog.registry import Tables
-from ledgersight.operators import late, periods, priors
+from ledgersight.operators import late, periods, priors, skew
 from ledgersight.operators.history import HistoryColumns, history_features
 from ledgersight.plans.velocity import velocity
 from tests.conftest import BASE
@@ -17,6 +18,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def no_ids(text):
+    return re.sub(r"#\d+L?", "", text)
+
+
 def test_velocity_shuffles_once(tables):
     text = plan(velocity(tables.log(), amount="amt", hot=None))
     assert text.count("Exchange") == 1
@@ -83,3 +88,11 @@ def test_folded_columns_return_for_kept_rows(spark):
     got = sorted(map(tuple, late.unfold(narrow).collect()), key=str)
     assert got == [(1, 5, "a", None), (1, 5, "b", 2.0), (None, 6, None, None)]
     assert late.unfold(late.fold(rows, rows.columns, F.lit(True))).columns == rows.columns
+
+
+def test_history_tasks_do_not_grow_with_the_log(tables, monkeypatch):
+    """Partitions follow from the rows, on the plain route."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 25)
+    rows = tables.log().count()
+    columns = HistoryColumns(mcc="mcc_code")
+    assert f"hashpartitioning(customer_id, {rows // 25})" in no_ids(plan(history_features(tables.log(), columns, hot=None)))
