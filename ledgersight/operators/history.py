@@ -83,6 +83,7 @@ def _with_openings(df, columns, scale):
         per_cell = df.groupBy(*keys, "_cell").agg(
             F.count(F.lit(1)).alias("n"), F.sum(exact_amount(columns.amt, scale)).alias("s"),
             F.sum(exact_square(columns.amt, scale)).alias("q"), last.alias("last"))
+        per_cell = spread(per_cell, rows, *keys)
         earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
         opening = per_cell.select(
             *keys, "_cell", F.lit(group).alias("_opens"),
@@ -95,7 +96,8 @@ def _with_openings(df, columns, scale):
                 .alias("amt")).alias("_prev"),
         ).where(F.col(f"_n_{group}").isNotNull())
         parts = parts.unionByName(opening, allowMissingColumns=True)
-    return parts.repartition(CUSTOMER, "_cell")
+    # a slice has about as many opening rows as rows, or more
+    return spread(parts, 2 * rows, CUSTOMER, "_cell")
 
 
 def _windows(df, columns, cell, scale):

@@ -91,8 +91,13 @@ def test_folded_columns_return_for_kept_rows(spark):
 
 
 def test_history_tasks_do_not_grow_with_the_log(tables, monkeypatch):
-    """Partitions follow from the rows, on the plain route."""
+    """Partitions follow from the rows, on the plain route and for slices and their opening rows."""
     monkeypatch.setattr(skew, "TASK_ROWS", 25)
     rows = tables.log().count()
     columns = HistoryColumns(mcc="mcc_code")
     assert f"hashpartitioning(customer_id, {rows // 25})" in no_ids(plan(history_features(tables.log(), columns, hot=None)))
+    low = skew.SkewPolicy(hot_rows=5)
+    heavy = skew.split_hot(tables.log(), skew.hot_keys(tables.log(), "customer_id", low), "customer_id")[1].count()
+    text = no_ids(plan(history_features(tables.log(), columns, policy=low)))
+    assert f"hashpartitioning(customer_id, _cell, {-(-2 * heavy // 25)})" in text
+    assert text.count(f"{-(-heavy // 25)}), REPARTITION_BY_NUM") >= 7
