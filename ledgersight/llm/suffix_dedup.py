@@ -5,6 +5,8 @@ windows of ``GRAM`` bytes the one of lowest hash, the leftmost of equals. Equal
 places. Neighbouring starts share an anchor; together they form one stretch of text. Stretches of an anchor that
 occurs once hold no repeat. Equal stretches are counted once, with their number. The different stretches of an
 anchor are sorted by ``suffix_array``; a string is repeated where a neighbour in that order begins with the same bytes.
+Before, each is cut to what it has in common with any other, counted from the anchor: equal strings lie alike around it.
+Anchors of too many stretches are split by more bytes around them.
 
 ``suffix_array`` groups suffixes linearly: groups begin as first letters and are taken in descending order; the group
 taken is final, each of its suffixes points to the nearest suffix before it in a smaller group, and those pointed at
@@ -25,7 +27,8 @@ from .common import documents, materialise, query, table
 
 LENGTH = 200
 GRAM = 32
-FULL = 256          # different stretches of an anchor that are sorted together; fuller ones are split by string
+FULL = 256          # different stretches of an anchor that are sorted together; fuller ones are split
+HALF = 84           # bytes before an anchor from which on a string is grouped by what is before it
 
 _U = np.uint64
 
@@ -129,7 +132,7 @@ def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """d, h, key, w (hash of the stretch and the anchor's place in it), s, e (first and last start)."""
+    """d, h, key, w (hash of the stretch and the anchor's place in it), s, e (first and last start), p (the anchor's place in it)."""
     def run(batches):
         for batch in batches:
             parts, ids = [], []
@@ -139,15 +142,44 @@ def anchors(rows: DataFrame) -> DataFrame:
                 if len(key):
                     w = [int.from_bytes(hashlib.blake2b(data[a:b + LENGTH] + bytes(((p - a) & 255,)), digest_size=8).digest(), "little", signed=True)
                          for a, b, p in zip(s.tolist(), e.tolist(), at.tolist())]
-                    parts.append((key.view(np.int64), np.array(w, dtype=np.int64), s, e))
+                    parts.append((key.view(np.int64), np.array(w, dtype=np.int64), s, e, at - s))
                     ids.append(np.full(len(key), k))
             if parts:
-                key, w, s, e = (np.concatenate(c) for c in zip(*parts))
+                key, w, s, e, p = (np.concatenate(c) for c in zip(*parts))
                 take = pa.array(np.concatenate(ids))
                 yield pa.record_batch({"d": batch["d"].take(take), "h": batch["h"].take(take), "key": pa.array(key), "w": pa.array(w),
-                                       "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32))})
+                                       "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "p": pa.array(p.astype(np.int32))})
 
-    return rows.select("d", "h", "text").mapInArrow(run, "d bigint, h bigint, key bigint, w bigint, s int, e int")
+    return rows.select("d", "h", "text").mapInArrow(run, "d bigint, h bigint, key bigint, w bigint, s int, e int, p int")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many first bytes are the same."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _shared(sides: list[bytes]) -> list[int]:
+    """The most first bytes each has in common with another."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    most = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        n = _common(sides[i], sides[j])
+        most[i], most[j] = max(most[i], n), max(most[j], n)
+    return most
+
+
+def candidates(texts: list[bytes], starts: list[int], places: list[int]) -> list[tuple[int, int]]:
+    """first start and number of starts of each stretch whose strings may occur in another one of the same anchor.
+
+    Equal strings have their anchor at equal places, so a string that reaches farther from it than all
+    other stretches agree, to the left or to the right, occurs in none of them.
+    """
+    left = _shared([t[:p][::-1] for t, p in zip(texts, places)])
+    right = _shared([t[p:] for t, p in zip(texts, places)])
+    first = [max(0, p - a) for p, a in zip(places, left)]
+    return [(f, min(n, p + b - LENGTH + 1) - f) for f, n, p, b in zip(first, starts, places, right)]
 
 
 def repeated(texts: list[bytes], starts: list[int]) -> list[np.ndarray]:
@@ -182,24 +214,28 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def sorted_runs(windows: DataFrame) -> DataFrame:
-    """key, w, runs of repeated starts, for stretches (key, w, text binary, n starts) of anchors with several."""
-    dealt = windows.repartition("key").sortWithinPartitions("key", "w")
+    """key, w, runs of repeated starts, for groups g of several stretches (g, key, w, off, text binary, n starts, p).
+
+    ``off`` is where text begins in the whole stretch, ``p`` the anchor's place in text.
+    """
+    dealt = windows.repartition("g").sortWithinPartitions("g", "key", "w")
 
     def run(batches):
         def close():
-            if len(ws) > 1:
-                for w, flags in zip(ws, repeated(texts, starts)):
+            parts = [(row, f, n) for row, (f, n) in zip(rows, candidates(*zip(*((r[3], r[4], r[5]) for r in rows)))) if n > 0] if len(rows) > 1 else []
+            if len(parts) > 1:
+                for (row, f, _), flags in zip(parts, repeated([r[3][f:f + n + LENGTH - 1] for r, f, n in parts], [n for _, _, n in parts])):
                     if flags.any():
-                        yield key, w, _runs(flags)
+                        yield row[0], row[1], [row[2] + f + i for i in _runs(flags)]
 
-        key, ws, texts, starts = None, [], [], []
+        group, rows = None, []
         for batch in batches:
             out = []
-            for k, w, t, n in zip(*(batch[c].to_pylist() for c in ("key", "w", "text", "n"))):
-                if k != key:
+            for g, *row in zip(*(batch[c].to_pylist() for c in ("g", "key", "w", "off", "text", "n", "p"))):
+                if g != group:
                     out += close()
-                    key, ws, texts, starts = k, [], [], []
-                ws.append(w), texts.append(t), starts.append(n)
+                    group, rows = g, []
+                rows.append(row)
             yield _batch(out)
         yield _batch(list(close()))
 
@@ -210,37 +246,63 @@ def sorted_runs(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, w bigint, runs array<int>")
 
 
+def split_groups(windows: DataFrame) -> DataFrame:
+    """Stretches of crowded anchors in two parts, each with the strings that hold the same longer gram around the anchor.
+
+    A string with at least ``HALF`` bytes before its anchor holds those and the gram; every other one holds
+    more bytes after it. Equal strings lie alike around the anchor, so they fall into one group.
+    """
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, w, t, n, p in zip(*(batch[c].to_pylist() for c in ("key", "w", "text", "n", "p"))):
+                cut = min(n, max(0, p - HALF + 1))          # starts before it have HALF bytes before the anchor
+                for side, a, b, gram in ((b"l", 0, cut, t[max(0, p - HALF):p + GRAM]), (b"r", cut, n, t[p:p + LENGTH - HALF])):
+                    if a < b:
+                        g = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + side + gram, digest_size=8).digest()
+                        out.append((int.from_bytes(g, "little", signed=True), key, w, a, t[a:b + LENGTH - 1], b - a, p - a))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
+
+    names = ["g", "key", "w", "off", "text", "n", "p"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    return windows.select("key", "w", "text", "n", "p").mapInArrow(run, "g bigint, key bigint, w bigint, off int, text binary, n int, p int")
+
+
 def single_strings(windows: DataFrame) -> DataFrame:
-    """key, w, runs of length one, for stretches of anchors too full to be sorted in one task.
+    """key, w, runs of length one, for stretches of groups too full to be sorted in one task.
 
     Every string of such a stretch is a row of its 128-bit hash; those of several stretches are repeated.
     """
     def run(batches):
         for batch in batches:
-            rows = [(k, w, i, t[i:i + LENGTH]) for k, w, t, n in zip(*(batch[c].to_pylist() for c in ("key", "w", "text", "n"))) for i in range(n)]
-            yield pa.record_batch({"key": pa.array([r[0] for r in rows], pa.int64()), "w": pa.array([r[1] for r in rows], pa.int64()),
-                                   "i": pa.array([r[2] for r in rows], pa.int32()),
-                                   "x": pa.array([hashlib.blake2b(r[3], digest_size=16).digest() for r in rows], pa.binary())})
-
-    each = materialise(windows.mapInArrow(run, "key bigint, w bigint, i int, x binary"))
-    often = each.groupBy("key", "x").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("key", "x")
-    return each.join(often, ["key", "x"]).groupBy("key", "w").agg(
+            rows = [(g, k, w, off + i, t[i:i + LENGTH]) for g, k, w, off, t, n in zip(*(batch[c].to_pylist() for c in ("g", "key", "w", "off", "text", "n")))
+                    for i in range(n)]
+            yield pa.record_batch({"g": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[1] for r in rows], pa.int64()),
+                                   "w": pa.array([r[2] for r in rows], pa.int64()), "i": pa.array([r[3] for r in rows], pa.int32()),
+                                   "x": pa.array([hashlib.blake2b(r[4], digest_size=16).digest() for r in rows], pa.binary())})
+
+    each = materialise(windows.mapInArrow(run, "g bigint, key bigint, w bigint, i int, x binary"))
+    often = each.groupBy("g", "x").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("g", "x")
+    return each.join(often, ["g", "x"]).groupBy("key", "w").agg(
         F.flatten(F.array_sort(F.collect_list(F.array("i", "i")))).alias("runs"))
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """d, h, spans (byte start, end exclusive; they may overlap) of the rows (d, h, text)."""
     found = materialise(anchors(rows))
-    windows = found.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "h", "s", "e")).alias("one"))
+    windows = found.groupBy("key", "w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "h", "s", "e", "p")).alias("one"))
     windows = materialise(windows)
     totals = windows.groupBy("key").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
     shared = materialise(windows.join(totals, "key").select("key", "w", "c", "kinds", "one.*"))
     several = shared.where("kinds > 1")
     body = F.encode("text", "utf-8")
     asked = rows.select("d", "h", "text").dropDuplicates(["d", "h"]).join(several, ["d", "h"]).select(
-        "key", "w", "kinds", F.substring(body, F.col("s") + 1, F.col("e") - F.col("s") + LENGTH).alias("text"), (F.col("e") - F.col("s") + 1).alias("n"))
+        "key", "w", "kinds", "p", F.substring(body, F.col("s") + 1, F.col("e") - F.col("s") + LENGTH).alias("text"), (F.col("e") - F.col("s") + 1).alias("n"))
     asked = materialise(asked)
-    runs = sorted_runs(asked.where(f"kinds <= {FULL}")).unionByName(single_strings(asked.where(f"kinds > {FULL}")))
+    halves = materialise(split_groups(asked.where(f"kinds > {FULL}")))
+    halves = halves.join(halves.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")), "g").where("kinds > 1")
+    whole_ones = asked.where(f"kinds <= {FULL}").withColumns({"g": F.col("key"), "off": F.lit(0)})
+    runs = sorted_runs(whole_ones.unionByName(halves.where(f"kinds <= {FULL}"))).unionByName(single_strings(halves.where(f"kinds > {FULL}")))
     # a stretch that occurs again is repeated as a whole
     whole = shared.where("c > 1").select("key", "w", F.array(F.lit(0), F.col("e") - F.col("s")).alias("runs"))
     known = materialise(whole.unionByName(runs.join(shared.where("c = 1").select("key", "w"), ["key", "w"])))

@@ -355,6 +355,49 @@ def test_repeats_equal_brute_force(spark, odd, full, monkeypatch):
         assert bytes(r.kept) == bytes(b for b, g in zip(x, gone) if not g)
 
 
+@pytest.mark.parametrize("full", [1, 9])
+def test_crowded_anchors_are_split_before_their_strings_are_rows(spark, full, monkeypatch):
+    """One phrase in many texts: more bytes around it part what differs, and what is left stays right."""
+    monkeypatch.setattr(suffix_dedup, "FULL", full)
+    seen, real = [], suffix_dedup.single_strings
+    monkeypatch.setattr(suffix_dedup, "single_strings", lambda windows: seen.append(windows.agg({"n": "sum"}).first()[0] or 0) or real(windows))
+    draw = random.Random(7)
+    word = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    phrase, tail, head = word(60), word(170), word(170)
+    rows = [(i, word(250) + phrase + word(250)) for i in range(60)] + [(100 + i, word(250) + phrase + tail + word(50)) for i in range(6)] + [
+        (200 + i, word(50) + head + phrase + word(250)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    data = {i: t.encode() for i, t in rows}
+    count = Counter(x[k:k + 200] for x in data.values() for k in range(len(x) - 199))
+    for r in suffix_dedup.remove_repeats(docs).collect():
+        x, gone = data[r.doc_id], np.zeros(560, bool)
+        for k in range(len(x) - 199):
+            if count[x[k:k + 200]] > 1:
+                gone[k:k + 200] = True
+        assert r.n_removed == gone.sum()
+        assert bytes(r.kept) == bytes(b for b, g in zip(x, gone) if not g)
+    assert seen[0] < (3_000 if full == 1 else 1)
+
+
+def test_candidates_keep_every_repeated_string():
+    draw = random.Random(2)
+    for _ in range(60):
+        core = bytes(draw.randrange(97, 100) for _ in range(420))
+        texts, places, starts = [], [], []
+        for _ in range(5):
+            a, b = draw.randint(0, 168), draw.randint(200, 368)
+            t = bytearray(core[200 - a:200 + b])
+            for _ in range(draw.randint(0, 2)):
+                t[draw.randrange(len(t))] = 120
+            if len(t) >= 200:
+                texts.append(bytes(t)), places.append(a), starts.append(min(a, len(t) - 200) + 1)
+        kept = suffix_dedup.candidates(texts, starts, places)
+        for i, (t, p, n) in enumerate(zip(texts, places, starts)):
+            for k in range(n):
+                if any(j != i and 0 <= q - (p - k) < m and u[q - (p - k):][:200] == t[k:k + 200] for j, (u, q, m) in enumerate(zip(texts, places, starts))):
+                    assert kept[i][0] <= k < sum(kept[i])
+
+
 def test_suffix_odd(odd, nothing):
     got = suffix_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and {r.n_bytes for r in got if r.doc_id in (1, 2)} == {0}
