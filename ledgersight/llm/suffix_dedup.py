@@ -16,6 +16,7 @@ or sorted again.
 """
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import documents, materialise, query, table
 LENGTH = 200
 GRAM = 32
 FULL = 256          # different stretches of an anchor that are sorted together; fuller ones are split
-HALF = 84           # bytes before an anchor from which on a string is grouped by what is before it
+STEPS = (84, 16)    # starts that stay together when a crowded anchor is split, and when what is still crowded is split again
 
 _U = np.uint64
 
@@ -246,26 +247,43 @@ def sorted_runs(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, w bigint, runs array<int>")
 
 
-def split_groups(windows: DataFrame) -> DataFrame:
-    """Stretches of crowded anchors in two parts, each with the strings that hold the same longer gram around the anchor.
+def split_groups(windows: DataFrame, step: int) -> DataFrame:
+    """Stretches (g, key, w, off, text, n, p) of crowded groups in parts of ``step`` starts, grouped by what these have in common.
 
-    A string with at least ``HALF`` bytes before its anchor holds those and the gram; every other one holds
-    more bytes after it. Equal strings lie alike around the anchor, so they fall into one group.
+    Starts are parted by their distance from the anchor. All strings of a part hold one longer gram around it, and equal
+    strings lie alike around the anchor, so they are in parts of the same distance and gram. ``v`` is the hash of a part's text.
     """
+    far = LENGTH - GRAM
+
     def run(batches):
+        def digest(*parts):
+            return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
         for batch in batches:
             out = []
-            for key, w, t, n, p in zip(*(batch[c].to_pylist() for c in ("key", "w", "text", "n", "p"))):
-                cut = min(n, max(0, p - HALF + 1))          # starts before it have HALF bytes before the anchor
-                for side, a, b, gram in ((b"l", 0, cut, t[max(0, p - HALF):p + GRAM]), (b"r", cut, n, t[p:p + LENGTH - HALF])):
+            for g, key, w, off, t, n, p in zip(*(batch[c].to_pylist() for c in names)):
+                for near in range(max(0, p - n + 1) // step * step, p + 1, step):      # distance of the part's last start
+                    last = min(near + step - 1, far)
+                    a, b = max(0, p - last), min(n, p - near + 1)
                     if a < b:
-                        g = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + side + gram, digest_size=8).digest()
-                        out.append((int.from_bytes(g, "little", signed=True), key, w, a, t[a:b + LENGTH - 1], b - a, p - a))
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)], names=names)
+                        text = t[a:b + LENGTH - 1]
+                        out.append((digest(g.to_bytes(8, "little", signed=True), bytes((near,)), t[p - near:p + LENGTH - last]), digest(bytes((p - a,)), text),
+                                    key, w, off + a, text, b - a, p - a))
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 8, kinds)], names=["g", "v", *names[1:]])
 
     names = ["g", "key", "w", "off", "text", "n", "p"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-    return windows.select("key", "w", "text", "n", "p").mapInArrow(run, "g bigint, key bigint, w bigint, off int, text binary, n int, p int")
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    return windows.select(*names).mapInArrow(run, "g bigint, v bigint, key bigint, w bigint, off int, text binary, n int, p int")
+
+
+def parted(windows: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """(one of each different part with the kinds its group has, runs of the parts that occur several times)."""
+    parts = materialise(split_groups(windows, step))
+    different = materialise(parts.groupBy("g", "v").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "w", "off", "text", "n", "p")).alias("one")))
+    whole = parts.join(different.where("c > 1").select("g", "v"), ["g", "v"]).select("key", "w", F.array("off", F.expr("off + n - 1")).alias("runs"))
+    several = different.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return different.join(several, "g").select("g", "kinds", "one.*"), whole
 
 
 def single_strings(windows: DataFrame) -> DataFrame:
@@ -299,10 +317,14 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     asked = rows.select("d", "h", "text").dropDuplicates(["d", "h"]).join(several, ["d", "h"]).select(
         "key", "w", "kinds", "p", F.substring(body, F.col("s") + 1, F.col("e") - F.col("s") + LENGTH).alias("text"), (F.col("e") - F.col("s") + 1).alias("n"))
     asked = materialise(asked)
-    halves = materialise(split_groups(asked.where(f"kinds > {FULL}")))
-    halves = halves.join(halves.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")), "g").where("kinds > 1")
-    whole_ones = asked.where(f"kinds <= {FULL}").withColumns({"g": F.col("key"), "off": F.lit(0)})
-    runs = sorted_runs(whole_ones.unionByName(halves.where(f"kinds <= {FULL}"))).unionByName(single_strings(halves.where(f"kinds > {FULL}")))
+    asked = asked.withColumns({"g": F.col("key"), "off": F.lit(0)})
+    sorted_, crowded, runs = asked.where(f"kinds <= {FULL}"), asked.where(f"kinds > {FULL}"), []
+    for step in STEPS:
+        split, again = parted(crowded, step)
+        runs.append(again)
+        sorted_ = sorted_.unionByName(split.where(f"kinds <= {FULL}"), allowMissingColumns=True)
+        crowded = split.where(f"kinds > {FULL}")
+    runs = reduce(DataFrame.unionByName, [*runs, single_strings(crowded)], sorted_runs(sorted_))
     # a stretch that occurs again is repeated as a whole
     whole = shared.where("c > 1").select("key", "w", F.array(F.lit(0), F.col("e") - F.col("s")).alias("runs"))
     known = materialise(whole.unionByName(runs.join(shared.where("c = 1").select("key", "w"), ["key", "w"])))
