@@ -29,9 +29,12 @@ from .common import documents, materialise, query, table
 LENGTH = 200
 GRAM = 32
 FULL = 256          # different stretches of an anchor that are sorted together; fuller ones are split
+PIECE = 1 << 16     # starts of one text, and about the bytes of several, that are hashed together
+PLACE_BITS = 18     # for the places in two pieces
 STEPS = (84, 16)    # starts that stay together when a crowded anchor is split, and when what is still crowded is split again
 
 _U = np.uint64
+_FACTORS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def suffix_array(text) -> list[int]:
@@ -100,56 +103,84 @@ def suffix_array(text) -> list[int]:
     return out[1:]
 
 
-def _grams(b: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes at every place."""
-    h, width, factor = b.astype(_U) + _U(1), 1, 0x100000001B3
-    while width < GRAM:
-        h = h[:-width] * _U(factor) + h[width:]
-        factor, width = factor * factor % (1 << 64), 2 * width
-    return mix(h)
+def _words(data: bytes) -> np.ndarray:
+    """The eight bytes at every place as one number."""
+    return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)).astype(_U)
 
 
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, anchor place, first start, last start) of all strings of ``LENGTH`` bytes."""
-    if len(data) < LENGTH:
+def _digests(words: np.ndarray, first: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from ``first`` to ``end`` and of ``place``: each eight bytes are mixed with their number and added."""
+    size = end - first
+    many = (size + 7) // 8
+    begin = np.cumsum(many) - many
+    number = np.arange(begin[-1] + many[-1]) - np.repeat(begin, many)
+    at = np.minimum(np.repeat(first, many) + 8 * number, np.repeat(end - 8, many))      # the last eight may overlap those before
+    parts = np.add.reduceat(mix(words[at] + (number.astype(_U) + _U(1)) * _FACTORS[0]), begin)
+    return mix(parts ^ mix((size << 16 | place).astype(_U)))
+
+
+def stretches(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(piece, anchor hash, hash of the stretch and its anchor's place, first start, last start, anchor place) of all strings of ``LENGTH`` bytes.
+
+    All pieces, ``2 ** PLACE_BITS`` bytes at most, go through the same few array operations. A string lies in one piece. Windows are
+    compared by their hash with the place in its lowest bits, so the smallest one is also the leftmost of equals.
+    """
+    texts = [(k, x) for k, x in enumerate(pieces) if len(x) >= LENGTH]
+    if not texts:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(_U), none, none, none
-    h = _grams(np.frombuffer(data, dtype=np.uint8))
-    window = LENGTH - GRAM + 1
-    low, width = np.arange(len(h), dtype=np.int32), 1
-    value = h
+        return none, none.astype(_U), none.astype(_U), none, none, none
+    data, size = b"".join(x for _, x in texts), np.array([len(x) for _, x in texts])
+    base = np.cumsum(size) - size
+    words = _words(data)
+    n = len(data) - GRAM + 1
+    h = words[:n] * _FACTORS[0]
+    for k in range(1, GRAM // 8):
+        h += words[8 * k:8 * k + n] * _FACTORS[k]
+    h = mix(h)
+    low = h >> _U(PLACE_BITS) << _U(PLACE_BITS)
+    low |= np.arange(n, dtype=_U)
+    window, width = LENGTH - GRAM + 1, 1
     while 2 * width <= window:
-        take = value[width:] < value[:-width]
-        low = np.where(take, low[width:], low[:-width])
-        value = np.where(take, value[width:], value[:-width])
+        low = np.minimum(low[width:], low[:-width])
         width *= 2
-    shift = window - width
-    if shift:
-        low = np.where(value[shift:] < value[:-shift], low[shift:], low[:-shift])
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    last = np.concatenate([first[1:], [len(low)]]) - 1
-    at = low[first].astype(np.int64)
-    return h[at], at, first, last
+    if window > width:
+        low = np.minimum(low[window - width:], low[:width - window])
+    new = np.ones(len(low), dtype=bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[base] = True
+    first = np.flatnonzero(new)
+    owner = np.searchsorted(base, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(low)) - 1, (base + size - LENGTH)[owner])
+    inside = first <= last                      # other starts run into the next piece
+    first, last, owner = first[inside], last[inside], owner[inside]
+    at = (low[first] & _U((1 << PLACE_BITS) - 1)).astype(np.int64)
+    w, base = _digests(words, first, last + LENGTH, at - first), base[owner]
+    return np.array([k for k, _ in texts])[owner], h[at], w, first - base, last - base, at - base
 
 
 def anchors(rows: DataFrame) -> DataFrame:
     """d, h, key, w (hash of the stretch and the anchor's place in it), s, e (first and last start), p (the anchor's place in it)."""
     def run(batches):
+        def found(pieces):
+            k, key, w, s, e, at = stretches([x for _, _, x in pieces])
+            row, off = np.array([x[0] for x in pieces])[k], np.array([x[1] for x in pieces])[k]
+            return row, key.view(np.int64), w.view(np.int64), (s + off).astype(np.int32), (e + off).astype(np.int32), (at - s).astype(np.int32)
+
         for batch in batches:
-            parts, ids = [], []
+            out, pieces, held = [], [], 0
             for k, text in enumerate(batch["text"]):
                 data = text.as_py().encode()
-                key, at, s, e = stretches(data)
-                if len(key):
-                    w = [int.from_bytes(hashlib.blake2b(data[a:b + LENGTH] + bytes(((p - a) & 255,)), digest_size=8).digest(), "little", signed=True)
-                         for a, b, p in zip(s.tolist(), e.tolist(), at.tolist())]
-                    parts.append((key.view(np.int64), np.array(w, dtype=np.int64), s, e, at - s))
-                    ids.append(np.full(len(key), k))
-            if parts:
-                key, w, s, e, p = (np.concatenate(c) for c in zip(*parts))
-                take = pa.array(np.concatenate(ids))
-                yield pa.record_batch({"d": batch["d"].take(take), "h": batch["h"].take(take), "key": pa.array(key), "w": pa.array(w),
-                                       "s": pa.array(s.astype(np.int32)), "e": pa.array(e.astype(np.int32)), "p": pa.array(p.astype(np.int32))})
+                for off in range(0, len(data) - LENGTH + 1, PIECE):
+                    pieces.append((k, off, data[off:off + PIECE + LENGTH - 1]))
+                    held += len(pieces[-1][2])
+                    if held >= PIECE:
+                        out.append(found(pieces))
+                        pieces, held = [], 0
+            if pieces:
+                out.append(found(pieces))
+            if out:
+                row, key, w, s, e, p = (pa.array(np.concatenate(c)) for c in zip(*out))
+                yield pa.record_batch({"d": batch["d"].take(row), "h": batch["h"].take(row), "key": key, "w": w, "s": s, "e": e, "p": p})
 
     return rows.select("d", "h", "text").mapInArrow(run, "d bigint, h bigint, key bigint, w bigint, s int, e int, p int")
 
@@ -334,7 +365,8 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     number = F.sequence(F.lit(0), (F.size("runs") / 2).cast("int") - 1)
     places = found.join(known, ["key", "w"]).select("d", "h", F.transform(number, lambda i: F.struct(
         (F.col("s") + at(2 * i)).alias("a"), (F.col("s") + at(2 * i + 1) + LENGTH).alias("b"))).alias("part"))
-    return places.groupBy("d", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("part")))).alias("spans"))
+    # copies of a row have equal parts; different parts of a row share no span but by runs of different steps, which does no harm
+    return places.groupBy("d", "h").agg(F.sort_array(F.flatten(F.collect_set("part"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

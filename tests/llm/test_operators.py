@@ -379,6 +379,44 @@ def test_crowded_anchors_are_split_before_their_strings_are_rows(spark, full, mo
     assert seen[0] < (3_000 if full == 1 else 1)
 
 
+def test_anchors_of_many_pieces_at_once():
+    """Every start has one anchor inside its string; equal strings have the same one at the same place, in whatever piece and call they are."""
+    draw, seen = random.Random(3), {}
+    for letters in (b"x", b"ab", bytes(range(97, 123))):
+        core = bytes(draw.choices(letters, k=900))
+        pieces = [core[draw.randrange(300):][:n] for n in (0, 199, 200, 201, 500, 600)] + [bytes(draw.choices(letters, k=700)), b"", core]
+        calls = [suffix_dedup.stretches(pieces), *(suffix_dedup.stretches([x]) for x in pieces)]
+        for n, call in enumerate(calls):
+            starts, whole = Counter(), {}
+            for k, key, w, s, e, at in zip(*(c.tolist() for c in call)):
+                text = pieces[k] if n == 0 else pieces[n - 1]
+                assert 0 <= s <= e <= at <= s + 168
+                assert whole.setdefault((key, w), (text[s:e + 200], at - s)) == (text[s:e + 200], at - s)
+                for x in range(s, e + 1):
+                    starts[k, x] += 1
+                    assert seen.setdefault(text[x:x + 200], (key, at - x)) == (key, at - x)
+            assert set(starts.values()) <= {1} and len(starts) == sum(max(0, len(x) - 199) for x in (pieces if n == 0 else pieces[n - 1:n]))
+
+
+def test_stretches_of_long_texts_end_at_pieces(spark, monkeypatch):
+    """A text of several pieces, copies of its rows and a repeat over the border of two pieces."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 512)
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    phrase = word(700)
+    rows = [(1, word(430) + phrase + word(900)), (2, word(37) + phrase[100:] + word(5_000) + phrase[:333]), (3, word(800)), (3, None), (4, phrase[200:450])] + [(5, word(1_500))] * 3
+    count = Counter((t or "")[k:k + 200] for _, t in rows for k in range(len(t or "") - 199))
+    want = Counter()
+    for i, t in rows:
+        x, gone = (t or "").encode(), np.zeros(len(t or "") + 1, bool)
+        for k in range(len(x) - 199):
+            if count[x[k:k + 200].decode()] > 1:
+                gone[k:k + 200] = True
+        want[i, len(x), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), bytes(b for b, g in zip(x, gone) if not g)] += 1
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
+
+
 def test_candidates_keep_every_repeated_string():
     draw = random.Random(2)
     for _ in range(60):
