@@ -112,6 +112,18 @@ def class_of(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < TOP, symbols // PER_CLASS, symbols - TOP + TOP // PER_CLASS)
 
 
+def _sigmoid(minus: np.ndarray) -> None:
+    """The logistic function of the negated values, in place."""
+    np.exp(minus, out=minus)
+    minus += 1
+    np.reciprocal(minus, out=minus)
+
+
+def _by_unit(x: np.ndarray) -> np.ndarray:
+    """(units, steps * lanes) of (steps, units, lanes)."""
+    return np.ascontiguousarray(x.transpose(1, 0, 2)).reshape(x.shape[1], -1)
+
+
 class Network:
     """Parameters in one vector; the input vectors stand for embedding and projection in one."""
 
@@ -138,117 +150,134 @@ class Network:
         net.bw[:] = np.log(mass[:TOP] + 0.5)
         return net
 
-    def step(self, symbols: np.ndarray, h: np.ndarray):
-        x, a = self.e[symbols], h @ self.u[:, :2 * HIDDEN]
-        gates = 1 / (1 + np.exp(-(x[:, :2 * HIDDEN] + a)))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(x[:, 2 * HIDDEN:] + (r * h) @ self.u[:, 2 * HIDDEN:])
-        return new + z * (h - new), z, r, new
+    def step(self, symbols: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states (HIDDEN, lanes) after the lanes' next symbols; symbol 0 starts a text."""
+        if not symbols.all():
+            h = h * (symbols != 0)
+        x = self.e.take(symbols, 0).T
+        a = self.u[:, :2 * HIDDEN].T @ h
+        a += x[:2 * HIDDEN]
+        _sigmoid(np.negative(a, out=a))
+        z, r = a[:HIDDEN], a[HIDDEN:]
+        r *= h
+        new = self.u[:, 2 * HIDDEN:].T @ r
+        new += x[2 * HIDDEN:]
+        np.tanh(new, out=new)
+        h = h - new
+        h *= z
+        h += new
+        return h
 
     def log_probabilities(self, h: np.ndarray, symbols: np.ndarray, softmax: bool = True):
-        """(natural log of each symbol's probability after state h, class softmax, rows of frequent symbols, their softmax).
+        """(natural log of each symbol's probability after state h, class softmax, rows of frequent symbols by class, borders of
+        their classes, their softmax); softmaxes are (choices, rows).
 
         Without ``softmax`` only the first is computed to its end.
         """
+        h = np.ascontiguousarray(h.T)
         c = class_of(symbols)
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(c)), c]
+        logits = self.wc.T @ h
+        logits += self.bc[:, None]
+        logits -= logits.max(0)
+        out = logits[c, np.arange(len(c))]
         p = np.exp(logits, out=logits)
-        whole = p.sum(1)
+        whole = p.sum(0)
         out -= np.log(whole)
         if softmax:
-            p /= whole[:, None]
-        often = np.flatnonzero(symbols < TOP)
-        q = np.zeros((0, PER_CLASS), dtype=h.dtype)
+            p /= whole
+        order = np.argsort(c.astype(np.int8), kind="stable")        # one product for each class
+        borders = np.searchsorted(c[order], np.arange(TOP // PER_CLASS + 1))
+        often = order[:borders[-1]]
+        q = np.empty((PER_CLASS, len(often)), dtype=h.dtype)
         if len(often):
-            first = c[often] * PER_CLASS
-            w = self.ww.reshape(-1, PER_CLASS, HIDDEN)
-            order = np.argsort(first.astype(np.int16), kind="stable")        # one product for each class
-            q = np.empty((len(often), PER_CLASS), dtype=h.dtype)
-            borders = np.searchsorted(first[order], np.arange(0, TOP + 1, PER_CLASS))
-            for k in range(TOP // PER_CLASS):
-                rows = order[borders[k]:borders[k + 1]]
-                if len(rows):
-                    q[rows] = h[often[rows]] @ w[k].T + self.bw[k * PER_CLASS:(k + 1) * PER_CLASS]
-            q -= q.max(1, keepdims=True)
-            place = symbols[often] - first
-            own = q[np.arange(len(often)), place].copy()
+            states, w = h.take(often, 1), self.ww.reshape(-1, PER_CLASS, HIDDEN)
+            for k, (i, j) in enumerate(zip(borders, borders[1:])):
+                if i < j:
+                    np.matmul(w[k], states[:, i:j], out=q[:, i:j])
+            q += self.bw.reshape(-1, PER_CLASS).T.take(c[often], 1)
+            q -= q.max(0)
+            own = q[symbols[often] % PER_CLASS, np.arange(len(often))]
             np.exp(q, out=q)
-            sums = q.sum(1)
+            sums = q.sum(0)
             out[often] += own - np.log(sums)
             if softmax:
-                q /= sums[:, None]
-        return out, p, often, q
+                q /= sums
+        return out, p, often, borders, q
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray):
         """(gradient, last state, log-probability, valid tokens) over a window of (steps, lanes).
 
-        Padded places are not valid. Symbol 0 as input starts a text: the state is zero there.
+        Padded places are not valid. Symbol 0 as input starts a text: the state is zero there. Inside, lanes are the last
+        axis, so that gates and states of a step are whole blocks of memory.
         """
         steps, lanes = inputs.shape
         going, starts, padded = inputs != 0, (inputs == 0).any(1), ~valid.all(1)
-        first, last = self.u[:, :2 * HIDDEN].copy(), self.u[:, 2 * HIDDEN:].copy()
-        x = self.e[inputs.ravel()].reshape(steps, lanes, 3 * HIDDEN)
-        was, new, states = (np.empty((steps, lanes, HIDDEN), dtype=x.dtype) for _ in range(3))
-        gates = x[:, :, :2 * HIDDEN]
-        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        first, last = -self.u[:, :2 * HIDDEN].T, self.u[:, 2 * HIDDEN:].T.copy()
+        read = inputs.ravel()
+        x = np.ascontiguousarray(self.e.take(read, 0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1))
+        was, new, states = (np.empty((steps, HIDDEN, lanes), dtype=x.dtype) for _ in range(3))
+        gates = np.empty((steps, 2 * HIDDEN, lanes), dtype=x.dtype)
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        h = h.T
         for t in range(steps):
-            if starts[t]:
-                h = h * going[t][:, None]
             was[t] = h
-            a = gates[t]
-            a += h @ first
-            np.negative(a, out=a)
-            np.exp(a, out=a)
-            a += 1
-            np.reciprocal(a, out=a)
-            n = (r[t] * h) @ last
-            n += x[t, :, 2 * HIDDEN:]
-            np.tanh(n, out=new[t])
-            h = h - new[t]
-            h *= z[t]
-            h += new[t]
+            if starts[t]:
+                was[t] *= going[t]
+            h, a, n, s = was[t], gates[t], new[t], states[t]
+            np.matmul(first, h, out=a)
+            a -= x[t, :2 * HIDDEN]
+            _sigmoid(a)
+            np.matmul(last, np.multiply(r[t], h, out=s), out=n)
+            n += x[t, 2 * HIDDEN:]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=s)
+            s *= z[t]
+            s += n
             if padded[t]:
-                h = np.where(valid[t][:, None], h, was[t])
-            states[t] = h
-        flat_h, flat_y = states.reshape(-1, HIDDEN), targets.ravel()
+                s[:] = np.where(valid[t], s, h)
+            h = s
         rows = np.flatnonzero(valid.ravel())
         # the state before a token predicts it: targets follow inputs by one place
-        logp, p, often, q = self.log_probabilities(flat_h[rows], flat_y[rows])
+        hs, y = _by_unit(states), targets.ravel()
+        whole = len(rows) == len(y)
+        if not whole:
+            hs, y = hs.take(rows, 1), y[rows]
+        logp, p, often, borders, q = self.log_probabilities(hs.T, y)
         grad = Network(np.zeros_like(self.flat))
-        y = flat_y[rows]
-        p[np.arange(len(y)), class_of(y)] -= 1
-        hs = flat_h[rows]
-        grad.wc[:], grad.bc[:] = hs.T @ p, p.sum(0)
-        dh_all = np.zeros_like(flat_h)
-        dh = p @ self.wc.T
+        p[class_of(y), np.arange(len(y))] -= 1
+        grad.wc[:], grad.bc[:] = hs @ p.T, p.sum(1)
+        dh = self.wc @ p
         if len(often):
-            q[np.arange(len(often)), y[often] % PER_CLASS] -= 1
-            k = y[often] // PER_CLASS
-            for c in np.unique(k):
-                at = np.flatnonzero(k == c)
-                part = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-                grad.ww[part] += q[at].T @ hs[often[at]]
-                grad.bw[part] += q[at].sum(0)
-                dh[often[at]] += q[at] @ self.ww[part]
-        dh_all[rows] = dh
-        dh_all = dh_all.reshape(steps, lanes, HIDDEN)
-        back = np.zeros((lanes, HIDDEN), dtype=x.dtype)
-        moved = np.empty((steps, lanes, 3 * HIDDEN), dtype=x.dtype)
+            q[y[often] % PER_CLASS, np.arange(len(often))] -= 1
+            seen, more, w = hs.take(often, 1), np.empty((HIDDEN, len(often)), dtype=q.dtype), self.ww.reshape(-1, PER_CLASS, HIDDEN)
+            by_class, bias = grad.ww.reshape(w.shape), grad.bw.reshape(-1, PER_CLASS)
+            for k, (i, j) in enumerate(zip(borders, borders[1:])):
+                if i < j:
+                    part = q[:, i:j]
+                    np.matmul(part, seen[:, i:j].T, out=by_class[k])
+                    part.sum(1, out=bias[k])
+                    np.matmul(w[k].T, part, out=more[:, i:j])
+            dh[:, often] += more
+        if not whole:
+            some, dh = dh, np.zeros((HIDDEN, steps * lanes), dtype=x.dtype)
+            dh[:, rows] = some
+        dh_all = np.ascontiguousarray(dh.reshape(HIDDEN, steps, lanes).transpose(1, 0, 2))
+        back = np.zeros((HIDDEN, lanes), dtype=x.dtype)
+        moved = np.empty((steps, 3 * HIDDEN, lanes), dtype=x.dtype)
         by_n, by_z, by_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), was * r * (1 - r)
-        first, last = first.T.copy(), last.T.copy()
+        first, last = np.negative(first.T), last.T.copy()
+        drh = np.empty_like(back)
         for t in reversed(range(steps)):
-            d = back + dh_all[t]
+            d, m = dh_all[t], moved[t]
+            d += back
             if padded[t]:
-                d, passed = d * valid[t][:, None], back * ~valid[t][:, None]
-            dn = d * by_n[t]
-            drh = dn @ last
-            m = moved[t]
-            m[:, 2 * HIDDEN:] = dn
-            np.multiply(d, by_z[t], out=m[:, :HIDDEN])
-            np.multiply(drh, by_r[t], out=m[:, HIDDEN:2 * HIDDEN])
-            back = m[:, :2 * HIDDEN] @ first
+                d *= valid[t]
+                passed = back * ~valid[t]
+            np.multiply(d, by_n[t], out=m[2 * HIDDEN:])
+            np.matmul(last, m[2 * HIDDEN:], out=drh)
+            np.multiply(d, by_z[t], out=m[:HIDDEN])
+            np.multiply(drh, by_r[t], out=m[HIDDEN:2 * HIDDEN])
+            np.matmul(first, m[:2 * HIDDEN], out=back)
             d *= z[t]
             back += d
             drh *= r[t]
@@ -256,15 +285,14 @@ class Network:
             if padded[t]:
                 back += passed
             if starts[t]:
-                back *= going[t][:, None]
-        moved, was, r = moved.reshape(-1, 3 * HIDDEN), was.reshape(-1, HIDDEN), r.reshape(-1, HIDDEN)
-        grad.u[:, :2 * HIDDEN] = was.T @ moved[:, :2 * HIDDEN]
-        grad.u[:, 2 * HIDDEN:] = (r * was).T @ moved[:, 2 * HIDDEN:]
-        read = inputs.ravel()
-        order = np.argsort(read.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.diff(read[order], prepend=-1))
-        grad.e[read[order[first]]] = np.add.reduceat(moved[order], first, axis=0)
-        return grad.flat, h, float(logp.sum()), len(rows)
+                back *= going[t]
+        r *= was
+        units, before, kept = _by_unit(moved), _by_unit(was), _by_unit(r)
+        grad.u[:, :2 * HIDDEN] = before @ units[:2 * HIDDEN].T
+        grad.u[:, 2 * HIDDEN:] = kept @ units[2 * HIDDEN:].T
+        place = read + np.arange(3 * HIDDEN)[:, None] * len(self.e)
+        grad.e[:] = np.bincount(place.ravel(), units.ravel(), self.e.size).reshape(-1, len(self.e)).T
+        return grad.flat, h.T, float(logp.sum()), len(rows)
 
 
 class Adam:
@@ -280,15 +308,20 @@ class Adam:
         flat -= self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-6)
 
 
+def even(lengths: list[int], most: int) -> list[list[int]]:
+    """Numbers of texts in at most ``most`` lanes of like length, longest lane first."""
+    lanes = [(0, k, []) for k in range(min(most, len(lengths)))]
+    for i in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
+        tokens_, k, held = lanes[0]
+        held.append(i)
+        heapq.heapreplace(lanes, (tokens_ + lengths[i], k, held))
+    return [held for _, _, held in sorted(lanes, key=lambda x: (-x[0], x[1]))]
+
+
 def dealt(texts: list[np.ndarray]) -> list[np.ndarray]:
     """At most ``LANES`` lanes of like length that hold each text whole, longest lane first."""
-    lanes = [(0, k, []) for k in range(min(LANES, len(texts)))]
-    for text in sorted(texts, key=len, reverse=True):
-        tokens_, k, held = lanes[0]
-        held.append(text)
-        heapq.heapreplace(lanes, (tokens_ + len(text), k, held))
     draw = np.random.default_rng(len(texts))
-    return [np.concatenate([held[i] for i in draw.permutation(len(held))]) for _, _, held in sorted(lanes, key=lambda x: (-x[0], x[1]))]
+    return [np.concatenate([texts[held[i]] for i in draw.permutation(len(held))]) for held in even([*map(len, texts)], LANES)]
 
 
 def train(net: Network, texts: list[np.ndarray], adam: Adam) -> int:
@@ -341,31 +374,41 @@ def teach(batches, flat: np.ndarray, words: Lexicon, rate: float):
 
 
 def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol sequence without the counts of rare words; states run through whole texts."""
-    out = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    share = np.concatenate([np.zeros(TOP), np.log(sizes)])
-    for first in range(0, len(order), 8 * LANES):
-        lanes = order[first:first + 8 * LANES]
-        length = np.array([len(texts[i]) for i in lanes])
-        h, before = np.zeros((len(lanes), HIDDEN), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64)
-        for t in range(0, length[0], WINDOW):
-            states, targets, owner = [], [], []
-            rows = np.zeros((WINDOW, int(np.searchsorted(-length, -t, side="left"))), dtype=np.int64)
-            for k, i in enumerate(lanes[:rows.shape[1]]):
-                part = texts[i][t:t + WINDOW]
-                rows[:len(part), k] = part
-            for s in range(t, min(t + WINDOW, length[0])):
-                live = int(np.searchsorted(-length, -s, side="left"))       # lanes longer than s
-                h[:live] = net.step(before[:live], h[:live])[0]
-                now = rows[s - t, :live]
-                states.append(h[:live].copy())
-                targets.append(now)
-                owner.append(np.arange(live))
-                before[:live] = now
-            y = np.concatenate(targets)
-            logp = net.log_probabilities(np.concatenate(states), y, softmax=False)[0] - share[y]
-            out[lanes] += np.bincount(np.concatenate(owner), weights=logp, minlength=len(lanes))
+    """log10 probability of each symbol sequence without the counts of rare words; states run through whole texts.
+
+    Texts run through lanes one after the other, as in training: the end of a text starts the next one from the zero state.
+    """
+    out, share = np.zeros(len(texts)), np.concatenate([np.zeros(TOP), np.log(sizes)])
+    dealt_ = even([*map(len, texts)], 8 * LANES)
+    lanes = [np.concatenate([texts[i] for i in held]) for held in dealt_]
+    owners = [np.repeat(held, [len(texts[i]) for i in held]) for held in dealt_]
+    length = np.array([len(x) for x in lanes])
+    h, before, kept = np.zeros((HIDDEN, len(lanes)), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64), []
+
+    def add():
+        states, symbols, whose = zip(*kept)
+        y = np.concatenate(symbols)
+        logp = net.log_probabilities(np.concatenate(states, 1).T, y, softmax=False)[0] - share[y]
+        np.add.at(out, np.concatenate(whose), logp)
+        kept.clear()
+
+    for t in range(0, max(length, default=0), WINDOW):
+        live = np.searchsorted(-length, -np.arange(t, min(t + WINDOW, length[0])), side="left").tolist()     # lanes longer than each step
+        rows, owner = np.zeros((2, len(live), live[0]), dtype=np.int64)
+        for k in range(live[0]):
+            part = lanes[k][t:t + WINDOW]
+            rows[:len(part), k] = part
+            owner[:len(part), k] = owners[k][t:t + WINDOW]
+        held = 0
+        for now, whose, n in zip(rows, owner, live):
+            h = net.step(before[:n], h[:, :n])
+            kept.append((h, now[:n], whose[:n]))
+            before, held = now, held + n
+            if held >= LANES * WINDOW:
+                add()
+                held = 0
+        if kept:
+            add()
     return out / math.log(10)
 
 

@@ -324,6 +324,19 @@ def test_training_reads_whole_documents(monkeypatch):
     assert abs(sum(x for _, x in read) - want) < 1e-4 * abs(want)
 
 
+def test_texts_share_lanes_while_they_are_scored(monkeypatch):
+    """Steps follow from the longest text and not from one chunk of texts after the other; each text scores as it does alone."""
+    draw, n = np.random.default_rng(5), recurrent_lm.TOP + recurrent_lm.ENDINGS
+    net, sizes = recurrent_lm.Network.start(draw.random(n) * 9), draw.random(recurrent_lm.ENDINGS) * 9 + 1
+    net.flat += draw.normal(0, 0.2, len(net.flat)).astype(np.float32)
+    texts = [np.append(draw.integers(1, n, k), 0) for k in (0, 1, 31, 32, 33, 900, *draw.integers(0, 12, 1_800))]
+    alone, calls, step = np.array([recurrent_lm.score_texts(net, [x], sizes)[0] for x in texts[:300]]), [], recurrent_lm.Network.step
+    monkeypatch.setattr(recurrent_lm.Network, "step", lambda *a: calls.append(1) or step(*a))
+    got = recurrent_lm.score_texts(net, texts, sizes)
+    assert np.allclose(got[:300], alone, rtol=1e-5) and len(calls) == 901
+    assert len(recurrent_lm.score_texts(net, [], sizes)) == 0
+
+
 def test_language_model_odd(odd, nothing):
     got = recurrent_lm.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
