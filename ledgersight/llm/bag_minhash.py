@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 6         # at similarity 0.8 all bands miss with probability 5e-6
 SHARE = 2_000               # documents in a block of a family
 SHINGLES = 4_000_000        # shingles in it (8 bytes each)
-MAX_WORDS = 300_000         # word hashes kept by a worker
+MAX_WORDS = 300_000         # word hashes kept by a task
 
 _U = np.uint64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=_U)
@@ -177,6 +177,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 keys.append(bands(signature(items, counts, BANDS * ROWS)))
             yield pa.record_batch({"id": batch["id"], "h": batch["h"], "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()),
                                    "keys": pa.array(keys, pa.list_(pa.int64()))})
+        _word_hashes.cache_clear()      # a reused worker does not keep it for later stages
 
     return rows.mapInArrow(run, "id bigint, h bigint, f1 bigint, f2 bigint, keys array<bigint>")
 
@@ -188,6 +189,7 @@ def multisets(rows: DataFrame) -> DataFrame:
             sets = [expanded(*shingles(t.as_py())) for t in batch["text"]]
             yield pa.record_batch({"rep": batch["rep"], "items": pa.array([s.tobytes() for s in sets], pa.binary()),
                                    "n": pa.array([len(s) for s in sets], pa.int64())})
+        _word_hashes.cache_clear()
 
     return rows.mapInArrow(run, "rep bigint, items binary, n bigint")
 

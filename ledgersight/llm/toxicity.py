@@ -33,6 +33,7 @@ WINDOW = 4
 STRONGEST = 3
 CALIBRATION = 4             # one labelled text in so many is kept for the curve
 MAX_WORDS = 300_000         # words whose evidence a worker keeps
+AT_ONCE = 2_000             # words looked up at once
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,31 +43,78 @@ def sequences(word: str) -> list[tuple[str, str]]:
     return [(spelt[max(0, i - ORDER + 1):i], spelt[i]) for i in range(1, len(spelt))]
 
 
+class Entries:
+    """Values by strings of ``ORDER`` signs at most, in sorted arrays of 32 bytes an entry."""
+
+    def __init__(self, values: dict[str, float]):
+        key, first, second = self._coded([*values])
+        order = np.argsort(key)
+        self.arrays = key[order], first[order], second[order], np.array([*values.values()], dtype=np.float64)[order]
+
+    @staticmethod
+    def _coded(texts: list[str]):
+        """What entries are ordered by, and the two halves of the string, which tell it exactly (21 bits a sign)."""
+        signs = np.array(texts, dtype=f"U{ORDER}").view(np.uint32).reshape(-1, 2, ORDER // 2).astype(np.uint64)
+        first, second = (signs << np.array([42, 21, 0], dtype=np.uint64)).sum(2, dtype=np.uint64).T
+        return first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F), first, second
+
+    def get(self, texts: list[str], missing: float) -> np.ndarray:
+        keys, firsts, seconds, values = self.arrays
+        if not len(keys) or not texts:
+            return np.full(len(texts), missing)
+        key, first, second = self._coded(texts)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((firsts[at] == first) & (seconds[at] == second), values[at], missing)
+
+
 @dataclass
 class Model:
-    """log P(sign | toxic) - log P(sign | ordinary) after a context; a context alone: of all signs new to it."""
+    """log P(sign | toxic) - log P(sign | ordinary) after a context; a context alone: of all signs new to it.
+
+    Every worker holds both, and what dictionaries of strings take stays with a reused worker in later stages, so they are kept as
+    ``Entries``.
+    """
 
-    seen: dict[str, float]
-    new: dict[str, float]
+    seen: dict[str, float] | Entries       # Entries once made
+    new: dict[str, float] | Entries
     words: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.seen, self.new = Entries(self.seen), Entries(self.new)
+
     def __getstate__(self):
         return {"seen": self.seen, "new": self.new, "words": {}}
 
-    def word(self, word: str) -> float:
-        total = 0.0
-        for context, sign in sequences(word):
-            known = self.seen.get(context + sign)
-            total += self.new.get(context, 0.0) if known is None else known
-        if len(self.words) >= MAX_WORDS:
+    def evidence(self, words: list[str]) -> dict[str, float]:
+        """Evidence of distinct words, kept for later texts."""
+        found = {}
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i:i + AT_ONCE]
+            spelt = [sequences(w) for w in part]
+            pairs = [p for x in spelt for p in x]
+            known = self.seen.get([c + s for c, s in pairs], math.nan)
+            beyond = np.flatnonzero(np.isnan(known))
+            known[beyond] = self.new.get([pairs[k][0] for k in beyond.tolist()], 0.0)
+            known = iter(known.tolist())
+            for word, x in zip(part, spelt):
+                total = 0.0
+                for _ in x:
+                    total += next(known)
+                found[word] = total
+        if len(self.words) + len(found) > MAX_WORDS:
             self.words.clear()
-        self.words[word] = total
-        return total
+        if len(found) <= MAX_WORDS:
+            self.words.update(found)
+        return found
 
     def features(self, text: str) -> list[float]:
         """Mean evidence of the text, of its strongest window and of its strongest words; 0 without words."""
-        known, found = self.words.get, self.word
-        x = np.array([found(w) if (e := known(w)) is None else e for w in WORD.findall(text.lower())])
+        words = WORD.findall(text.lower())
+        x = [*map(self.words.get, words)]
+        if None in x:
+            more = self.evidence([*dict.fromkeys(w for w, e in zip(words, x) if e is None)])
+            x = [more[w] if e is None else e for w, e in zip(words, x)]
+        x = np.array(x)
         if not len(x):
             return [0.0, 0.0, 0.0]
         total = np.concatenate([[0.0], np.cumsum(x)])
@@ -189,14 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     return model, fit_curve(x, y, weight * len(y) / weight.sum())
 
 
-def features(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
-    """The ``carry`` columns ("name type") and f0, f1, f2 of each row's text."""
+def features(docs: DataFrame, model: Model, *carry: str, text: str = "text") -> DataFrame:
+    """The ``carry`` columns ("name type") and f0, f1, f2 of each row's text (null: empty), which may be one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c.split(" ", 1)[0] for c in carry]
 
     def run(batches):
         for batch in batches:
-            found = np.array([shared.value.features(t.as_py()) for t in batch["text"]]).reshape(-1, 3)
+            found = np.array([shared.value.features(t.as_py() or "") for t in batch[text]]).reshape(-1, 3)
             yield pa.record_batch({c: batch[c] for c in names} | {f"f{i}": pa.array(found[:, i]) for i in range(3)})
 
     return docs.mapInArrow(run, ", ".join([*carry, "f0 double", "f1 double", "f2 double"]))
@@ -218,8 +266,10 @@ def drop_toxic(docs: DataFrame, fitted, threshold: float = 0.7) -> DataFrame:
     if model is None:
         return docs
     names = docs.columns
-    hidden = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("text"))
-    found = features(hidden, model, *[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)])
+    # texts pass through the worker once: what is carried is also what is read
+    hidden = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    text = f"c{[c.lower() for c in names].index('text')}"
+    found = features(hidden, model, *[f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)], text=text)
     z = F.lit(float(curve[0])) + sum(F.col(f"f{i}") * float(curve[i + 1]) for i in range(3))
     return found.where(1 / (1 + F.exp(-z)) < threshold).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
