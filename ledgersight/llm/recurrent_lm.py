@@ -15,12 +15,11 @@ Words outside the ``HEAD`` most frequent are looked up by a join, so nothing tha
 
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +35,7 @@ LANES = 64
 LEAST_STEPS = 60            # updates a task makes in a round; it goes over its documents again until then
 HELD = 1 << 20              # tokens a task gathers before it trains on them
 KEPT = 400_000              # distinct words a task counts before it hands them on
+PIECE = 8 << 20             # bytes of text a task splits into tokens at once
 END = b""
 
 
@@ -46,6 +46,23 @@ def tokens(text: str) -> list[bytes]:
     return found
 
 
+def pieces(texts: pa.Array):
+    """The texts in turn, about ``PIECE`` bytes at a time."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE
+    borders = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for i, j in zip(borders, borders[1:]):
+        if i < j:
+            yield texts.slice(i, j - i)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of the texts, one text after the other, and how many each has."""
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    # a blank at its end gives a text its end, the empty token; an empty text is its end alone
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(plain, ""), plain, pc.binary_join_element_wise(plain, "", " ")))
+    return found.flatten(), found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def ending(word: bytes) -> str:
     return word.decode()[-2:]
 
@@ -64,6 +81,29 @@ class Lexicon:
         return known[0] if known else self.ends.get(ending(word), TOP + ENDINGS - 1)
 
 
+class Reader:
+    """Looks many tokens up in a lexicon at once."""
+
+    def __init__(self, words: Lexicon):
+        self.head = pa.array(list(words.head), pa.binary()).cast(pa.string())
+        self.ends = pa.array(list(words.ends), pa.string())
+        # the last entries stand for words beyond the head and for other endings
+        self.symbol_of = np.array([s for s, _ in words.head.values()] + [0], dtype=np.int64)
+        self.end_symbol = np.array([*words.ends.values(), TOP + ENDINGS - 1], dtype=np.int64)
+
+    def __call__(self, found: pa.Array):
+        """(places in the head, -1 beyond it; symbols; the tokens beyond the head)."""
+        at = self._places(found, self.head)
+        symbols, beyond = self.symbol_of[at], np.flatnonzero(at < 0)
+        tail = found.take(pa.array(beyond))
+        symbols[beyond] = self.end_symbol[self._places(pc.utf8_slice_codeunits(tail, -2), self.ends)]
+        return at, symbols, tail
+
+    @staticmethod
+    def _places(found: pa.Array, known: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
 def frequent(counts: DataFrame) -> DataFrame:
     """The end and the words of the highest counts, at most ``HEAD``; words of like count are all in or all out.
 
@@ -155,9 +195,9 @@ class Network:
         if not symbols.all():
             h = h * (symbols != 0)
         x = self.e.take(symbols, 0).T
-        a = self.u[:, :2 * HIDDEN].T @ h
-        a += x[:2 * HIDDEN]
-        _sigmoid(np.negative(a, out=a))
+        a = -self.u[:, :2 * HIDDEN].T @ h
+        a -= x[:2 * HIDDEN]
+        _sigmoid(a)
         z, r = a[:HIDDEN], a[HIDDEN:]
         r *= h
         new = self.u[:, 2 * HIDDEN:].T @ r
@@ -249,7 +289,7 @@ class Network:
         dh = self.wc @ p
         if len(often):
             q[y[often] % PER_CLASS, np.arange(len(often))] -= 1
-            seen, more, w = hs.take(often, 1), np.empty((HIDDEN, len(often)), dtype=q.dtype), self.ww.reshape(-1, PER_CLASS, HIDDEN)
+            seen, more, w = hs.take(often, 1), np.zeros((HIDDEN, len(often) + 1), dtype=q.dtype), self.ww.reshape(-1, PER_CLASS, HIDDEN)
             by_class, bias = grad.ww.reshape(w.shape), grad.bw.reshape(-1, PER_CLASS)
             for k, (i, j) in enumerate(zip(borders, borders[1:])):
                 if i < j:
@@ -257,7 +297,9 @@ class Network:
                     np.matmul(part, seen[:, i:j].T, out=by_class[k])
                     part.sum(1, out=bias[k])
                     np.matmul(w[k].T, part, out=more[:, i:j])
-            dh[:, often] += more
+            place = np.full(len(y), len(often))         # the last column is zero
+            place[often] = np.arange(len(often))
+            dh += more.take(place, 1)
         if not whole:
             some, dh = dh, np.zeros((HIDDEN, steps * lanes), dtype=x.dtype)
             dh[:, rows] = some
@@ -290,8 +332,7 @@ class Network:
         units, before, kept = _by_unit(moved), _by_unit(was), _by_unit(r)
         grad.u[:, :2 * HIDDEN] = before @ units[:2 * HIDDEN].T
         grad.u[:, 2 * HIDDEN:] = kept @ units[2 * HIDDEN:].T
-        place = read + np.arange(3 * HIDDEN)[:, None] * len(self.e)
-        grad.e[:] = np.bincount(place.ravel(), units.ravel(), self.e.size).reshape(-1, len(self.e)).T
+        grad.e[:] = np.array([np.bincount(read, unit, len(self.e)) for unit in units]).T
         return grad.flat, h.T, float(logp.sum()), len(rows)
 
 
@@ -300,12 +341,25 @@ class Adam:
         self.m, self.v, self.t, self.rate = np.zeros(size, np.float32), np.zeros(size, np.float32), 0, rate
 
     def update(self, flat: np.ndarray, grad: np.ndarray) -> None:
+        """One step on the parameters, in place; the gradient's memory is used up."""
         self.t += 1
         norm = np.linalg.norm(grad)
-        grad = grad * (1 / norm if norm > 1 else 1)
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad * grad - self.v)
-        flat -= self.rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-6)
+        if norm > 1:
+            grad *= 1 / norm
+        part = grad - self.m
+        part *= 0.1
+        self.m += part
+        grad *= grad
+        grad -= self.v
+        grad *= 0.01
+        self.v += grad
+        np.divide(self.m, 1 - 0.9 ** self.t, out=part)
+        part *= self.rate
+        np.divide(self.v, 1 - 0.99 ** self.t, out=grad)
+        np.sqrt(grad, out=grad)
+        grad += 1e-6
+        part /= grad
+        flat -= part
 
 
 def even(lengths: list[int], most: int) -> list[list[int]]:
@@ -330,24 +384,25 @@ def train(net: Network, texts: list[np.ndarray], adam: Adam) -> int:
     The end of a text is the start symbol of the next one in its lane. Where few lanes are left, windows share an update.
     """
     seen, lanes = 0, dealt(texts)
-    length = np.array([len(x) for x in lanes])
+    length = np.array([len(x) for x in lanes], dtype=np.int64)
+    first, joined = np.cumsum(length) - length, np.concatenate(lanes) if lanes else None
     while lanes:
         h, before = np.zeros((len(lanes), HIDDEN), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64)
-        grad, waiting = 0, 0
+        waiting = 0
         for t in range(0, length[0], WINDOW):
             live = int(np.searchsorted(-length, -t, side="left"))           # lanes longer than t
-            rows = np.zeros((min(WINDOW, length[0] - t) + 1, live), dtype=np.int64)
-            rows[0] = before[:live]
-            for k in range(live):
-                part = lanes[k][t:t + WINDOW]
-                rows[1:len(part) + 1, k] = part
+            at = np.arange(t, min(t + WINDOW, length[0]))[:, None]
+            rows, valid = np.empty((len(at) + 1, live), dtype=np.int64), at < length[:live]
+            rows[0], rows[1:] = before[:live], joined.take(at + first[:live], mode="clip")
+            if not valid[-1].all():
+                rows[1:][~valid] = 0
             before = rows[-1]
-            valid = np.arange(t, t + len(rows) - 1)[:, None] < length[:live]
             g, h, _, n = net.window(rows[:-1], rows[1:], valid, h[:live])
-            grad, waiting, seen = grad + g, waiting + n, seen + n
+            grad, waiting, seen = grad + g if waiting else g, waiting + n, seen + n
             if 2 * waiting >= LANES * WINDOW or t + WINDOW >= length[0]:
-                adam.update(net.flat, grad / waiting)
-                grad, waiting = 0, 0
+                grad /= waiting
+                adam.update(net.flat, grad)
+                waiting = 0
         if adam.t >= LEAST_STEPS:
             break
     return seen
@@ -357,17 +412,15 @@ def teach(batches, flat: np.ndarray, words: Lexicon, rate: float):
     """(tokens seen, parameters times tokens) after training a copy of the network on all tokens of the batches' texts."""
     own, texts, held, seen = Network(flat.copy()), [], 0, 0
     adam = Adam(len(flat), rate)
-    symbol = {w: s for w, (s, _) in words.head.items()}.get
+    read = Reader(words)
     for batch in batches:
-        for text in batch["text"]:
-            found = tokens(text.as_py())
-            row = np.fromiter(map(symbol, found, repeat(-1)), dtype=np.int16, count=len(found))
-            beyond = np.flatnonzero(row < 0)
-            row[beyond] = [words.symbol(found[i]) for i in beyond]
-            texts.append(row)
-            held += len(row)
-            if held >= HELD:
-                seen, texts, held = seen + train(own, texts, adam), [], 0
+        for piece in pieces(batch["text"]):
+            found, n = split(piece)
+            for row in np.split(read(found)[1].astype(np.int16), np.cumsum(n)[:-1]):
+                texts.append(row)
+                held += len(row)
+                if held >= HELD:
+                    seen, texts, held = seen + train(own, texts, adam), [], 0
     seen += train(own, texts, adam)
     if seen:
         yield pa.record_batch({"seen": pa.array([float(seen)]), "flat": pa.array([(own.flat * seen).astype(np.float64)])})
@@ -379,11 +432,15 @@ def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.
     Texts run through lanes one after the other, as in training: the end of a text starts the next one from the zero state.
     """
     out, share = np.zeros(len(texts)), np.concatenate([np.zeros(TOP), np.log(sizes)])
-    dealt_ = even([*map(len, texts)], 8 * LANES)
-    lanes = [np.concatenate([texts[i] for i in held]) for held in dealt_]
-    owners = [np.repeat(held, [len(texts[i]) for i in held]) for held in dealt_]
-    length = np.array([len(x) for x in lanes])
-    h, before, kept = np.zeros((HIDDEN, len(lanes)), dtype=np.float32), np.zeros(len(lanes), dtype=np.int64), []
+    if not len(texts):
+        return out
+    sizes_ = np.array([*map(len, texts)], dtype=np.int64)
+    dealt_ = even(sizes_.tolist(), 8 * LANES)
+    order = np.concatenate(dealt_)
+    joined, owners = np.concatenate([texts[i] for i in order]), np.repeat(order, sizes_[order])
+    length = np.array([sizes_[held].sum() for held in dealt_])
+    first = np.cumsum(length) - length
+    h, before, kept = np.zeros((HIDDEN, len(length)), dtype=np.float32), np.zeros(len(length), dtype=np.int64), []
 
     def add():
         states, symbols, whose = zip(*kept)
@@ -392,13 +449,11 @@ def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.
         np.add.at(out, np.concatenate(whose), logp)
         kept.clear()
 
-    for t in range(0, max(length, default=0), WINDOW):
+    for t in range(0, length[0], WINDOW):
         live = np.searchsorted(-length, -np.arange(t, min(t + WINDOW, length[0])), side="left").tolist()     # lanes longer than each step
-        rows, owner = np.zeros((2, len(live), live[0]), dtype=np.int64)
-        for k in range(live[0]):
-            part = lanes[k][t:t + WINDOW]
-            rows[:len(part), k] = part
-            owner[:len(part), k] = owners[k][t:t + WINDOW]
+        # places behind a lane's end are not read
+        at = first[:live[0]] + np.arange(t, t + len(live))[:, None]
+        rows, owner = joined.take(at, mode="clip"), owners.take(at, mode="clip")
         held = 0
         for now, whose, n in zip(rows, owner, live):
             h = net.step(before[:n], h[:, :n])
@@ -415,18 +470,24 @@ def score_texts(net: Network, texts: list[np.ndarray], sizes: np.ndarray) -> np.
 def token_counts(docs: DataFrame) -> DataFrame:
     """w, n over all tokens of the documents; stored."""
     def run(batches):
-        counts = Counter()
+        held, rows = [], 0
 
-        def hand_on():
-            return pa.record_batch({"w": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        def together():
+            return pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                counts.update(tokens(text.as_py()))
-                if len(counts) > KEPT:
-                    yield hand_on()
-                    counts.clear()
-        yield hand_on()
+            for piece in pieces(batch["text"]):
+                seen = pc.value_counts(split(piece)[0])
+                held.append(pa.table({"w": seen.field(0), "n": seen.field(1)}))
+                rows += len(seen)
+                if rows > 2 * KEPT:
+                    held = [together()]
+                    rows = len(held[0])
+                    if rows > KEPT:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from together().to_batches()
 
     return materialise(docs.select("text").mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
 
@@ -471,28 +532,27 @@ def score(docs: DataFrame, modulus: int = 7, held_out: int = 2) -> DataFrame:
     def run(batches):
         flat, words = shared.value
         net = Network(flat)
-        place = {w: i for i, w in enumerate(words.head)}.get
+        read = Reader(words)
         # the last entry stands for words beyond the head
-        symbol_of = np.array([s for s, _ in words.head.values()] + [0], dtype=np.int64)
         log_of = np.log10(np.array([n for _, n in words.head.values()] + [0], dtype=np.float64) + 1)
         for batch in batches:
-            symbols, n_known, base, more, tails = [], [], [], [], []
-            for text in batch["text"]:
-                found = tokens(text.as_py())
-                at = np.fromiter(map(place, found, repeat(-1)), dtype=np.int64, count=len(found))
-                row, logs, beyond = symbol_of[at], log_of[at], np.flatnonzero(at < 0)
-                tail = [found[i] for i in beyond]
-                if tail:
-                    row[beyond] = [words.symbol(w) for w in tail]
-                symbols.append(row)
-                n_known.append(len(found) - len(tail))
-                base.append(logs.sum())
-                more.append(logs[row >= TOP].sum())
-                tails.append(b" ".join(tail).decode() if tail else None)
-            score = score_texts(net, symbols, words.sizes) + np.array(more)
-            yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": pa.array([len(s) for s in symbols], pa.int64()),
+            symbols, columns, tails = [], [], []
+            for piece in pieces(batch["text"]):
+                found, n = split(piece)
+                at, row, tail = read(found)
+                logs, first = log_of[at], np.cumsum(n) - n          # every text has a token, its end
+                symbols += np.split(row, first[1:])
+                n_known = np.add.reduceat((at >= 0).astype(np.int64), first)
+                columns.append((n, n_known, np.add.reduceat(logs, first), np.add.reduceat(np.where(row >= TOP, logs, 0), first)))
+                joined = pc.binary_join(pa.ListArray.from_arrays(np.append(0, np.cumsum(n - n_known)).astype(np.int32), tail), " ")
+                tails.append(pc.if_else(pa.array(n > n_known), joined, None))
+            if not symbols:
+                continue
+            n_tokens, n_known, base, more = map(np.concatenate, zip(*columns))
+            score = score_texts(net, symbols, words.sizes) + more
+            yield pa.record_batch({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()),
                                    "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()),
-                                   "score": pa.array(score, pa.float64()), "tail": pa.array(tails, pa.string())})
+                                   "score": pa.array(score, pa.float64()), "tail": pa.concat_arrays(tails)})
 
     scored = materialise(rows.select("doc_id", "held_out", "text").mapInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail string")

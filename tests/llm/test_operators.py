@@ -337,6 +337,33 @@ def test_texts_share_lanes_while_they_are_scored(monkeypatch):
     assert len(recurrent_lm.score_texts(net, [], sizes)) == 0
 
 
+def test_tokens_are_split_and_looked_up_many_at_once(spark, monkeypatch):
+    """Tasks split and look up whole pieces of text, as ``tokens`` and ``Lexicon.symbol`` do for one text and one word."""
+    draw, signs = random.Random(11), " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u3000\0AbÄßé\U0001d4b3"
+    texts = ["", " ", " a  B ", *("".join(draw.choices(signs, k=draw.randrange(9))) for _ in range(3_000))]
+    want = [recurrent_lm.tokens(t) for t in texts]
+    counts = Counter(w for ws in want for w in ws)
+    head = {w: (i, n) for i, (w, n) in enumerate(counts.most_common(40))}
+    ends = {e: recurrent_lm.TOP + i for i, e in enumerate(("ab", "b", "Äß", "é\U0001d4b3"))}
+    lexicon = recurrent_lm.Lexicon(1, 1, head, ends, np.ones(recurrent_lm.ENDINGS), np.ones(recurrent_lm.TOP + recurrent_lm.ENDINGS))
+    monkeypatch.setattr(recurrent_lm, "PIECE", 1_000)
+    monkeypatch.setattr(recurrent_lm, "KEPT", 50)
+    monkeypatch.setattr(recurrent_lm, "tokens", None)
+    got, read, cut = [], recurrent_lm.Reader(lexicon), list(recurrent_lm.pieces(recurrent_lm.pa.array(texts)))
+    assert sum(map(len, cut)) == len(texts) and len(cut) > 5
+    for piece in cut:
+        found, n = recurrent_lm.split(piece)
+        at, symbols, tail = read(found)
+        words = [w.encode() for w in found.to_pylist()]
+        assert symbols.tolist() == [lexicon.symbol(w) for w in words] and [w.encode() for w in tail.to_pylist()] == [w for w in words if w not in head]
+        assert [i >= 0 for i in at] == [w in head for w in words]
+        got += [words[j - k:j] for j, k in zip(np.cumsum(n), n)]
+    assert got == want
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.w.encode(): r.n for r in recurrent_lm.token_counts(docs).collect()} == counts
+    assert not recurrent_lm.token_counts(docs.where("false")).count()
+
+
 def test_language_model_odd(odd, nothing):
     got = recurrent_lm.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
