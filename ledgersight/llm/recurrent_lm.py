@@ -35,7 +35,7 @@ LANES = 64
 LEAST_STEPS = 60            # updates a task makes in a round; it goes over its documents again until then
 HELD = 1 << 20              # tokens a task gathers before it trains on them
 KEPT = 400_000              # distinct words a task counts before it hands them on
-PIECE = 8 << 20             # bytes of text a task splits into tokens at once
+PIECE = 2 << 20             # bytes of text a task splits into tokens at once
 END = b""
 
 
